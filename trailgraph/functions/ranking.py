@@ -34,3 +34,21 @@ def first_by(value: Column, order: Column, when: Column | None = None) -> Column
 
 def last_by(value: Column, order: Column) -> Column:
     return F.max(F.struct(order.alias("o"), value.alias("v"))).getField("v")
+
+
+def number_rows(df: DataFrame, by: list[str], order: str, name: str, width: int = 1_000_000) -> DataFrame:
+    """row_number() per group over a numeric order column, safe on hot groups.
+
+    Rows are numbered inside slices of the order range; each slice then adds the
+    row counts of the slices before it. Ties inside the order get distinct
+    numbers in no fixed order, so pass a unique one where that matters.
+    """
+    sliced = df.withColumn("_s", F.floor(F.col(order) / F.lit(width)))
+    counts = sliced.groupBy(*by, "_s").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(W.partitionBy(*by).orderBy("_s")) - F.col("_n")
+    offsets = counts.select(*[F.col(b).alias(f"_{b}") for b in by], F.col("_s").alias("_so"), before.alias("_before"))
+    inside = sliced.withColumn("_i", F.row_number().over(W.partitionBy(*by, "_s").orderBy(order)))
+    cond = F.col("_s") == F.col("_so")
+    for b in by:
+        cond = cond & F.col(b).eqNullSafe(F.col(f"_{b}"))
+    return inside.join(offsets, cond).withColumn(name, (F.col("_i") + F.col("_before")).cast("bigint")).select(*df.columns, name)

@@ -141,7 +141,7 @@ def email_slug(email: Column | str) -> Column:
 
 def normalise_span(text: Column | str) -> Column:
     """Drop trailing blanks on each line and final newlines."""
-    return F.regexp_replace(F.regexp_replace(col(text), r"(?m)[ \t]+$", ""), r"\n+\z", "")
+    return F.regexp_replace(F.regexp_replace(col(text), r"(?md)[ \t]+$", ""), r"\n+\z", "")
 
 
 def span_hash(text: Column | str) -> Column:

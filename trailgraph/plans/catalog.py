@@ -1,4 +1,4 @@
 """Every registered query; importing the topic modules fills the registry."""
 
-from trailgraph.plans import graph_queries, history_queries  # noqa: F401
+from trailgraph.plans import graph_queries, history_queries, trust_queries  # noqa: F401
 from trailgraph.plans.registry import QUERIES, SQL  # noqa: F401
