@@ -35,6 +35,11 @@ def clamp(x: Column, low, high) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), x))
 
 
+def trim(c: Column | str) -> Column:
+    """Strip blanks, tabs and line ends on both sides."""
+    return F.btrim(col(c), F.lit(" \t\r\n\f"))
+
+
 def micros(ts: Column | str) -> Column:
     return F.unix_micros(col(ts).cast("timestamp"))
 
@@ -130,7 +135,7 @@ def contained(text: Column | str, terms: Column | list[str]) -> Column:
 
 
 def excerpt(text: Column | str, max_lines: int = 28) -> Column:
-    kept = F.filter(F.split(col(text), "\n"), lambda line: F.trim(line) != "")
+    kept = F.filter(F.split(col(text), "\n"), lambda line: trim(line) != "")
     return F.array_join(F.slice(kept, 1, max_lines), "\n")
 
 

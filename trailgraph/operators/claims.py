@@ -101,7 +101,7 @@ def refresh_pins(evidence: DataFrame, files: DataFrame) -> DataFrame:
 def parse_evidence_spec(spec: DataFrame, column: str = "spec") -> DataFrame:
     """'a.ts:10-25,b.ts:7,c.ts' -> path, start, end rows."""
     others = [c for c in spec.columns if c != column]
-    t = spec.select(*others, F.explode(F.filter(F.transform(F.split(column, ","), lambda x: F.trim(x)), lambda x: x != "")).alias("token"))
+    t = spec.select(*others, F.explode(F.filter(F.transform(F.split(column, ","), lambda x: S.trim(x)), lambda x: x != "")).alias("token"))
     pat = r"^(.*):(\d+)(?:-(\d+))?$"
     hit = F.col("token").rlike(pat)
     num = lambda g: F.when(F.regexp_extract("token", pat, g) != "", F.regexp_extract("token", pat, g)).cast("int")

@@ -13,7 +13,7 @@ DATE_PATTERNS = [r"<!--\s*freshness:[^>]*last_checked=([^\s,>]+)", r"(?m)^Last u
 
 def document_time(content: Column | str) -> Column:
     """First parseable date of the three places a document may carry one."""
-    found = [F.trim(F.regexp_extract(S.col(content), p, 1)) for p in DATE_PATTERNS]
+    found = [S.trim(F.regexp_extract(S.col(content), p, 1)) for p in DATE_PATTERNS]
     return F.coalesce(*[F.try_to_timestamp(F.when(x != "", x)) for x in found])
 
 
@@ -21,7 +21,7 @@ def cited_paths(content: Column | str) -> Column:
     """Distinct path-like tokens of every (evidence: a, b:12-40) note."""
     notes = F.regexp_extract_all(S.col(content), F.lit(r"\(evidence:\s*([^)]+)\)"), F.lit(1))
     tokens = F.flatten(F.transform(notes, lambda n: F.split(n, ",")))
-    clean = F.transform(tokens, lambda t: F.trim(F.regexp_replace(F.regexp_replace(F.trim(t), "`", ""), r":L?\d[\d,-]*$", "")))
+    clean = F.transform(tokens, lambda t: S.trim(F.regexp_replace(F.regexp_replace(S.trim(t), "`", ""), r":L?\d[\d,-]*$", "")))
     return F.array_distinct(F.filter(clean, lambda t: (t != "") & ~t.rlike(r"\s") & (F.contains(t, F.lit("/")) | t.rlike(r"\.\w+$"))))
 
 

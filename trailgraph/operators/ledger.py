@@ -192,7 +192,7 @@ PATTERN_TYPES = ["convention", "regression", "constraint"]
 def parse_bullets(content: DataFrame) -> DataFrame:
     """'- ' and '* ' lines of notes as rows: other columns, item."""
     others = [c for c in content.columns if c != "content"]
-    line = F.trim("l")
+    line = S.trim("l")
     return content.select(*others, F.explode(F.split("content", "\n")).alias("l")).filter(line.startswith("- ") | line.startswith("* ")).select(
         *others, F.regexp_replace(line, r"^[-*]\s+", "").alias("item"))
 
