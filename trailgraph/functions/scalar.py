@@ -168,7 +168,7 @@ def squeeze_markdown(text: Column | str) -> Column:
         (r"\r\n", "\n"),
         (r"(?m)\A(---\n(?:(?!---)[^\n]*\n)*)version:[^\n]*\n", "$1"),
         (r"<!--[\s\S]*?-->", ""),
-        (r"(?m)[ \t]+$", ""),
+        (r"(?md)[ \t]+$", ""),
         (r"[Pp]lease note that\s*", ""),
         (r"Make sure to\s*", "Ensure "),
         (r"make sure to\s*", "ensure "),

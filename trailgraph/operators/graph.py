@@ -301,8 +301,8 @@ def attach_experiments(nodes: DataFrame, edges: DataFrame, experiments: DataFram
     new = experiments.withColumn("node", F.concat(F.lit("experiment:"), "id")).join(nodes.select(F.col("id").alias("node")), "node", "left_anti")
     sym = nodes.filter(F.col("kind") == "symbol")
     by_symbol = new.filter(F.col("target_symbol").isNotNull()).join(
-        sym.select(F.explode(F.array_distinct(F.array("label", F.element_at(F.split("id", "#"), -1)))).alias("target_symbol"), F.col("id").alias("hit"), "ord"),
-        "target_symbol").select("node", "hit", "ord", F.lit(0).alias("tier"))
+        sym.select(F.explode(F.array_distinct(F.array("label", F.element_at(F.split("id", "#"), -1)))).alias("target_symbol"), F.col("id").alias("hit"), F.col("ord").alias("at")),
+        "target_symbol").select("node", "hit", F.col("at").alias("ord"), F.lit(0).alias("tier"))
     by_file = new.select("node", F.col("target_file").alias("name")).join(
         resolve_ids(nodes.withColumn("label", F.lit(None).cast("string")), new.select(F.col("target_file").alias("name"))), "name").select(
         "node", F.col("id").alias("hit"), F.lit(0).cast("bigint").alias("ord"), F.lit(1).alias("tier"))

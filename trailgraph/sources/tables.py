@@ -164,9 +164,11 @@ def source_tree(spark: SparkSession, root: str, min_count: int = 2) -> DataFrame
     """A TypeScript tree: one module per part and one per successor pair.
 
     Every file's text is built from columns of one row, so a hot part adds rows,
-    never one huge text. Columns: path, content.
+    never one huge text. The narrow part columns are spread before the text is
+    made, as a small table may sit in one row group. Columns: path, content.
     """
-    part = table(spark, root, "part").select(
+    spread = spark.sparkContext.defaultParallelism
+    part = table(spark, root, "part").select("p_partkey", "p_brand", "p_name", "p_type").repartition(spread, "p_partkey").select(
         F.col("p_partkey").cast("string").alias("k"),
         F.regexp_replace("p_brand", "#", "").alias("dir"),
         F.regexp_replace("p_name", " ", "-").alias("pkg"),
