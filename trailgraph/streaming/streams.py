@@ -18,7 +18,8 @@ from trailgraph.runtime import shared_dir
 
 # Tools that edit files and commands that validate a change.
 EDIT_TOOLS = r"^(Edit|Write|NotebookEdit|MultiEdit)$"
-VALIDATION = r"(?i)\b(test|lint|type-?check|tsc|build|check|verify|pytest|jest|vitest|mypy|ruff|eslint)\b"
+VALIDATION = (r"(?i)\b(jest|vitest|mocha|pytest|tox|nox|unittest|eslint|ruff|flake8|pylint|tsc|typecheck|type-check|mypy|pyright|cargo\s+(test|check|clippy)"
+              r"|go\s+(test|vet)|gradle|mvn|rspec|phpunit|dotnet\s+test|npm\s+(test|run\s+\S+)|pnpm\s+\S+|yarn\s+\S+)\b")
 
 
 def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
