@@ -18,14 +18,13 @@ def dedup_nodes(nodes: DataFrame, wins: list[str], merged: list[str]) -> DataFra
     ``merged`` (metadata) columns from the first row that has them. All of it is
     a map-side combined aggregate, so a node seen everywhere is no hot sort."""
     return nodes.groupBy("id").agg(
-        *[first_by(F.col(c), F.col("ord")).alias(c) for c in wins],
-        *[first_by(F.col(c), F.col("ord"), F.col(c).isNotNull()).alias(c) for c in merged],
-        F.min("ord").alias("ord"))
+        F.min(F.struct("ord", *wins)).alias("_f"),
+        *[first_by(F.col(c), F.col("ord"), F.col(c).isNotNull()).alias(c) for c in merged]).select("id", *[f"_f.{c}" for c in wins], *merged, "_f.ord")
 
 
 def dedup_edges(edges: DataFrame, wins: list[str]) -> DataFrame:
     """One edge per (src, dst, relation); the first row wins wholesale."""
-    return edges.groupBy(*EDGE_KEY).agg(*[first_by(F.col(c), F.col("ord")).alias(c) for c in wins], F.min("ord").alias("ord"))
+    return edges.groupBy(*EDGE_KEY).agg(F.min(F.struct("ord", *wins)).alias("_f")).select(*EDGE_KEY, *[f"_f.{c}" for c in wins], "_f.ord")
 
 
 def merged_evidence(rows: DataFrame, key: list[str], evidence: str = "evidence") -> DataFrame:

@@ -26,7 +26,7 @@ def reach(edges: DataFrame, seeds: DataFrame, *, forward: bool = False, max_dept
     """
     near, far = ("src", "dst") if forward else ("dst", "src")
     cols = [F.col(near).alias("node"), F.col(far).alias("next")]
-    steps = edges.select(*cols, F.col("ord").alias("step")) if arrival else edges.select(*cols).distinct()
+    steps = edges.select(*cols, F.col("ord").alias("step")) if arrival else edges.select(*cols)
     steps = cut_lineage(steps)
     group = [*keys, "node"]
     start = seeds.select(*group, *(["ord"] if arrival else []))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from trailgraph.functions import scalar as S
 from trailgraph.functions.ranking import first_by, top_k
+from trailgraph.runtime import cut_lineage
 
 WEEK = 7 * S.MICROS_PER_DAY
 
@@ -58,7 +59,8 @@ def coupling(touches: DataFrame, min_co: int = 3, min_strength: float = 0.3, top
     """
     t = touches.select("sha", "file").distinct()
     size = t.groupBy("sha").agg(F.count("*").alias("size"))
-    sized = t.join(size, "sha")
+    sized = cut_lineage(t.join(size, "sha"))
+    t = sized.select("sha", "file")
     hist = sized.groupBy("file", "size").agg(F.count("*").alias("n"))
     above = F.sum("n").over(W.partitionBy("file").orderBy(F.desc("size")))
     total = F.sum("n").over(W.partitionBy("file"))

@@ -20,7 +20,7 @@ tt AS (SELECT session_id, count(*) FILTER (event_type IN ('purchase', 'click', '
 
 
 def transcript(spark, root):
-    e = T.session_log(spark, root)
+    e = T.session_log(spark, root, spread_out=True)
     kind, k, v = F.col("event_type"), F.col("k"), F.floor("value").cast("bigint")
     tool = F.when(k > 90, "mcp__get_context").otherwise("Bash")
     line = (F.when(kind == "purchase", F.format_string('{"type":"assistant","message":{"role":"assistant","usage":{"input_tokens":%d,"output_tokens":%d,"cache_read_input_tokens":%d},"content":[{"type":"text"},{"type":"tool_use","name":"%s"}]}}', k, v, k * 2, tool))

@@ -70,7 +70,7 @@ def migrations(spark, root):
     text = (F.when(F.col("o_orderstatus") == "O", F.concat(F.lit("DROP TABLE t"), k, F.lit("; -- truncate later")))
             .when(F.col("o_orderstatus") == "F", F.concat(F.lit("CREATE INDEX i ON t"), k, F.lit("(a);\nDELETE FROM t"), k, F.lit(";\nCREATE INDEX CONCURRENTLY j ON t(b);")))
             .otherwise("ALTER TABLE t ADD COLUMN c INT NOT NULL; -- drop table x\nUPDATE t SET a = 1;\nUPDATE t SET a = 1 WHERE b = 2;"))
-    return T.table(spark, root, "orders").select(F.concat(F.lit("migrations/"), k, F.lit(".sql")).alias("path"), text.alias("content"))
+    return T.spread(T.table(spark, root, "orders").select("o_orderkey", "o_orderstatus")).select(F.concat(F.lit("migrations/"), k, F.lit(".sql")).alias("path"), text.alias("content"))
 
 
 LINT = LINT.replace("ELSE [4] END", "ELSE [4, 5] END").replace("WHEN 3 THEN 'Mass' ELSE 'ADD' END", "WHEN 3 THEN 'Mass' WHEN 4 THEN 'ADD' ELSE 'UPDATE' END").replace("WHEN rule = 3 THEN 2 ELSE 1 END", "WHEN rule IN (3, 5) THEN 2 ELSE 1 END")

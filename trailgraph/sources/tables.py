@@ -13,6 +13,13 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread an input that has fewer splits than the session has cores (a small
+    table in one row group) before costly per-row work; others stay as read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 # -- history ---------------------------------------------------------------
 
 def commits(spark: SparkSession, root: str) -> DataFrame:
@@ -131,7 +138,7 @@ def successor_edges(spark: SparkSession, root: str, min_count: int = 2) -> DataF
 
 def files(spark: SparkSession, root: str) -> DataFrame:
     """path, content, ext, doc_id"""
-    return table(spark, root, "documents").select(
+    return spread(table(spark, root, "documents")).select(
         F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"),
         F.col("text").alias("content"), F.col("lang").alias("ext"), "doc_id")
 
@@ -153,9 +160,10 @@ def prompts(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "conversations").filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("prompt"))
 
 
-def session_log(spark: SparkSession, root: str) -> DataFrame:
+def session_log(spark: SparkSession, root: str, spread_out: bool = False) -> DataFrame:
     """Events with the integer k of their JSON props."""
-    return table(spark, root, "events").withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
+    e = table(spark, root, "events")
+    return (spread(e) if spread_out else e).withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
 
 
 # -- source trees whose text comes from the rows ---------------------------
@@ -167,8 +175,7 @@ def source_tree(spark: SparkSession, root: str, min_count: int = 2) -> DataFrame
     never one huge text. The narrow part columns are spread before the text is
     made, as a small table may sit in one row group. Columns: path, content.
     """
-    spread = spark.sparkContext.defaultParallelism
-    part = table(spark, root, "part").select("p_partkey", "p_brand", "p_name", "p_type").repartition(spread, "p_partkey").select(
+    part = spread(table(spark, root, "part").select("p_partkey", "p_brand", "p_name", "p_type")).select(
         F.col("p_partkey").cast("string").alias("k"),
         F.regexp_replace("p_brand", "#", "").alias("dir"),
         F.regexp_replace("p_name", " ", "-").alias("pkg"),
