@@ -180,7 +180,8 @@ def open_questions(spark, root):
     return logs.open_questions(T.table(spark, root, "orders").select(F.concat(F.lit("doc"), o).alias("doc"), text.alias("content"))).select("doc", "id", "question", "status", "priority")
 
 
-@query("workspace_hash")
+@query("workspace_hash", """WITH x AS (SELECT lang AS ext, sha256(source || '/' || doc_id || ':' || sha256(text)) AS h FROM documents)
+SELECT ext, sha256(count(*) || ':' || CAST(sum(CAST(('0x' || substr(h, 1, 15)) AS BIGINT)) AS VARCHAR) || ':' || CAST(sum(CAST(('0x' || substr(h, 16, 15)) AS BIGINT)) AS VARCHAR) || ':' || CAST(sum(CAST(('0x' || substr(h, 31, 15)) AS BIGINT)) AS VARCHAR) || ':' || CAST(sum(CAST(('0x' || substr(h, 46, 15)) AS BIGINT)) AS VARCHAR)) AS digest, count(*) AS files FROM x GROUP BY ext""")
 def workspace_hash(spark, root):
     return logs.workspace_hash(T.files(spark, root).select("path", F.sha2("content", 256).alias("sha256"), "ext"), by=["ext"])
 

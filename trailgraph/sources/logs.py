@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailgraph.functions import scalar as S
+from trailgraph.operators.gates import refuse_secrets
 
 
 def read_text_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
@@ -17,7 +18,7 @@ def read_text_files(spark: SparkSession, path: str, glob: str | None = None) ->
         reader = reader.option("pathGlobFilter", glob)
     base = path.rstrip("/") + "/"
     rel = F.regexp_replace(F.regexp_replace("path", r"^file:/+", "/"), "^" + re.escape(base), "")
-    return reader.load(path).select(rel.alias("path"), F.decode("content", F.lit("UTF-8")).alias("content"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256")).withColumn("ext", S.suffix_of("path"))
+    return reader.load(path).select(rel.alias("path"), F.decode("content", "UTF-8").alias("content"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256")).withColumn("ext", S.suffix_of("path"))
 
 
 def commit_records(spark: SparkSession, path: str) -> DataFrame:
@@ -115,17 +116,24 @@ def append_tsv(df: DataFrame, path: str) -> None:
     df.write.mode("append").option("sep", "\t").option("quoteAll", True).csv(path)
 
 
-def workspace_hash(files: DataFrame, by: list[str] | None = None, buckets: int = 4096) -> DataFrame:
-    """One digest of a file set: hash of per-bucket hashes of 'path:sha256' lines.
+def workspace_hash(files: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """One digest of a file set, whatever its order: the hash of the file count
+    and of four sums over the hashes of 'path:sha256' lines.
 
-    Buckets keep each sorted list small; a change to any path or byte changes
-    the digest. files: path, sha256.
+    Sums combine before the shuffle, so no list of files is ever gathered; any
+    changed, added or dropped file changes the digest. files: path, sha256.
     """
-    by = by or []
-    line = F.concat_ws(":", "path", "sha256")
-    parts = files.select(*by, F.pmod(F.xxhash64("path"), F.lit(buckets)).alias("b"), line.alias("l")).groupBy(*by, "b").agg(
-        F.sha2(F.array_join(F.array_sort(F.collect_list("l")), "\n"), 256).alias("h"), F.count("*").alias("n"))
-    return parts.groupBy(*by).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), "\n"), 256).alias("digest"), F.sum("n").alias("files"))
+    h = F.sha2(F.concat_ws(":", "path", "sha256"), 256)
+    lanes = [F.sum(F.conv(F.substring("h", 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)")).cast("string") for i in range(4)]
+    return files.select(*(by or []), h.alias("h")).groupBy(*(by or [])).agg(
+        F.sha2(F.concat_ws(":", F.count("*").cast("string"), *lanes), 256).alias("digest"), F.count("*").alias("files"))
+
+
+def write_protected(df: DataFrame, path: str, text_columns: list[str], mode: str = "overwrite") -> None:
+    """Write a table unless one of its texts holds a secret."""
+    for c in text_columns:
+        refuse_secrets(df, c)
+    df.write.mode(mode).parquet(path)
 
 
 def source_snapshot(files: DataFrame, max_bytes: int = 2 * 1024 * 1024) -> DataFrame:

@@ -195,7 +195,8 @@ def source_tree(spark: SparkSession, root: str, min_count: int = 2) -> DataFrame
     a = part.select(F.col("k").alias("sk"), F.col("dir").alias("sdir"))
     b = part.select(F.col("k").alias("dk"), F.col("dir").alias("ddir"))
     e = successor_edges(spark, root, min_count).select(F.col("src").cast("string").alias("sk"), F.col("dst").cast("string").alias("dk"))
-    pairs = e.join(a, "sk").join(b, "dk").select(
+    # Narrow rows are spread over the cores before their text is made.
+    pairs = e.join(a, "sk").join(b, "dk").repartition(spark.sparkContext.defaultParallelism).select(
         F.concat(F.lit("src/"), F.col("sdir"), F.lit("/links/p"), F.col("sk"), F.lit("_p"), F.col("dk"), F.lit(".ts")).alias("path"),
         F.format_string(
             "import { load%s } from '../p%s.js';\n"
