@@ -77,10 +77,19 @@ def suffix_of(path: Column | str) -> Column:
 def join_path(base: Column | str, rel: Column | str) -> Column:
     """Resolve ``rel`` against directory ``base`` ('.' and '..' included).
 
-    '..' steps cancel against the folders before them, one regex step per level
-    of depth that source trees use in practice; a path that still climbs out of
-    the root keeps its leading '..'.
+    Leading './' and '../' steps cut that many folders off the base. Paths with
+    steps further in, or that climb out of the root, are folded step by step.
     """
+    lead = F.regexp_extract(col(rel), r"^((?:\.\.?/)*)", 1)
+    tail = F.regexp_replace(col(rel), r"^(?:\.\.?/)*", "")
+    up = F.size(F.split(lead, r"\.\./")) - 1
+    folders = F.filter(F.split(col(base), "/"), lambda p: p != "")
+    kept = F.array_join(F.slice(folders, F.lit(1), F.greatest(F.lit(0), F.size(folders) - up)), "/")
+    plain = ~tail.rlike(r"(^|/)\.\.?(/|$)|//|/$") & (up <= F.size(folders))
+    return F.when(plain, F.when(kept == "", tail).otherwise(F.concat(kept, F.lit("/"), tail))).otherwise(_fold_path(base, rel))
+
+
+def _fold_path(base: Column | str, rel: Column | str) -> Column:
     joined = F.concat(F.when(col(base) == "", F.lit("")).otherwise(F.concat(col(base), F.lit("/"))), col(rel))
     parts = F.filter(F.split(joined, "/"), lambda p: (p != "") & (p != "."))
     folded = F.aggregate(
