@@ -1,4 +1,5 @@
 import random
+import statistics
 from collections import Counter
 from datetime import datetime, timedelta
 from itertools import combinations
@@ -7,7 +8,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from trailgraph.functions.ranking import number_rows, top_k
+from trailgraph.functions.ranking import exact_median, number_rows, top_k
 from trailgraph.operators import budget as BU
 from trailgraph.operators import history as H
 
@@ -74,6 +75,14 @@ def test_top_k_and_numbering_on_a_hot_group(spark):
     assert rows(n.filter("g = 0 and v in (0, 2, 4998)"), "v", "n") == [(0, 1), (2, 2), (4998, 2500)]
 
 
+def test_exact_median_of_hot_and_small_groups(spark):
+    rng = random.Random(5)
+    data = [("hot", float(rng.randrange(10**6))) for _ in range(6001)] + [("same", 7.0)] * 2000 + [("two", 1.0), ("two", 4.0), ("one", 3.0), ("one", None)]
+    got = {r["g"]: r["median"] for r in exact_median(spark.createDataFrame(data, "g string, v double"), ["g"], "v", accuracy=100).collect()}
+    want = {g: statistics.median([v for h, v in data if h == g and v is not None]) for g in ("hot", "same", "two", "one")}
+    assert got == want
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_budgets_match_plain_loops(spark, seed):
     rng = random.Random(seed)

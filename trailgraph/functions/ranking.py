@@ -52,3 +52,25 @@ def number_rows(df: DataFrame, by: list[str], order: str, name: str, width: int
     for b in by:
         cond = cond & F.col(b).eqNullSafe(F.col(f"_{b}"))
     return inside.join(offsets, cond).withColumn(name, (F.col("_i") + F.col("_before")).cast("bigint")).select(*df.columns, name)
+
+
+def exact_median(df: DataFrame, by: list[str], value: str, accuracy: int = 10_000) -> DataFrame:
+    """Exact median per group (mean of the middle two for even counts), without
+    gathering a group: by, n, median.
+
+    A bounded sketch brackets the median; rows below the bracket are counted,
+    and only the distinct values inside it are ordered. NULL values drop.
+    """
+    keys = by or ["_all"]
+    d = (df if by else df.withColumn("_all", F.lit(1))).select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    margin = 2.0 / accuracy
+    ends = F.percentile_approx("_v", [0.5 - margin, 0.5 + margin], accuracy)
+    span = d.groupBy(*keys).agg(F.count("*").alias("n"), ends.alias("e")).select(*keys, "n", F.col("e")[0].alias("_lo"), F.col("e")[1].alias("_hi"))
+    j = d.join(span, keys)
+    below = j.groupBy(*keys).agg(F.count_if(F.col("_v") < F.col("_lo")).alias("_below"))
+    inner = j.filter(F.col("_v").between(F.col("_lo"), F.col("_hi"))).groupBy(*keys, "_v", "n").agg(F.count("*").alias("_c"))
+    upto = F.sum("_c").over(W.partitionBy(*keys).orderBy("_v"))
+    ranked = inner.withColumn("_to", upto).join(below, keys).withColumn("_to", F.col("_to") + F.col("_below"))
+    first, second = F.floor((F.col("n") + 1) / 2), F.floor((F.col("n") + 2) / 2)
+    out = ranked.groupBy(*keys, "n").agg(((F.min(F.when(F.col("_to") >= first, F.col("_v"))) + F.min(F.when(F.col("_to") >= second, F.col("_v")))) / 2).alias("median"))
+    return out.select(*by, "n", "median")

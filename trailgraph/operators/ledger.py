@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailgraph.functions import scalar as S
-from trailgraph.functions.ranking import top_k
+from trailgraph.functions.ranking import exact_median, top_k
 
 
 # -- telemetry ---------------------------------------------------------------
@@ -79,8 +79,10 @@ def numeric_metric(output: Column | str, pattern: str | None = None) -> Column:
 
 
 def rounded_median(values: DataFrame, column: str) -> DataFrame:
-    """Median with the even-count mean rounded half up, and the maximum."""
-    return values.agg(F.coalesce(S.half_up(F.median(column)).cast("bigint"), F.lit(0).cast("bigint")).alias("median"), F.coalesce(F.max(column), F.lit(0)).cast("bigint").alias("maximum"))
+    """Median with the even-count mean rounded half up, and the maximum; 0 for
+    no values."""
+    m = exact_median(values, [], column).agg(F.max("median")).scalar()
+    return values.agg(F.coalesce(S.half_up(m).cast("bigint"), F.lit(0).cast("bigint")).alias("median"), F.coalesce(F.max(column), F.lit(0)).cast("bigint").alias("maximum"))
 
 
 def replay_summary(commits: DataFrame) -> DataFrame:
@@ -88,10 +90,12 @@ def replay_summary(commits: DataFrame) -> DataFrame:
     commits: source_touched, added, removed."""
     t = commits.filter("source_touched").withColumn("churn", F.col("added") + F.col("removed"))
     seen = F.col("churn") > 0
+    middle = exact_median(t.filter(seen), [], "churn").agg(F.max("median")).scalar()
+    zero = F.lit(0).cast("bigint")
     return t.agg(F.count("*").alias("touched"), F.count_if(seen).alias("detected"),
                  S.half_up(F.count_if(seen) / F.count("*"), 3).alias("detection_rate"),
-                 F.coalesce(S.half_up(F.median(F.when(seen, F.col("churn")))), F.lit(0.0)).cast("bigint").alias("median_churn"),
-                 F.coalesce(F.max(F.when(seen, F.col("churn"))), F.lit(0)).cast("bigint").alias("max_churn"))
+                 F.coalesce(F.max(F.when(seen, F.col("churn"))), zero).cast("bigint").alias("max_churn")).withColumn(
+        "median_churn", F.coalesce(S.half_up(middle).cast("bigint"), zero))
 
 
 def step_verdict(in_scope: Column, gates_ok: Column, tests_ok: Column, improved: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trailgraph.functions import scalar as S
+from trailgraph.functions.ranking import exact_median
 from trailgraph.operators import clarity as CL
 from trailgraph.operators import graph as G
 from trailgraph.operators import ledger as L
@@ -56,7 +57,7 @@ def metric_compare(spark, root):
 
 @query("metric_median", "SELECT event_type, median(value) AS median FROM events GROUP BY event_type")
 def metric_median(spark, root):
-    return T.table(spark, root, "events").groupBy("event_type").agg(F.median("value").alias("median"))
+    return exact_median(T.table(spark, root, "events"), ["event_type"], "value").drop("n")
 
 
 @query("rounded_median", """SELECT CAST(floor(median(n) + 0.5) AS BIGINT) AS median, CAST(max(n) AS BIGINT) AS maximum FROM (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey)""")
