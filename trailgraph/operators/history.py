@@ -52,15 +52,14 @@ def coupling(touches: DataFrame, min_co: int = 3, min_strength: float = 0.3, top
     ordered by size, a pair sharing at least t commits must share one outside
     the t-1 largest of either file, so each file offers only its commits below
     that cut-off for pairing. A commit holding a huge share of all rows is the
-    largest everywhere and pairs nobody; it still counts in the exact co-change
-    total, which is taken from the smaller file of each candidate pair.
-    The cut-off comes from a (file, commit size) histogram, never from sorting
-    one file's rows.
+    largest everywhere and pairs nobody. Shared commits above a cut-off are
+    then added by looking up the few such commits of each candidate, so the
+    totals are exact. The cut-off comes from a (file, commit size) histogram,
+    never from sorting one file's rows.
     """
-    t = touches.select("sha", "file").distinct()
-    size = t.groupBy("sha").agg(F.count("*").alias("size"))
-    sized = cut_lineage(t.join(size, "sha"))
-    t = sized.select("sha", "file")
+    size = touches.select("sha", "file").distinct()
+    size = size.join(size.groupBy("sha").agg(F.count("*").alias("size")), "sha")
+    sized = cut_lineage(size)
     hist = sized.groupBy("file", "size").agg(F.count("*").alias("n"))
     above = F.sum("n").over(W.partitionBy("file").orderBy(F.desc("size")))
     total = F.sum("n").over(W.partitionBy("file"))
@@ -68,20 +67,19 @@ def coupling(touches: DataFrame, min_co: int = 3, min_strength: float = 0.3, top
         hist.withColumn("above", above).withColumn("total", total)
         .withColumn("need", F.greatest(F.lit(min_co), F.ceil(F.lit(min_strength) * F.col("total") - F.lit(1e-9))))
         .filter((F.col("above") >= F.col("need")) & (F.col("total") >= min_co))
-        .groupBy("file").agg(F.max("size").alias("cut"), F.first("total").alias("total")))
-    offers = sized.join(cuts, "file").filter((F.col("size") <= F.col("cut")) & (F.col("size") > 1)).select("sha", "file", "total")
-    a = offers.select("sha", F.col("file").alias("file_a"), F.col("total").alias("total_a"))
-    b = offers.select("sha", F.col("file").alias("file_b"), F.col("total").alias("total_b"))
+        .groupBy("file", "total", "need").agg(F.max("size").alias("cut"), (F.col("total") - F.sum("n")).alias("rest")))
+    marked = cut_lineage(sized.join(cuts, "file").filter("size > 1").select("sha", "file", "total", "need", "rest", (F.col("size") <= F.col("cut")).alias("offered")))
+    offers, large = marked.filter("offered"), marked.filter("not offered").select("sha", "file")
+    a = offers.select("sha", *[F.col(c).alias(f"{c}_a") for c in ("file", "total", "need", "rest")])
+    b = offers.select("sha", *[F.col(c).alias(f"{c}_b") for c in ("file", "total", "need", "rest")])
     ratio = F.least("total_a", "total_b") >= F.lit(min_strength) * F.greatest("total_a", "total_b") - F.lit(1e-9)
-    pairs = a.join(b, "sha").filter((F.col("file_a") < F.col("file_b")) & ratio).select("file_a", "file_b", "total_a", "total_b").distinct()
-    small_is_a = F.col("total_a") <= F.col("total_b")
-    probe = pairs.select(
-        "*", F.when(small_is_a, F.col("file_a")).otherwise(F.col("file_b")).alias("file"),
-        F.when(small_is_a, F.col("file_b")).otherwise(F.col("file_a")).alias("partner"))
-    both = t.select("sha", F.col("file").alias("partner"))
-    counted = (
-        probe.join(t, "file").join(both, ["sha", "partner"])
-        .groupBy("file_a", "file_b", "total_a", "total_b").agg(F.count("*").alias("co_changes")))
+    key = ["file_a", "file_b", "total_a", "total_b"]
+    pairs = a.join(b, "sha").filter((F.col("file_a") < F.col("file_b")) & ratio).groupBy(*key, "need_a", "need_b", "rest_a", "rest_b").agg(F.count("*").alias("n"))
+    pairs = cut_lineage(pairs.filter(F.col("n") + F.col("rest_a") + F.col("rest_b") >= F.greatest("need_a", "need_b")).select(*key, "n"))
+    one = F.lit(1).cast("bigint").alias("n")
+    of_a = pairs.join(large.withColumnRenamed("file", "file_a"), "file_a").join(marked.select("sha", F.col("file").alias("file_b")), ["sha", "file_b"], "left_semi").select(*key, one)
+    of_b = pairs.join(large.withColumnRenamed("file", "file_b"), "file_b").join(offers.select("sha", F.col("file").alias("file_a")), ["sha", "file_a"], "left_semi").select(*key, one)
+    counted = pairs.unionByName(of_a).unionByName(of_b).groupBy(*key).agg(F.sum("n").alias("co_changes"))
     raw = F.col("co_changes") / F.greatest("total_a", "total_b")
     out = counted.withColumn("raw", raw).filter((F.col("co_changes") >= min_co) & (F.col("raw") >= min_strength)).select(
         "file_a", "file_b", "co_changes", S.half_up(F.col("raw"), 2).alias("strength"),

@@ -131,7 +131,6 @@ def file_policy(spark, root):
 @query("commit_log_parse", """SELECT 'c' || o_orderkey AS sha, 'u' || o_custkey || '@x.io' AS author, CASE WHEN o_orderstatus = 'P' THEN '1970-01-01' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS day, 'fix ' || lower(o_orderpriority) AS subject, CAST(1 + CAST(o_orderstatus = 'F' AS INT) AS BIGINT) AS n_files FROM orders""")
 def commit_log_parse(spark, root):
     k = F.col("o_orderkey").cast("string")
-    date = F.when(F.col("o_orderstatus") == "P", "not a date").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ssXXX"))
     date = F.when(F.col("o_orderstatus") == "P", "not a date").otherwise(F.concat(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00")))
     text = F.concat(F.lit("COMMIT:c"), k, F.lit("|u"), F.col("o_custkey").cast("string"), F.lit("@x.io|"), date, F.lit("|fix "), F.lower("o_orderpriority"), F.lit("|cut\n\nsrc/a"), k, F.lit(".ts\n"),
                     F.when(F.col("o_orderstatus") == "F", "  lib/b.ts \n").otherwise("\n"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trailgraph.functions import scalar as S
 from trailgraph.operators import build as B
 from trailgraph.operators import graph as G
 from trailgraph.operators import history as H

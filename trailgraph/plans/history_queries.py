@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trailgraph.functions import scalar as S
 from trailgraph.operators import history as H
 from trailgraph.plans.registry import query
 from trailgraph.sources import tables as T

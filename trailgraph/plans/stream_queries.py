@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trailgraph.plans.registry import query
-from trailgraph.sources import tables as T
 from trailgraph.streaming import streams as ST
 
 STAMP = "yyyy-MM-dd HH:mm:ss"

@@ -8,7 +8,6 @@ from trailgraph.functions import scalar as S
 from trailgraph.operators import budget as BU
 from trailgraph.operators import clarity as CL
 from trailgraph.operators import gates as GA
-from trailgraph.operators import ledger as L
 from trailgraph.operators import retrieval as R
 from trailgraph.plans.registry import query
 from trailgraph.plans.trust_queries import LINES
@@ -159,9 +158,6 @@ def retrieval_topk(spark, root):
     return R.search_lines(T.files(spark, root), ["src1", "tion", "the", "eau"], k=50)
 
 
-_SCORE_ALL = _SCORE
-
-
 @query("retrieval_chunks", f"""WITH f AS (SELECT source || '/' || doc_id AS path, string_split(text, chr(10)) AS ls FROM documents), c AS (SELECT path, greatest(1, least(2, len(ls))) AS b, ls FROM f), x AS (SELECT path, b, greatest(b, least(9, len(ls), b + 199)) AS e, ls FROM c)
 SELECT path, CAST(b AS BIGINT) AS start_line, CAST(e AS BIGINT) AS end_line, sha256(array_to_string(ls[b:e], chr(10))) AS content_hash FROM x""")
 def retrieval_chunks(spark, root):
