@@ -41,18 +41,22 @@ def grams(hashes: Column, k: int) -> Column:
     return F.transform(at, lambda i: F.xxhash64(*[F.element_at(hashes, i + j) for j in range(k)]))
 
 
-def selected(gram: Column, m: int, k: int) -> Column:
-    """Distinct (position, hash) that winnowing keeps, with positions from 0."""
+def places(packed: Column, m: int, k: int) -> Column:
+    """Positions (from 0) that winnowing keeps, of hashes packed with their place.
+
+    The high half holds the hash, the low half the place, so the least of a
+    window is its leftmost smallest. slice() copies its whole array, so windows
+    are read element by element.
+    """
     w = m - k + 1
-    n = F.size(gram) - w + 1
+    n = F.size(packed) - w + 1
     at = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    # The leftmost place of the minimum; places never go back, so equal ones are neighbours.
-    place = at if w == 1 else F.array_distinct(F.transform(at, lambda i: (i - 1 + F.array_position(F.slice(gram, i, w), F.array_min(F.slice(gram, i, w)))).cast("int")))
-    return F.transform(place, lambda p: F.struct((p - 1).alias("p"), F.element_at(gram, p).alias("fp")))
+    least = at if w == 1 else F.array_distinct(F.transform(at, lambda i: F.least(*[F.element_at(packed, i + j) for j in range(w)])))
+    return F.transform(least, lambda x: (x - 1 if w == 1 else x.bitwiseAND(F.lit(0xFFFFFFFF))).cast("int"))
 
 
-def _tagged(m: int):
-    return lambda s: F.struct(F.lit(m).alias("m"), s["p"].alias("p"), s["fp"].alias("fp"))
+def _tagged(m: int, gram: Column):
+    return lambda p: F.struct(F.lit(m).alias("m"), p.alias("p"), F.get(gram, p).alias("fp"))
 
 
 def fingerprints(df: DataFrame, lengths: list[int], keep: list[str]) -> DataFrame:
@@ -61,9 +65,10 @@ def fingerprints(df: DataFrame, lengths: list[int], keep: list[str]) -> DataFram
     parts = []
     for k in sorted({min(GRAM, m) for m in lengths}):
         hashed = hashed.withColumn(f"_g{k}", grams(F.col("_h"), k))
+        hashed = hashed.withColumn(f"_p{k}", F.transform(f"_g{k}", lambda g, i: F.shiftleft(F.shiftright(g, 32), 32) + i))
     for m in lengths:
         k = min(GRAM, m)
-        parts.append(F.transform(selected(F.col(f"_g{k}"), m, k), _tagged(m)))
+        parts.append(F.transform(places(F.col(f"_p{k}"), m, k), _tagged(m, F.col(f"_g{k}"))))
     return hashed.select(*keep, F.explode(F.concat(*parts)).alias("_f")).select(*keep, "_f.m", "_f.p", "_f.fp")
 
 
@@ -87,7 +92,7 @@ def scan(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
     found = fingerprints(src, lengths, ["key"]).join(tests, ["m", "fp"]).select("key", F.struct((F.col("p") - F.col("off")).alias("s"), "m", "win").alias("hit")).filter("hit.s >= 0")
     hits = cut_lineage(found.groupBy("key").agg(F.collect_set("hit").alias("hits")))
     joined = src.join(hits, "key", "left")
-    right = F.filter("hits", lambda x: F.array_join(F.slice("_w", x["s"] + 1, x["m"]), " ") == x["win"])
+    right = F.filter("hits", lambda x: F.array_join(F.transform(F.sequence(F.lit(0), x["m"] - 1), lambda j: F.get("_w", x["s"] + j)), " ") == x["win"])
     real = joined.select("key", "doc_id", F.size("_w").cast("long").alias("n_words"), F.when(F.col("hits").isNotNull(), right).alias("real"))
     starts = F.array_sort(F.transform("real", lambda x: F.struct(x["s"].alias("s"), x["m"].alias("m"))))
     # Covered words: spans in start order, counting only what lies beyond the furthest end so far.
