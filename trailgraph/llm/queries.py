@@ -68,3 +68,24 @@ def op2(spark, sf_dir):
     from trailgraph.llm import decontaminate
 
     return decontaminate.scan(table(spark, sf_dir), table(spark, sf_dir, "benchmark")).drop("key", "starts")
+
+
+@query("op3_pii")
+def op3(spark, sf_dir):
+    from trailgraph.llm import pii
+
+    return pii.scan(table(spark, sf_dir)).drop("key", "spans").withColumnRenamed("spans_text", "spans")
+
+
+@query("op10_licenses")
+def op10(spark, sf_dir):
+    from trailgraph.llm import licenses
+
+    return licenses.scan(table(spark, sf_dir)).drop("key", "matches")
+
+
+@query("op9_secrets")
+def op9(spark, sf_dir):
+    from trailgraph.llm import secrets
+
+    return secrets.scan(table(spark, sf_dir))
