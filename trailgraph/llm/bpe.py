@@ -153,7 +153,10 @@ def decode(ids: DataFrame, path: str, by: list[str]) -> DataFrame:
 
 
 def word_table(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
-    """word, n, h (hash), id_text (ids joined by commas), n_ids, bytes; each distinct word is encoded once."""
+    """word, n, h (hash), id_text (ids joined by commas), n_ids, other; each distinct word is encoded once.
+
+    ``other``: the bytes that its ids decode to, null where they are the word's own.
+    """
     counted = T.arrow_map(docs.select(text_col), lambda b: _distinct(b, path), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
     @F.pandas_udf("ids array<int>, h long")
@@ -163,36 +166,39 @@ def word_table(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
 
     coded = counted.withColumn("_e", encoded("word")).select("word", "n", F.col("_e.ids").alias("ids"), F.col("_e.h").alias("h"))
     back = decode(coded, path, ["word", "n", "h"])
-    return cut_lineage(back.select("word", "n", "h", F.array_join("ids", ",").alias("id_text"), F.size("ids").alias("n_ids"), "bytes"))
+    differs = F.when(F.col("bytes") != F.encode("word", "UTF-8"), F.col("bytes"))
+    return cut_lineage(back.select("word", "n", "h", F.array_join("ids", ",").alias("id_text"), F.size("ids").alias("n_ids"), differs.alias("other")))
 
 
 class Head:
-    """Sorted word hashes with their ids and bytes, for the map-side join."""
+    """Sorted word hashes with their ids, for the map-side join."""
 
     def __init__(self, table: pa.Table):
         h = table["h"].to_numpy().view(np.uint64)
-        order = np.argsort(h)
-        table = table.take(pa.array(order)).combine_chunks()
-        self.h = h[order]
+        self.row = np.argsort(h).astype(np.int32)
+        self.h = h[self.row]
         self.n_ids = table["n_ids"].to_numpy().astype(np.int32)
-        self.blobs = []
-        for name in ("id_text", "bytes"):
-            col = table[name].chunk(0) if table.num_rows else pa.array([], table[name].type)
-            col = col.cast(pa.binary()) if not pa.types.is_binary(col.type) else col
-            off = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1] if len(col) else np.zeros(1, np.int32)
-            self.blobs.append((off.copy(), col.buffers()[2].to_pybytes() if len(col) and col.buffers()[2] is not None else b""))
+        other = table["other"]
+        self.other = {int(i): other[int(i)].as_py() for i in np.flatnonzero(other.is_valid().to_numpy())}
+        text = table["id_text"].cast(pa.large_binary()).combine_chunks()
+        text = text.chunk(0) if isinstance(text, pa.ChunkedArray) else text
+        self.at = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1].astype(np.uint32 if text.nbytes < 1 << 32 else np.int64) if len(text) else np.zeros(1, np.uint32)
+        self.blob = text.buffers()[2].to_pybytes() if len(text) else b""
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Row of each hash, -1 where it isn't in the head."""
         if not len(self.h):
             return np.full(len(hashes), -1)
         at = np.minimum(np.searchsorted(self.h, hashes), len(self.h) - 1)
-        return np.where(self.h[at] == hashes, at, -1)
+        return np.where(self.h[at] == hashes, self.row[at], -1)
 
-    def get(self, which: int, rows: np.ndarray) -> np.ndarray:
-        off, blob = self.blobs[which]
+    def count(self, rows: np.ndarray) -> np.ndarray:
+        return np.where(rows >= 0, self.n_ids[rows], 0) if len(self.n_ids) else np.zeros(len(rows), np.int64)
+
+    def ids(self, rows: np.ndarray) -> np.ndarray:
+        """Ids of each row, joined by commas, as bytes."""
         out = np.empty(len(rows), object)
-        out[:] = [blob[a:b] if r >= 0 else None for r, a, b in zip(rows.tolist(), off[rows].tolist(), off[rows + 1].tolist())]
+        out[:] = [self.blob[a:b] for a, b in zip(self.at[rows].tolist(), self.at[rows + 1].tolist())] if len(self.n_ids) else b""
         return out
 
 
@@ -210,29 +216,40 @@ def head_of(words: DataFrame, limit: int) -> Head:
     head = short.filter(F.col("_c") >= F.lit(cut)) if cut is not None else short.limit(0)
     if clash:
         head = head.filter(~F.col("h").isin(clash))
-    return Head(head.select("h", "id_text", "n_ids", "bytes").toArrow())
+    return Head(head.select("h", "id_text", "n_ids", "other").toArrow())
 
 
 OUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long"
 FULL = ", ids string, decoded string"
 
 
-def _finish(doc_id, ids: list[bytes], counts, parts: list[bytes], full: bool) -> tuple:
-    joined, raw = b",".join(ids), b"".join(parts).decode("utf-8", "replace")
+def _finish(doc_id, ids: list[bytes], n_ids, text: bytes, full: bool) -> tuple:
+    joined, raw = b",".join(ids), text.decode("utf-8", "replace")
     body = raw.encode()
-    row = (doc_id, int(counts), hashlib.sha256(joined).hexdigest(), hashlib.sha256(body).hexdigest(), len(body))
+    row = (doc_id, int(n_ids), hashlib.sha256(joined).hexdigest(), hashlib.sha256(body).hexdigest(), len(body))
     return (*row, joined.decode(), raw) if full else row
 
 
+def _decoded(whole: str, at: np.ndarray, a: int, b: int, other: dict[int, bytes]) -> bytes:
+    """Words a..b as their ids decode; ``other`` by word."""
+    if not other:
+        return whole[at[a] : at[b]].encode()
+    return b"".join(other.get(j) or whole[at[j] : at[j + 1]].encode() for j in range(a, b))
+
+
+def _names(full: bool) -> list[str]:
+    return [x.split()[0] for x in (OUT + FULL * full).split(", ")]
+
+
 def _encode_batch(batch: pa.RecordBatch, path: str, head: Head, full: bool):
-    names = [x.split()[0] for x in (OUT + FULL * full).split(", ")]
+    names = _names(full)
     keys, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
     for lo, hi, data, offsets in T.chunks(batch.column(2), CHUNK):
         whole, at, first, hashes = split_words(data, offsets, specials(path))
         uniq, back = np.unique(hashes, return_inverse=True)
         found = head.find(uniq)
-        id_text, parts = head.get(0, found), head.get(1, found)
-        counts = np.concatenate([[0], np.cumsum(np.where(found >= 0, head.n_ids[found] if len(head.n_ids) else 0, 0)[back])])
+        id_text = head.ids(found)
+        counts = np.concatenate([[0], np.cumsum(head.count(found)[back])])
         missing = np.concatenate([[0], np.cumsum((found < 0)[back])])
         rows, keep = [], {"key": [], "done": [], "packed": [], "tail": []}
         for i in range(hi - lo):
@@ -241,7 +258,8 @@ def _encode_batch(batch: pa.RecordBatch, path: str, head: Head, full: bool):
             keep["key"].append(keys[lo + i])
             keep["done"].append(bool(done))
             if done:
-                rows.append(_finish(ids[lo + i], id_text[back[a:b]].tolist(), counts[b] - counts[a], parts[back[a:b]].tolist(), full))
+                other = {j: head.other[r] for j, r in enumerate(found[back[a:b]].tolist(), a) if r in head.other} if head.other else {}
+                rows.append(_finish(ids[lo + i], id_text[back[a:b]].tolist(), counts[b] - counts[a], _decoded(whole, at, a, b, other), full))
                 keep["packed"].append(None)
                 keep["tail"].append(None)
             else:
@@ -253,18 +271,19 @@ def _encode_batch(batch: pa.RecordBatch, path: str, head: Head, full: bool):
 
 
 def _close_batch(batch: pa.RecordBatch, path: str, head: Head, full: bool):
-    names = [x.split()[0] for x in (OUT + FULL * full).split(", ")]
     for doc_id, packed, tail in zip(*(batch.column(i).to_pylist() for i in range(3))):
         data = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
-        _, _, _, hashes = split_words(data, np.array([0, len(data)]), specials(path))
+        whole, at, _, hashes = split_words(data, np.array([0, len(data)]), specials(path))
         uniq, back = np.unique(hashes, return_inverse=True)
-        found = head.find(uniq)
-        id_text, parts = head.get(0, found)[back], head.get(1, found)[back]
-        n = int(np.where(found >= 0, head.n_ids[found] if len(head.n_ids) else 0, 0)[back].sum())
+        rows = head.find(uniq)
+        id_text, n = head.ids(rows)[back], int(head.count(rows)[back].sum())
+        other = {j: head.other[r] for j, r in enumerate(rows[back].tolist()) if r in head.other} if head.other else {}
         for x in tail:
-            id_text[x["pos"]], parts[x["pos"]] = x["id_text"].encode(), x["bytes"]
+            id_text[x["pos"]] = x["id_text"].encode()
             n += x["n_ids"]
-        yield {k: [v] for k, v in zip(names, _finish(doc_id, id_text.tolist(), n, parts.tolist(), full))}
+            if x["other"] is not None:
+                other[x["pos"]] = x["other"]
+        yield {k: [v] for k, v in zip(_names(full), _finish(doc_id, id_text.tolist(), n, _decoded(whole, at, 0, len(at) - 1, other), full))}
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", head_words: int = HEAD_WORDS, full: bool = False) -> DataFrame:
@@ -276,13 +295,13 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     out = OUT + FULL * full
     state = "key long, done boolean, packed binary, tail array<struct<pos:int,word:string>>, "
     first = cut_lineage(T.arrow_map(src, lambda b: _encode_batch(b, path, head.value, full), state + out))
-    names = [x.split()[0] for x in out.split(", ")]
+    names = _names(full)
     done = first.filter("done").select(*names)
     rest = first.filter(~F.col("done"))
     if rest.isEmpty():
         return done
     # Repeated rows share a key and would bring each position more than once.
-    places = rest.select("key", F.explode("tail").alias("t")).select("key", "t.pos", "t.word").join(words.select("word", "id_text", "n_ids", "bytes"), "word")
-    back = places.groupBy("key").agg(F.collect_set(F.struct("pos", "id_text", "n_ids", "bytes")).alias("tail"))
+    places = rest.select("key", F.explode("tail").alias("t")).select("key", "t.pos", "t.word").join(words.select("word", "id_text", "n_ids", "other"), "word")
+    back = places.groupBy("key").agg(F.collect_set(F.struct("pos", "id_text", "n_ids", "other")).alias("tail"))
     closed = rest.select("key", "doc_id", "packed").join(back, "key").select("doc_id", "packed", "tail")
     return done.unionByName(T.arrow_map(closed, lambda b: _close_batch(b, path, head.value, full), out))

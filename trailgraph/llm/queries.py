@@ -89,3 +89,11 @@ def op9(spark, sf_dir):
     from trailgraph.llm import secrets
 
     return secrets.scan(table(spark, sf_dir))
+
+
+@query("op5_quality")
+def op5(spark, sf_dir):
+    from trailgraph.llm import quality
+
+    docs = table(spark, sf_dir)
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
