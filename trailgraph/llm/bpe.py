@@ -146,7 +146,9 @@ def decode(ids: DataFrame, path: str, by: list[str]) -> DataFrame:
     vocabulary have no piece, as in the tokenizer.
     """
     pieces = F.broadcast(piece_table(ids.sparkSession, path))
-    each = ids.select(*by, F.posexplode("ids").alias("_pos", "id")).join(pieces, "id", "left")
+    # The outer form: posexplode() would infer a filter on ``ids``, which pushed below the word count encodes every occurrence.
+    each = ids.select(*by, F.posexplode_outer("ids").alias("_pos", "id")).join(pieces, "id", "left")
+    each = each.filter("_pos is not null")
     ordered = F.sort_array(F.collect_list(F.struct("_pos", "id", F.coalesce("piece_hex", F.lit("")).alias("hex"))))
     out = each.groupBy(*by).agg(ordered.alias("_o"))
     return out.select(*by, F.transform("_o", lambda x: x["id"]).alias("ids"), F.unhex(F.array_join(F.transform("_o", lambda x: x["hex"]), "")).alias("bytes"))

@@ -7,9 +7,11 @@ the same k-gram there, so the join of test and training fingerprints misses no
 shared window. Every hit is extended to the window it stands for and compared
 word by word; hashes only nominate.
 
-Null and empty texts have no words. Repeated rows give repeated results. The
-fingerprints of the test items are written first; Spark broadcasts them only if
-their files are small, else both sides are shuffled by fingerprint.
+The fingerprints of the test items are counted first. Up to ``BROADCAST_ROWS``
+they are broadcast, and a hit is verified in the row that holds the words; beyond
+that both sides are shuffled by fingerprint and hits go back to their documents.
+
+Null and empty texts have no words. Repeated rows give repeated results.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from trailgraph.runtime import cut_lineage
 WINDOW = 10
 GRAM = 5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+BROADCAST_ROWS = 100_000  # of (hash, offset, window text): some 20 MB
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -61,7 +64,7 @@ def _tagged(m: int, gram: Column):
 
 def fingerprints(df: DataFrame, lengths: list[int], keep: list[str]) -> DataFrame:
     """(keep..., m, p, fp) of the column ``_w`` of words, for every window length."""
-    hashed = df.select(*keep, F.transform("_w", lambda w: F.xxhash64(w)).alias("_h"))
+    hashed = df.select(*dict.fromkeys([*keep, "_w"]), F.transform("_w", lambda w: F.xxhash64(w)).alias("_h"))
     parts = []
     for k in sorted({min(GRAM, m) for m in lengths}):
         hashed = hashed.withColumn(f"_g{k}", grams(F.col("_h"), k))
@@ -69,7 +72,10 @@ def fingerprints(df: DataFrame, lengths: list[int], keep: list[str]) -> DataFram
     for m in lengths:
         k = min(GRAM, m)
         parts.append(F.transform(places(F.col(f"_p{k}"), m, k), _tagged(m, F.col(f"_g{k}"))))
-    return hashed.select(*keep, F.explode(F.concat(*parts)).alias("_f")).select(*keep, "_f.m", "_f.p", "_f.fp")
+    # The array is a column of its own, so that the generator runs in generated code and copies no kept
+    # column. explode() would infer a filter on its size, which pushed down evaluates the whole chain
+    # in place again and again; the outer form infers none, and its null rows join nothing.
+    return hashed.select(*keep, F.concat(*parts).alias("_fs")).select(*keep, F.explode_outer("_fs").alias("_f")).select(*keep, "_f.m", "_f.p", "_f.fp")
 
 
 def item_windows(items: DataFrame, item_col: str, text_col: str, window: int) -> DataFrame:
@@ -89,21 +95,30 @@ def scan(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
     texts = wins.select("m", "win").distinct().withColumnRenamed("win", "_w")
     tests = fingerprints(texts, lengths, ["_w"]).filter(F.size("_w") == F.col("m"))
     tests = cut_lineage(tests.select("m", "fp", F.col("p").alias("off"), F.array_join("_w", " ").alias("win")))
-    found = fingerprints(src, lengths, ["key"]).join(tests, ["m", "fp"]).select("key", F.struct((F.col("p") - F.col("off")).alias("s"), "m", "win").alias("hit")).filter("hit.s >= 0")
-    hits = cut_lineage(found.groupBy("key").agg(F.collect_set("hit").alias("hits")))
-    joined = src.join(hits, "key", "left")
-    right = F.filter("hits", lambda x: F.array_join(F.transform(F.sequence(F.lit(0), x["m"] - 1), lambda j: F.get("_w", x["s"] + j)), " ") == x["win"])
-    real = joined.select("key", "doc_id", F.size("_w").cast("long").alias("n_words"), F.when(F.col("hits").isNotNull(), right).alias("real"))
+    found = lambda keep, t: fingerprints(src, lengths, keep).join(t, ["m", "fp"]).withColumn("s", F.col("p") - F.col("off")).filter("s >= 0")
+    if tests.count() <= BROADCAST_ROWS:
+        hits = found(["key", "_w"], F.broadcast(tests)).filter(_stands(F.col("s"), F.col("m"), F.col("win"))).groupBy("key").agg(F.collect_set(F.struct("s", "m", "win")).alias("real"))
+    else:
+        near = found(["key"], tests).groupBy("key").agg(F.collect_set(F.struct("s", "m", "win")).alias("hits"))
+        hits = src.select("key", "_w").dropDuplicates(["key"]).join(near.hint("merge"), "key").select("key", F.filter("hits", lambda x: _stands(x["s"], x["m"], x["win"])).alias("real"))
     starts = F.array_sort(F.transform("real", lambda x: F.struct(x["s"].alias("s"), x["m"].alias("m"))))
     # Covered words: spans in start order, counting only what lies beyond the furthest end so far.
     begin = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
-    covered = F.aggregate(starts, begin, lambda a, x: F.struct((a["n"] + F.greatest(F.lit(0), x["s"] + x["m"] - F.greatest(a["end"], x["s"]))).alias("n"), F.greatest(a["end"], x["s"] + x["m"]).alias("end")), lambda a: a["n"])
-    base = cut_lineage(real.select("key", "doc_id", "n_words", F.coalesce(covered, F.lit(0)).cast("long").alias("n_hit"), F.coalesce(starts, F.array()).alias("starts"), F.array_distinct(F.transform("real", lambda x: x["win"])).alias("wins")))
+    covered = F.aggregate("starts", begin, lambda a, x: F.struct((a["n"] + F.greatest(F.lit(0), x["s"] + x["m"] - F.greatest(a["end"], x["s"]))).alias("n"), F.greatest(a["end"], x["s"] + x["m"]).alias("end")), lambda a: a["n"])
+    spans = cut_lineage(hits.select("key", starts.alias("starts"), F.array_distinct(F.transform("real", lambda x: x["win"])).alias("wins")))
+    per_doc = spans.select("key", "starts", covered.cast("long").alias("hit"))
     names = wins.select("item", F.array_join("win", " ").alias("win"))
-    owners = base.filter("n_hit > 0").select("key", F.explode("wins").alias("win")).join(names, "win").groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    out = base.join(owners, "key", "left")
-    listed = F.coalesce(F.col("items"), F.array().cast("array<string>"))
-    return out.select("key", "doc_id", "n_words", "n_hit", F.size(listed).cast("long").alias("n_items"), F.sha2(F.array_join(listed, ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "starts")
+    owners = spans.select("key", F.explode("wins").alias("win")).join(names, "win").groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    sizes = docs.select(T.row_key(id_col, text_col).alias("key"), F.col(id_col).cast("long").alias("doc_id"), F.size(words(F.col(text_col))).cast("long").alias("n_words"))
+    out = sizes.join(per_doc.join(owners, "key"), "key", "left")
+    listed, n_hit = F.coalesce(F.col("items"), F.array().cast("array<string>")), F.coalesce(F.col("hit"), F.lit(0)).cast("long")
+    none = F.array().cast("array<struct<s:int,m:int>>")
+    return out.select("key", "doc_id", "n_words", n_hit.alias("n_hit"), F.size(listed).cast("long").alias("n_items"), F.sha2(F.array_join(listed, ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), F.coalesce("starts", none).alias("starts"))
+
+
+def _stands(s: Column, m: Column, win: Column) -> Column:
+    """Do the words from ``s`` on make up the window?"""
+    return F.array_join(F.transform(F.sequence(F.lit(0), m - 1), lambda j: F.get("_w", s + j)), " ") == win
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -97,3 +97,11 @@ def op5(spark, sf_dir):
 
     docs = table(spark, sf_dir)
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op6_toxicity")
+def op6(spark, sf_dir):
+    from trailgraph.llm import toxicity
+
+    docs = table(spark, sf_dir)
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
