@@ -105,3 +105,10 @@ def op6(spark, sf_dir):
 
     docs = table(spark, sf_dir)
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op4_jaccard")
+def op4(spark, sf_dir):
+    from trailgraph.llm import jaccard
+
+    return jaccard.join(table(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "class_id")
