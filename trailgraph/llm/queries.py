@@ -112,3 +112,17 @@ def op4(spark, sf_dir):
     from trailgraph.llm import jaccard
 
     return jaccard.join(table(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "class_id")
+
+
+@query("op8_passages")
+def op8(spark, sf_dir):
+    from trailgraph.llm import passages
+
+    return passages.remove(table(spark, sf_dir))
+
+
+@query("pipeline")
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
