@@ -30,6 +30,7 @@ from trailgraph.runtime import cut_lineage
 SAMPLE = 6_000  # labelled documents of each kind
 TOKENS = 6_000  # words that may become landmarks
 LANDMARKS = 64
+ROUNDS = 3  # of choosing the worst sentences and fitting
 DECAY = 0.6
 FLOOR = 0.3
 CHUNK = 1 << 19
@@ -192,8 +193,8 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * worst + self.shift, -40, 40)))
 
 
-def choose(words: list[str], toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> tuple[np.ndarray, np.ndarray]:
-    """Landmarks among the words: those whose neighbourhoods hold most toxic documents against clean ones, then clean words that resemble them."""
+def choose(words: list[str], toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> tuple[np.ndarray, int]:
+    """Landmarks among the words: those whose neighbourhoods hold most toxic documents against clean ones, then clean words that resemble them; also how many are of the first kind."""
     x = dense(*as_codes(words))
     used = np.flatnonzero(x.any(0))
     x = x[:, used]
@@ -212,10 +213,10 @@ def choose(words: list[str], toxic: np.ndarray, clean: np.ndarray, n_toxic: int,
         picked.append(best)
         left *= 1 - np.minimum(near[best], 1)
     if not picked:
-        return np.zeros(0, int), k
+        return np.zeros(0, int), 0
     rival = np.where((clean > 0) & (b * 4 > a), k[:, picked].max(1), 0)
     rivals = [i for i in np.argsort(-rival, kind="stable")[: LANDMARKS // 4] if rival[i] > 0]
-    return np.array(picked + rivals), k
+    return np.array(picked + rivals), len(picked)
 
 
 def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 10.0, rounds: int = 400) -> tuple[np.ndarray, float]:
@@ -258,54 +259,80 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     lead = F.col("a") / n[1] - 2 * F.col("b") / n[0]
     top = counted.filter(F.length("w").between(3, 24)).orderBy(lead.desc(), "w").limit(TOKENS).collect()
     words = [r[0] for r in top]
-    picked, _ = choose([w.translate(_BACK) for w in words], np.array([r[1] for r in top]), np.array([r[2] for r in top]), n[1], n[0])
+    picked, n_toxic = choose([w.translate(_BACK) for w in words], np.array([r[1] for r in top]), np.array([r[2] for r in top]), n[1], n[0])
     if not len(picked):
         return Model()
     marks = dense(*as_codes([words[i].translate(_BACK) for i in picked]))
 
+    # Documents stand for all labelled ones of their kind, of which they may be a sample.
+    there = dict(map(tuple, rows.groupBy("_y").count().collect()))
+    share = {kind: there[kind] / n[kind] for kind in (0, 1)}
+    root = _root(marks)
+    toxic_marks = np.arange(len(marks)) < n_toxic
+    model, old = Model(marks, toxic_marks.astype(float)), None
+    for _ in range(ROUNDS):
+        # Of each document the sentence that the model so far finds worst.
+        k, y = worst_sentences(texts, model, 4 * sample)
+        seen = k.any(1)
+        # Toxic documents in which nothing resembles a landmark teach nothing about sentences.
+        use = seen | (y < 0)
+        x, t = k[use], y[use]
+        if old is not None:  # earlier hard negatives stay
+            x, t = np.concatenate([x, old]), np.concatenate([t, np.full(len(old), -1.0)])
+        hard = x[(t < 0) & x.any(1)]
+        weight = np.where(t > 0, share[1], share[0])
+        w, bias = svm(x @ root, t, weight / weight.sum() * 40)
+        model, old = Model(marks, root @ w, bias), hard
+    k, y = worst_sentences(texts, model, 4 * sample)
+    model.slope, model.shift = platt(k @ model.weights + model.bias, y > 0, np.where(y > 0, share[1], share[0]))
+    return model
+
+
+def _root(marks: np.ndarray) -> np.ndarray:
+    """Nyström map: inverse root of the landmarks' kernel matrix."""
+    gram = marks @ marks.T
+    gram[gram < FLOOR] = 0
+    value, vector = np.linalg.eigh(gram + 1e-3 * np.eye(len(marks)))
+    return vector @ np.diag(1 / np.sqrt(np.maximum(value, 0.05))) @ vector.T
+
+
+def worst_sentences(texts: DataFrame, model: Model, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Similarities of each document's worst sentence (zeros: nothing near), and -1 or 1."""
+
     def examples(batch):
         y = batch.column(0).to_numpy()
         for lo, hi, data, offsets in T.chunks(batch.column(1), CHUNK):
-            doc, k = sentences(Tokens(data, offsets), marks)
-            # Per document the sentence closest to any landmark; none is a row of zeros.
-            best = np.zeros((hi - lo, len(marks)), np.float32)
-            order = np.argsort(k.max(1), kind="stable") if len(k) else []
+            doc, k = sentences(Tokens(data, offsets), model.marks)
+            best = np.zeros((hi - lo, len(model.marks)), np.float32)
+            value = k @ model.weights
+            order = np.argsort(value, kind="stable")
+            order = order[value[order] > 0] if model.bias == 0 else order
             best[doc[order]] = k[order]
+            top = np.full(hi - lo, -np.inf)
+            np.maximum.at(top, doc, value)
+            best[top < 0] = 0  # an untouched sentence scores more
             yield {"y": pa.array(y[lo:hi].astype(np.int32)), "k": list(best.astype(float))}
 
-    got = T.arrow_map(texts, examples, "y int, k array<double>").orderBy("y", "k").limit(4 * sample).toArrow()
+    got = T.arrow_map(texts, examples, "y int, k array<double>").orderBy("y", "k").limit(limit).toArrow()
     y = np.where(got["y"].to_numpy() == 1, 1.0, -1.0)
-    k = np.array(got["k"].to_pylist(), float).reshape(len(y), len(marks))
-    gram = marks @ marks.T
-    gram[gram < FLOOR] = 0
-    value, vector = np.linalg.eigh(gram + 1e-3 * np.eye(len(marks)))
-    root = vector @ np.diag(1 / np.sqrt(np.maximum(value, 0.05))) @ vector.T  # Nyström map
-    seen = k.any(1)
-    # Toxic documents in which nothing resembles a landmark teach nothing about sentences.
-    use = seen | (y < 0)
-    weight = np.where(y > 0, 1 / max((use & (y > 0)).sum(), 1), 1 / max((use & (y < 0)).sum(), 1)) * len(y) / 2
-    w, b = svm(k[use] @ root, y[use], weight[use] / max(use.sum(), 1) * 4)
-    weights = root @ w
-    margin = k @ weights + b
-    slope, shift = platt(margin[use], y[use] > 0)
-    return Model(marks, weights, b, slope, shift)
+    return np.array(got["k"].to_pylist(), float).reshape(len(y), len(model.marks)), y
 
 
 #: Counted words are written as code + 96; codes 27 to 31 become letters outside a-z.
 _BACK = {96 + c: chr(next(x for x in range(0x430, 0x440) if 27 + x % 5 == c)) for c in range(27, 32)}
 
 
-def platt(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+def platt(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     """Logistic slope and shift of the score, by Newton steps."""
     a, b = 2.0, 0.0
     target = np.where(y, (y.sum() + 1) / (y.sum() + 2), 1 / ((~y).sum() + 2))
-    for _ in range(50):
+    for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(a * margin + b, -40, 40)))
-        g = np.array([((p - target) * margin).sum() + 1e-2 * (a - 2), (p - target).sum()])
-        h = p * (1 - p)
+        miss, h = weight * (p - target), weight * p * (1 - p)
+        g = np.array([(miss * margin).sum() + 1e-2 * (a - 2), miss.sum()])
         hess = np.array([[(h * margin**2).sum() + 1e-2, (h * margin).sum()], [(h * margin).sum(), h.sum() + 1e-6]])
-        delta = np.linalg.solve(hess, g)
-        a, b = a - np.clip(delta[0], -2, 2), b - np.clip(delta[1], -2, 2)
+        delta = np.clip(np.linalg.solve(hess, g), -1, 1)
+        a, b = a - delta[0], b - delta[1]
     return max(float(a), 0.1), float(b)
 
 
