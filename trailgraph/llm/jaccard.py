@@ -11,8 +11,8 @@ finds the other.
 
 Cost-based allocation: a set need only probe H + 1 of its segments. A segment
 no other set holds costs nothing; one whose holders are already connected costs
-nothing either. First every holder is compared with its bucket's smallest class
-(a bucket of g holders gives g - 1 comparisons, never g * g); what components
+nothing either. First every set is compared with one hub, of the smallest holders of its
+buckets the one it shares most with (one comparison a set); what components
 then leave open is probed cheapest bucket first, until H + 1 segments of every
 set are settled. All candidates are verified on whole sets.
 
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -34,6 +35,7 @@ from trailgraph.runtime import cut_lineage
 
 K = 5
 NUM, DEN = 75, 100
+BROADCAST_IDS = 1_000_000  # 16 MB
 _SEED = np.uint64(0xA5A5A5A5A5A5A5A5)
 
 
@@ -126,28 +128,42 @@ def _signatures(batch: pa.RecordBatch, num: int, den: int):
 
 def _verify(batch: pa.RecordBatch, num: int, den: int):
     x, y = batch.column(0), batch.column(1)
+    seen: dict[bytes, np.ndarray] = {}
+
+    def set_of(packed: bytes) -> np.ndarray:
+        if packed not in seen:
+            if len(seen) > 64:
+                seen.clear()
+            data = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
+            seen[packed] = shingle_sets(data, np.array([0, len(data)]))[0]
+        return seen[packed]
+
     ok = []
-    for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-        u, v = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    for a, b in zip(batch.column(2), batch.column(3)):
+        u, v = set_of(a.as_py()), set_of(b.as_py())
         both = len(np.intersect1d(u, v, assume_unique=True))
         ok.append(den * both >= num * (len(u) + len(v) - both))
     keep = pa.array(ok, pa.bool_())
     yield {"x": x.filter(keep), "y": y.filter(keep)}
 
 
-def verified(pairs: DataFrame, docs: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (x, y) of nodes whose sets reach the threshold. ``docs``: node, t."""
-    n = sizes.select("node", "n")
-    close = pairs.join(n.withColumnsRenamed({"node": "x", "n": "nx"}), "x").join(n.withColumnsRenamed({"node": "y", "n": "ny"}), "y").filter(F.least("nx", "ny") * den >= F.greatest("nx", "ny") * num).select("x", "y")
-    close = cut_lineage(close)
-    used = close.select(F.col("x").alias("node")).union(close.select("y")).distinct()
+def close_in_size(pairs: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
+    n = sizes.select("node", "n").distinct()
+    return pairs.join(n.withColumnsRenamed({"node": "x", "n": "nx"}), "x").join(n.withColumnsRenamed({"node": "y", "n": "ny"}), "y").filter(F.least("nx", "ny") * den >= F.greatest("nx", "ny") * num).drop("nx", "ny")
 
-    def sets_of(batch):
-        for lo, hi, data, offsets in T.chunks(batch.column(1)):
-            yield {"node": batch.column(0)[lo:hi], "s": [u.tobytes() for u in shingle_sets(data, offsets)]}
 
-    sets = cut_lineage(T.arrow_map(docs.join(cut_lineage(used), "node", "left_semi").dropDuplicates(["node"]), sets_of, "node long, s binary"))
-    rows = close.join(sets.withColumnsRenamed({"node": "x", "s": "sx"}), "x").join(sets.withColumnsRenamed({"node": "y", "s": "sy"}), "y").select("x", "y", "sx", "sy")
+def verified(pairs: DataFrame, docs: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (x, y) of nodes whose sets reach the threshold. ``docs``: node, t. Texts travel packed."""
+    pairs = cut_lineage(pairs.select("x", "y"))
+    used = cut_lineage(pairs.select(F.col("x").alias("node")).union(pairs.select("y")).distinct())
+    # Ids are broadcast only if counted to be few; beyond that documents are shuffled.
+    chosen = docs.join(F.broadcast(used) if used.count() <= BROADCAST_IDS else used, "node", "left_semi")
+
+    def pack(batch):
+        yield {"node": batch.column(0), "s": [zstandard.ZstdCompressor(level=1).compress((t or "").encode()) for t in batch.column(1).to_pylist()]}
+
+    packed = cut_lineage(T.arrow_map(chosen, pack, "node long, s binary").dropDuplicates(["node"]))
+    rows = pairs.join(packed.withColumnsRenamed({"node": "x", "s": "sx"}), "x").join(packed.withColumnsRenamed({"node": "y", "s": "sy"}), "y").select("x", "y", "sx", "sy")
     return cut_lineage(T.arrow_map(rows, lambda b: _verify(b, num, den), "x long, y long"))
 
 
@@ -187,8 +203,10 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: i
     w = W.partitionBy("sig").orderBy("node")
     held = sig.withColumn("hub", F.first("node").over(w)).withColumn("next", F.lead("node").over(w)).filter("hub <> node or next <> hub")
     held = cut_lineage(held.select("sig", "node", "state", "hub"))
-    pairs = held.filter("hub <> node").select(F.col("node").alias("x"), F.col("hub").alias("y")).distinct()
-    edges = verified(pairs, heads, sizes, num, den)
+    # Of its hubs a set is first compared with the one it shares most segments with.
+    shared = close_in_size(held.filter("hub <> node").groupBy(F.col("node").alias("x"), F.col("hub").alias("y")).agg(F.count("*").alias("k")), sizes, num, den)
+    pairs = cut_lineage(shared.groupBy("x").agg(F.max(F.struct("k", (-F.col("y")).alias("m"))).alias("best")).select("x", (-F.col("best.m")).alias("y")))
+    edges = verified(pairs, heads, num, den)
     label = components(edges)
     # What is still open: segments whose holders lie in different components.
     named = held.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -201,7 +219,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: i
         other = open_.select("sig", F.col("node").alias("other"), F.col("comp").alias("its"))
         more = probes.join(other, "sig").filter("comp <> its").select(F.least("node", "other").alias("x"), F.greatest("node", "other").alias("y")).distinct()
         tried = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-        found = verified(more.join(tried, ["x", "y"], "left_anti"), heads, sizes, num, den)
+        found = verified(close_in_size(more.join(tried, ["x", "y"], "left_anti"), sizes, num, den), heads, num, den)
         if not found.isEmpty():
             label = components(edges.union(found))
     out = rows.select("node", "doc_id").join(sizes.groupBy("node").agg(F.max("n").alias("n_shingles")), "node", "left").join(copies.distinct(), "node", "left")
