@@ -7,9 +7,10 @@ the same k-gram there, so the join of test and training fingerprints misses no
 shared window. Every hit is extended to the window it stands for and compared
 word by word; hashes only nominate.
 
-The fingerprints of the test items are counted first. Up to ``BROADCAST_ROWS``
-they are broadcast, and a hit is verified in the row that holds the words; beyond
-that both sides are shuffled by fingerprint and hits go back to their documents.
+The fingerprints of the test items are counted first. Up to ``FEW`` of them become
+a hash set in the plan, and a hit is verified in the row that holds the words;
+beyond that both sides are shuffled by fingerprint and hits go back to their
+documents.
 
 Null and empty texts have no words. Repeated rows give repeated results.
 """
@@ -25,7 +26,7 @@ from trailgraph.runtime import cut_lineage
 WINDOW = 10
 GRAM = 5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-BROADCAST_ROWS = 100_000  # of (hash, offset, window text): some 20 MB
+FEW = 20_000  # test windows: some 4 MB with their texts
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -62,8 +63,8 @@ def _tagged(m: int, gram: Column):
     return lambda p: F.struct(F.lit(m).alias("m"), p.alias("p"), F.get(gram, p).alias("fp"))
 
 
-def fingerprints(df: DataFrame, lengths: list[int], keep: list[str]) -> DataFrame:
-    """(keep..., m, p, fp) of the column ``_w`` of words, for every window length."""
+def fingerprints(df: DataFrame, lengths: list[int], keep: list[str], only: list[int] | None = None) -> DataFrame:
+    """(keep..., m, p, fp) of the column ``_w`` of words, for every window length; of the hashes ``only``, if given."""
     hashed = df.select(*dict.fromkeys([*keep, "_w"]), F.transform("_w", lambda w: F.xxhash64(w)).alias("_h"))
     parts = []
     for k in sorted({min(GRAM, m) for m in lengths}):
@@ -72,10 +73,12 @@ def fingerprints(df: DataFrame, lengths: list[int], keep: list[str]) -> DataFram
     for m in lengths:
         k = min(GRAM, m)
         parts.append(F.transform(places(F.col(f"_p{k}"), m, k), _tagged(m, F.col(f"_g{k}"))))
-    # The array is a column of its own, so that the generator runs in generated code and copies no kept
-    # column. explode() would infer a filter on its size, which pushed down evaluates the whole chain
-    # in place again and again; the outer form infers none, and its null rows join nothing.
-    return hashed.select(*keep, F.concat(*parts).alias("_fs")).select(*keep, F.explode_outer("_fs").alias("_f")).select(*keep, "_f.m", "_f.p", "_f.fp")
+    rows = hashed.select(*keep, F.concat(*parts).alias("_fs"))
+    if only is not None:  # a set in the plan: explode() copies all kept columns, so few elements may reach it
+        rows = rows.withColumn("_fs", F.expr(f"filter(_fs, f -> f.fp in ({', '.join(f'{x}L' for x in only) or 'null'}))"))
+    # explode() would infer a filter on the array's size, which pushed down evaluates the whole chain in
+    # place again and again; the outer form infers none, and its null rows join nothing.
+    return rows.select(*keep, F.explode_outer("_fs").alias("_f")).select(*keep, "_f.m", "_f.p", "_f.fp")
 
 
 def item_windows(items: DataFrame, item_col: str, text_col: str, window: int) -> DataFrame:
@@ -95,9 +98,10 @@ def scan(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
     texts = wins.select("m", "win").distinct().withColumnRenamed("win", "_w")
     tests = fingerprints(texts, lengths, ["_w"]).filter(F.size("_w") == F.col("m"))
     tests = cut_lineage(tests.select("m", "fp", F.col("p").alias("off"), F.array_join("_w", " ").alias("win")))
-    found = lambda keep, t: fingerprints(src, lengths, keep).join(t, ["m", "fp"]).withColumn("s", F.col("p") - F.col("off")).filter("s >= 0")
-    if tests.count() <= BROADCAST_ROWS:
-        hits = found(["key", "_w"], F.broadcast(tests)).filter(_stands(F.col("s"), F.col("m"), F.col("win"))).groupBy("key").agg(F.collect_set(F.struct("s", "m", "win")).alias("real"))
+    found = lambda keep, t, only=None: fingerprints(src, lengths, keep, only).join(t, ["m", "fp"]).withColumn("s", F.col("p") - F.col("off")).filter("s >= 0")
+    if tests.count() <= FEW:
+        only = [r[0] for r in tests.select("fp").distinct().collect()]
+        hits = found(["key", "_w"], F.broadcast(tests), only).filter(_stands(F.col("s"), F.col("m"), F.col("win"))).groupBy("key").agg(F.collect_set(F.struct("s", "m", "win")).alias("real"))
     else:
         near = found(["key"], tests).groupBy("key").agg(F.collect_set(F.struct("s", "m", "win")).alias("hits"))
         hits = src.select("key", "_w").dropDuplicates(["key"]).join(near.hint("merge"), "key").select("key", F.filter("hits", lambda x: _stands(x["s"], x["m"], x["win"])).alias("real"))
