@@ -79,11 +79,11 @@ def test_decontaminate(docs, spark):
     want = sorted(brute.decontaminate(given(docs), items))
     cols = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     assert got(decontaminate.scan(docs, bench), *cols) == want
-    limit, decontaminate.BROADCAST_ROWS = decontaminate.BROADCAST_ROWS, 0
+    limit, decontaminate.FEW = decontaminate.FEW, 0
     try:
         assert got(decontaminate.scan(docs, bench), *cols) == want
     finally:
-        decontaminate.BROADCAST_ROWS = limit
+        decontaminate.FEW = limit
     assert sorted(r.doc_id for r in decontaminate.drop_contaminated(docs, bench).collect()) == [x[0] for x in want if not x[5]]
 
 
