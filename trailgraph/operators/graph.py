@@ -86,9 +86,10 @@ def impact(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, evidence: bool
         *([F.element_at("arrival", -1).alias("link_ord")] if evidence else []))
 
 
-def rank_impact(details: DataFrame, limit: int) -> DataFrame:
-    """Direct first, then highest churn, then id."""
-    return details.orderBy("hop", F.desc(F.coalesce("churn", F.lit(-1))), "id").limit(limit)
+def rank_impact(details: DataFrame, limit: int | None = None) -> DataFrame:
+    """Direct first, then highest churn, then id; all of them unless a limit is asked for."""
+    ordered = details.orderBy("hop", F.desc(F.coalesce("churn", F.lit(-1))), "id")
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def test_impact(nodes: DataFrame, edges: DataFrame, changed: DataFrame, pattern: str = S.TEST_FILE["impact"]) -> DataFrame:

@@ -169,13 +169,13 @@ def ticket_gaps(spark, root):
     return CL.ticket_gaps(logs.ticket_targets(tickets(spark, root)), known).select("ticket", "node_id")
 
 
-@query("open_questions", """SELECT 'doc' || o_orderkey AS doc, q AS id, CASE q WHEN 'Q1' THEN 'Is a|b ' || o_custkey || '?' WHEN 'Q2' THEN 'Old?' WHEN 'Q3' THEN 'Second?' ELSE 'Box ' || o_custkey END AS question, CASE q WHEN 'Q1' THEN 'open' WHEN 'Q2' THEN 'resolved' WHEN 'Q3' THEN 'in-review' ELSE 'resolved' END AS status,
-  CASE q WHEN 'Q1' THEN 'blocking' ELSE 'normal' END AS priority FROM orders, (VALUES ('Q1'), ('Q2'), ('Q3'), ('Q6')) v(q) WHERE q <> 'Q6' OR o_orderstatus = 'F'""")
+@query("open_questions", """SELECT 'doc' || o_orderkey AS doc, id, CASE id WHEN '1' THEN 'Is it ' || o_custkey || '?' WHEN '7' THEN 'It must go' WHEN '3' THEN 'Box ' || o_custkey ELSE 'Old?' END AS question, CASE WHEN id IN ('3', '2') THEN 'resolved' ELSE 'open' END AS status,
+  CASE WHEN id IN ('1', '7') THEN 'blocking' ELSE 'normal' END AS priority FROM orders, (VALUES ('1'), ('7'), ('3'), ('2')) v(id) WHERE id <> '3' OR o_orderstatus = 'F'""")
 def open_questions(spark, root):
     o, c = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
     box = F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("- [x] Box "), c, F.lit("\n"))).otherwise("\n")
-    text = F.concat(F.lit("# Open\n| # | Question | Owner | Status | Priority |\n|---|---|---|---|---|\n| Q1 | Is a\\|b "), c, F.lit("? | me | open | blocking |\n| Q3 | Second? | you | In-Review | normal |\n"), box,
-                    F.lit("## Resolved Questions\n\n| # | Question | Resolution | Resolved At |\n|---|---|---|---|\n| Q2 | Old? | yes | today |\n"))
+    text = F.concat(F.lit("# Open\n| 5 | before the table | me | open | p0 |\n| # | Question | Owner | Status | Priority |\n|---|---|---|---|---|\n| 1 | Is it "), c, F.lit("? | me | open | P0 |\n| 7 | It must go | you | In-Review | normal |\n| Q8 | no digits | you | open | p0 |\n"), box,
+                    F.lit("## Resolved Questions\n| 4 | outside | you | done | p0 |\n| # | Question | Owner | Status |\n|---|---|---|---|\n| 2 | Old? | yes | Closed today |\n"))
     return logs.open_questions(T.table(spark, root, "orders").select(F.concat(F.lit("doc"), o).alias("doc"), text.alias("content"))).select("doc", "id", "question", "status", "priority")
 
 
@@ -185,10 +185,10 @@ def workspace_hash(spark, root):
     return logs.workspace_hash(T.files(spark, root).select("path", F.sha2("content", 256).alias("sha256"), "ext"), by=["ext"])
 
 
-@query("source_snapshot", "SELECT source || '/' || doc_id AS path, sha256(text) AS sha256 FROM documents WHERE n_chars <= 5000")
+@query("source_snapshot", "SELECT source || '/' || doc_id AS path, sha256(text) AS sha256 FROM documents")
 def source_snapshot(spark, root):
     f = T.table(spark, root, "documents").select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), F.col("text").alias("content"), F.col("n_chars").alias("size"))
-    return logs.source_snapshot(f, 5000)
+    return logs.source_snapshot(f)
 
 
 @query("churn_attach", f"""WITH t AS (SELECT p_brand || '/' || p_partkey || CASE WHEN p_size > 25 THEN '.py' ELSE '.ts' END AS file, count(*) AS churn FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL)

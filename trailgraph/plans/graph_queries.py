@@ -26,7 +26,12 @@ EDGES = """edges AS (
   UNION ALL SELECT DISTINCT 'order:' || l_orderkey, 'supplier:' || l_suppkey, 'ships_from' FROM lineitem)"""
 SUCC = """succ AS (SELECT src, dst, count(*) AS n FROM (
   SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS dst FROM lineitem)
-  WHERE dst IS NOT NULL GROUP BY ALL HAVING count(*) >= 2)"""
+  WHERE dst IS NOT NULL GROUP BY ALL)"""
+
+#: Least distance to the parts that the condition names; each level adds only nodes not seen before.
+LEVELS = """r(id, depth) USING KEY (id) AS (
+  SELECT p_partkey, CAST(0 AS BIGINT) FROM part WHERE {}
+  UNION SELECT src, CAST(min(r.depth) + 1 AS BIGINT) FROM r JOIN succ ON dst = r.id LEFT JOIN recurring.r AS seen ON seen.id = src WHERE seen.id IS NULL GROUP BY src)"""
 
 
 def succ(spark, root):
@@ -52,26 +57,22 @@ def impact_closure(spark, root):
     return G.reach(T.fk_edges(spark, root), seeds).filter(F.col("depth") > 0).select(F.col("node").alias("id"))
 
 
-@query("impact_depths", f"""WITH RECURSIVE {SUCC}, r AS (
-  SELECT p_partkey AS id, 0 AS depth FROM part WHERE p_size >= 45
-  UNION SELECT src, depth + 1 FROM succ JOIN r ON dst = id WHERE depth < 40)
-SELECT id, CAST(min(depth) AS BIGINT) AS depth FROM r GROUP BY id HAVING min(depth) > 0""")
+@query("impact_depths", f"""WITH RECURSIVE {SUCC}, {LEVELS.format("p_size >= 45")}
+SELECT id, depth FROM r WHERE depth > 0""")
 def impact_depths(spark, root):
     seeds = T.table(spark, root, "part").filter("p_size >= 45").select(F.col("p_partkey").alias("node"))
-    return G.reach(succ(spark, root), seeds, max_depth=40).filter(F.col("depth") > 0).select(F.col("node").alias("id"), "depth")
+    return G.reach(succ(spark, root), seeds).filter(F.col("depth") > 0).select(F.col("node").alias("id"), "depth")
 
 
-@query("impact_direct_indirect", f"""WITH RECURSIVE {SUCC}, r AS (
-  SELECT p_partkey AS id, 0 AS depth FROM part WHERE p_size >= 45
-  UNION SELECT src, depth + 1 FROM succ JOIN r ON dst = id WHERE depth < 40),
-d AS (SELECT id, min(depth) AS depth FROM r GROUP BY id HAVING min(depth) > 0),
+@query("impact_direct_indirect", f"""WITH RECURSIVE {SUCC}, {LEVELS.format("p_size >= 45")},
+d AS (SELECT id, depth FROM r WHERE depth > 0),
 x AS (SELECT d.id, replace(p_name, ' ', '.') AS label, CASE WHEN depth = 1 THEN 'direct' ELSE 'indirect' END AS hop, CAST(p_size AS BIGINT) AS churn, p_size >= 8 AS high_churn
   FROM d JOIN part ON p_partkey = id)
-SELECT * FROM x ORDER BY hop, churn DESC, id LIMIT 200""")
+SELECT * FROM x""")
 def impact_direct_indirect(spark, root):
     seeds = T.table(spark, root, "part").filter("p_size >= 45").select(F.col("p_partkey").alias("node"))
     found = G.impact(part_nodes(spark, root), succ(spark, root), seeds, evidence=False)
-    return G.rank_impact(found, 200).select("id", "label", "hop", "churn", "high_churn")
+    return found.select("id", "label", "hop", "churn", "high_churn")
 
 
 @query("test_impact_reasons", f"""WITH RECURSIVE {NODES}, {EDGES}, r AS (
@@ -95,10 +96,8 @@ def callers_direct(spark, root):
     return G.rank_callers(G.callers(succ(spark, root), targets)).select("id", "confidence", "ord")
 
 
-@query("callers_transitive", f"""WITH RECURSIVE {SUCC}, r AS (
-  SELECT p_partkey AS id, 0 AS depth FROM part WHERE p_name LIKE '% ring'
-  UNION SELECT src, depth + 1 FROM succ JOIN r ON dst = id WHERE depth < 40)
-SELECT id, CAST(min(depth) AS BIGINT) AS depth FROM r GROUP BY id HAVING min(depth) > 0""")
+@query("callers_transitive", f"""WITH RECURSIVE {SUCC}, {LEVELS.format("p_name LIKE '% ring'")}
+SELECT id, depth FROM r WHERE depth > 0""")
 def callers_transitive(spark, root):
     names = spark.createDataFrame([("ring",)], "name string")
     targets = G.find_symbols(part_nodes(spark, root), names).select(F.col("id").alias("node"), F.col("id").alias("ord"))
@@ -119,14 +118,14 @@ def symbol_lookup_tiered(spark, root):
     return found.groupBy("name", "tier", "label").agg(F.count("*").alias("matches"), F.min("id").alias("first_id"))
 
 
-@query("simple_paths", f"""WITH RECURSIVE {SUCC.replace("succ AS", "often AS")}, {SUCC.replace(">= 2", ">= 1")}, p AS (
+@query("simple_paths", f"""WITH RECURSIVE {SUCC}, often AS (SELECT * FROM succ WHERE n >= 2), p AS (
   SELECT src AS s, dst AS t, src AS cur, [src] AS path, CAST([] AS BIGINT[]) AS ords FROM often WHERE src <> dst
   UNION ALL SELECT s, t, succ.dst, list_append(path, succ.dst), list_append(ords, succ.src * 1000000000 + succ.dst)
   FROM p JOIN succ ON succ.src = p.cur WHERE p.cur <> p.t AND len(path) <= 3 AND NOT list_contains(path, succ.dst)),
 d AS (SELECT *, row_number() OVER (PARTITION BY s, t ORDER BY len(ords), ords) AS r FROM p WHERE cur = t)
 SELECT CAST(s AS VARCHAR) AS s, CAST(t AS VARCHAR) AS t, CAST(len(ords) AS BIGINT) AS hops, array_to_string(path, '>') AS path FROM d WHERE r <= 10""")
 def simple_paths(spark, root):
-    e = T.successor_edges(spark, root, 1).select(
+    e = T.successor_edges(spark, root).select(
         F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), (F.col("src") * 10**9 + F.col("dst")).alias("ord"), "n")
     pairs = e.filter("n >= 2 and src <> dst").select(F.col("src").alias("s"), F.col("dst").alias("t"))
     return G.simple_paths(e, pairs, max_depth=3).select("s", "t", "hops", F.array_join("path", ">").alias("path"))

@@ -89,7 +89,7 @@ def trust_counters(spark, root):
 
 FACTS = f"""{SUCC}, facts AS (
   SELECT 'source-file|part/' || p_partkey AS fact_key, 'source-file' AS type, 'Source module `part/' || p_partkey || '` is in the approved project scope.' AS statement FROM part WHERE p_size > 5
-  UNION SELECT 'module-imports|part/' || src || '|part/' || dst, 'module-imports', 'Module `part/' || src || '` imports `part/' || dst || '`.' FROM succ JOIN part ON p_partkey = dst WHERE p_size > 5 AND n = 2
+  UNION SELECT 'module-imports|part/' || src || '|part/' || dst, 'module-imports', 'Module `part/' || src || '` imports `part/' || dst || '`.' FROM succ JOIN part ON p_partkey = dst WHERE p_size > 5 AND n <= 2
   UNION SELECT 'package-dependency|' || s_name, 'package-dependency', '`' || s_name || '` is a declared package dependency.' FROM supplier WHERE s_acctbal > 0 AND s_nationkey >= 5)"""
 
 

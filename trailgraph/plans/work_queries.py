@@ -86,7 +86,7 @@ def gate_rule_lint(spark, root):
     return found.select("severity", what.alias("what"), "file", "line")
 
 
-DEAD = """succ AS (SELECT src, dst, count(*) AS n FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS dst FROM lineitem) WHERE dst IS NOT NULL GROUP BY ALL HAVING count(*) >= 2),
+DEAD = """succ AS (SELECT src, dst, count(*) AS n FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS dst FROM lineitem) WHERE dst IS NOT NULL GROUP BY ALL),
 p AS (SELECT p_partkey AS k, 'src/' || replace(p_brand, '#', '') AS dir FROM part),
 e AS (SELECT 'load' || k AS name, dir || '/p' || k || '.ts' AS file, 9 AS line FROM p WHERE k NOT IN (SELECT src FROM succ) AND k NOT IN (SELECT dst FROM succ)
   UNION ALL SELECT 'Box' || k, dir || '/p' || k || '.ts', 16 FROM p WHERE k NOT IN (SELECT dst FROM succ)

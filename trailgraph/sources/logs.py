@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trailgraph.functions import scalar as S
@@ -24,10 +25,12 @@ def read_text_files(spark: SparkSession, path: str, glob: str | None = None) ->
 def commit_records(spark: SparkSession, path: str) -> DataFrame:
     """Raw commit records of a log written as `COMMIT:...` blocks: record.
 
-    The header marker is the record separator, so a log of any size splits
-    across tasks and no line numbering is needed.
+    The header marker at a line's start is the record separator, so a log of any
+    size splits across tasks and no line numbering is needed. Only the first
+    record of a file still has its marker.
     """
-    return spark.read.option("lineSep", "COMMIT:").text(path).filter(S.trim("value") != "").select(F.concat(F.lit("COMMIT:"), "value").alias("record"))
+    marked = F.when(F.col("value").startswith("COMMIT:"), F.col("value")).otherwise(F.concat(F.lit("COMMIT:"), "value"))
+    return spark.read.option("lineSep", "\nCOMMIT:").text(path).filter(S.trim("value") != "").select(marked.alias("record"))
 
 
 def parse_commits(records: DataFrame, column: str = "record") -> DataFrame:
@@ -54,7 +57,7 @@ def changed_paths(status_lines: DataFrame, column: str = "line", own_folder: str
     """Source files named by short status lines: three columns are cut, a rename
     keeps its new name, quotes go. Other columns stay."""
     others = [c for c in status_lines.columns if c != column]
-    p = S.trim(F.substring(column, 4, 1 << 20))
+    p = S.trim(F.substr(F.col(column), F.lit(4)))
     p = F.when(p.contains(" -> "), F.element_at(F.split(p, " -> "), 2)).otherwise(p)
     p = F.regexp_replace(p, r'^"|"$', "")
     out = status_lines.select(*others, p.alias("path")).filter((F.col("path") != "") & F.col("path").rlike(S.SOURCE_SUFFIX))
@@ -79,23 +82,32 @@ def ticket_targets(tickets: DataFrame) -> DataFrame:
 
 
 def open_questions(docs: DataFrame) -> DataFrame:
-    """Rows of Markdown question tables and check-box lists: doc, id, question,
-    owner, status, priority. Rows below the resolved heading are resolved."""
-    cut = F.split("content", r"(?im)^##[ \t]+resolved questions[ \t]*$")
-    d = docs.select("doc", F.posexplode(F.slice(cut, 1, 2)).alias("part", "text")).select("doc", "part", F.posexplode(F.split("text", "\n")).alias("pos", "l"))
-    t = S.trim("l")
-    cells = F.transform(F.split(F.regexp_replace(F.regexp_replace(t, r"\\\|", "\u0001"), r"^\||\|$", ""), r"\|"), lambda x: F.translate(S.trim(x), "\u0001", "|"))
-    cell = lambda i: F.try_element_at(cells, F.lit(i))
-    is_row = t.startswith("|") & ~t.rlike(r"^\|[\s:|-]+\|?$") & ~cell(2).isin("Question")
-    rows = d.filter(is_row & (F.size(cells) >= 3)).select(
-        "doc", cell(1).alias("id"), cell(2).alias("question"), F.when(F.col("part") == 0, cell(3)).alias("owner"),
-        F.when(F.col("part") == 1, "resolved").otherwise(F.lower(F.coalesce(cell(4), F.lit("open")))).alias("status"),
-        F.when(F.col("part") == 0, F.lower(F.coalesce(cell(5), F.lit("normal")))).otherwise("normal").alias("priority"))
-    box = r"^[-*]\s+\[( |x|X)\]\s+(.*)$"
-    boxes = d.filter(t.rlike(box)).select(
-        "doc", F.concat(F.lit("Q"), (F.col("pos") + 1).cast("string")).alias("id"), F.regexp_extract(t, box, 2).alias("question"), F.lit(None).cast("string").alias("owner"),
-        F.when(F.lower(F.regexp_extract(t, box, 1)) == "x", "resolved").otherwise("open").alias("status"), F.lit("normal").alias("priority"))
-    return rows.unionByName(boxes)
+    """Rows of Markdown question tables and check boxes: doc, id, question,
+    owner, status, priority.
+
+    A table begins at its `| # |` head and ends at the next heading; its ids are
+    digits. A check box is numbered by its place among the document's items.
+    """
+    # Words that close a question, and words that make it block.
+    closed, blocking = ["resolved", "closed", "done"], r"(?i)(blocking|critical|required|must|p0)"
+    lines = docs.select("doc", F.posexplode(F.split("content", "\n")).alias("pos", "l")).withColumn("t", S.trim("l"))
+    t = F.col("t")
+    is_box = t.startswith("- [ ]") | t.startswith("- [x]")
+    is_head = ~is_box & (t.startswith("| # |") | t.startswith("|#|"))
+    order = W.partitionBy("doc").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
+    inside = F.coalesce(F.last(F.when(is_head, True).when(~is_box & t.startswith("##"), False), True).over(order), F.lit(False))
+    cells = F.filter(F.transform(F.split("t", r"\|"), lambda x: S.trim(x)), lambda x: x != "")
+    cell = lambda i: F.coalesce(F.try_element_at(cells, F.lit(i)), F.lit(""))
+    is_row = ~is_box & ~is_head & F.col("inside") & t.startswith("|") & ~t.contains("---") & (F.size(cells) >= 3) & cell(1).rlike(r"^[0-9]+$")
+    text = F.when(is_box, S.trim(F.substr("t", F.lit(6)))).otherwise(cell(2))
+    state = F.lower(F.when(cell(4) == "", "open").otherwise(cell(4)))
+    is_closed = F.when(is_box, t.startswith("- [x]")).otherwise(state.contains(closed[0]) | state.contains(closed[1]) | state.contains(closed[2]))
+    level = F.when(is_box, "").otherwise(F.lower(cell(5)))
+    blocks = level.contains("p0") | level.contains("block") | text.rlike(blocking)
+    items = lines.withColumn("inside", inside).filter(is_box | is_row).withColumn("nth", F.row_number().over(W.partitionBy("doc").orderBy("pos")))
+    return items.select(
+        "doc", F.when(is_box, F.col("nth").cast("string")).otherwise(cell(1)).alias("id"), text.alias("question"), F.when(~is_box, cell(3)).alias("owner"),
+        F.when(is_closed, "resolved").otherwise("open").alias("status"), F.when(blocks, "blocking").otherwise("normal").alias("priority"))
 
 
 EXPERIMENT = ("id string, goal string, hypothesis string, targetFile string, targetSymbol string, baselineValue double, measuredValue double, "
@@ -136,6 +148,6 @@ def write_protected(df: DataFrame, path: str, text_columns: list[str], mode: str
     df.write.mode(mode).parquet(path)
 
 
-def source_snapshot(files: DataFrame, max_bytes: int = 2 * 1024 * 1024) -> DataFrame:
-    """path, sha256 of text files up to max_bytes. files: path, content, size."""
-    return files.filter(F.col("size") <= max_bytes).select("path", F.sha2("content", 256).alias("sha256"))
+def source_snapshot(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """path, sha256 of text files, up to max_bytes if given. files: path, content, size."""
+    return (files if max_bytes is None else files.filter(F.col("size") <= max_bytes)).select("path", F.sha2("content", 256).alias("sha256"))

@@ -115,7 +115,7 @@ def item_edges(spark: SparkSession, root: str) -> DataFrame:
     return out
 
 
-def successor_edges(spark: SparkSession, root: str, min_count: int = 2) -> DataFrame:
+def successor_edges(spark: SparkSession, root: str) -> DataFrame:
     """part -> next part in the same order (cyclic, sparse): src, dst, n
 
     Lines of one order are ordered inside slices of 1024 line numbers; only one
@@ -131,7 +131,7 @@ def successor_edges(spark: SparkSession, root: str, min_count: int = 2) -> DataF
     ends = rows.filter(F.col("dst").isNull())
     bridge = ends.select("src", F.lead("head").over(W.partitionBy("l_orderkey").orderBy("slice")).alias("dst"))
     pairs = rows.select("src", "dst").unionByName(bridge).filter(F.col("dst").isNotNull())
-    return pairs.groupBy("src", "dst").agg(F.count("*").alias("n")).filter(F.col("n") >= min_count)
+    return pairs.groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
 # -- documents -------------------------------------------------------------
@@ -168,7 +168,7 @@ def session_log(spark: SparkSession, root: str, spread_out: bool = False) -> Dat
 
 # -- source trees whose text comes from the rows ---------------------------
 
-def source_tree(spark: SparkSession, root: str, min_count: int = 2) -> DataFrame:
+def source_tree(spark: SparkSession, root: str) -> DataFrame:
     """A TypeScript tree: one module per part and one per successor pair.
 
     Every file's text is built from columns of one row, so a hot part adds rows,
@@ -194,9 +194,8 @@ def source_tree(spark: SparkSession, root: str, min_count: int = 2) -> DataFrame
             "k", "pkg", "k", "env", "k", "k", "k", "k", "k").alias("content"))
     a = part.select(F.col("k").alias("sk"), F.col("dir").alias("sdir"))
     b = part.select(F.col("k").alias("dk"), F.col("dir").alias("ddir"))
-    e = successor_edges(spark, root, min_count).select(F.col("src").cast("string").alias("sk"), F.col("dst").cast("string").alias("dk"))
-    # Narrow rows are spread over the cores before their text is made.
-    pairs = e.join(a, "sk").join(b, "dk").repartition(spark.sparkContext.defaultParallelism).select(
+    e = successor_edges(spark, root).select(F.col("src").cast("string").alias("sk"), F.col("dst").cast("string").alias("dk"))
+    pairs = e.join(a, "sk").join(b, "dk").select(
         F.concat(F.lit("src/"), F.col("sdir"), F.lit("/links/p"), F.col("sk"), F.lit("_p"), F.col("dk"), F.lit(".ts")).alias("path"),
         F.format_string(
             "import { load%s } from '../p%s.js';\n"

@@ -50,7 +50,7 @@ def session_changes(hooks: DataFrame, ttl: str = "30 days") -> DataFrame:
     edit = F.col("tool_name").rlike(EDIT_TOOLS) & F.col("file_path").rlike(S.SOURCE_SUFFIX)
     check = (F.col("tool_name") == "Bash") & F.col("command").rlike(VALIDATION)
     kind = F.when(edit, "changed").when(check, "validated")
-    value = F.when(edit, S.slashes("file_path")).when(check, F.substring("command", 1, 200))
+    value = F.when(edit, S.slashes("file_path")).when(check, F.col("command"))
     seen = hooks.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", ttl).select("session_id", "ts", kind.alias("kind"), value.alias("value")).filter(F.col("kind").isNotNull())
     return seen.dropDuplicatesWithinWatermark(["session_id", "kind", "value"])
 
