@@ -12,6 +12,7 @@ import os
 import time
 
 from trailgraph.plans import catalog
+from trailgraph.runtime import release
 from trailgraph.session import get_spark
 
 HEADLINE = [
@@ -47,6 +48,7 @@ def main() -> None:
     if edges:
         out["graph_edges_per_sec"] = round(edges / times["graph_build"])
     print(json.dumps(out), flush=True)
+    release(spark)
     spark.stop()
 
 

@@ -5,6 +5,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
+from trailgraph.runtime import release  # noqa: E402
 from trailgraph.session import get_spark  # noqa: E402
 
 
@@ -13,6 +14,7 @@ def spark():
     s = get_spark("tests", master="local[8]", spark__sql__shuffle__partitions="4", spark__driver__memory="8g", spark__ui__showConsoleProgress="false")
     s.sparkContext.setLogLevel("ERROR")
     yield s
+    release(s)
     s.stop()
 
 

@@ -8,6 +8,7 @@ sizes when it decides whether a frontier is small enough to broadcast.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,11 +16,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
+#: Folders of rounds written so far, by application; ``release`` removes them.
+_written: dict[str, list[str]] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder.
 
-    Only a local-mode session without the setting gets a temporary folder; on a
-    cluster a machine-local folder would not survive an executor.
+    Only a session in one process (local mode) that lacks the setting gets a
+    temporary folder; executors elsewhere could not see it.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -27,12 +32,21 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="trailgraph-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+def release(spark: SparkSession) -> int:
+    """Remove all rounds this application has written; DataFrames that read them end. Returns their number."""
+    folders = _written.pop(spark.sparkContext.applicationId, [])
+    for folder in folders:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return len(folders)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back."""
     return RoundStore(df.sparkSession, df.schema).append(df)
@@ -45,6 +59,7 @@ class RoundStore:
         self.spark = spark
         self.schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
         self.base = f"{shared_dir(spark)}/rounds-{uuid.uuid4().hex}"
+        _written.setdefault(spark.sparkContext.applicationId, []).append(self.base)
         self.paths: list[str] = []
 
     def append(self, df: DataFrame) -> DataFrame:
