@@ -97,8 +97,10 @@ def disclosing_terms(docs: DataFrame, mentions: DataFrame, id_col: str = "doc_id
     terms = _terms(src.join(holders, "key", "left_semi").withColumn("th", F.xxhash64("t")))
     # Words and mentions of a text in reading order: each word sees the mention before and after it.
     both = terms.select("key", "th", "start", "end", "term", F.lit(None).cast("struct<entity:bigint,start:bigint,end:bigint>").alias("m")).unionByName(named.select("key", F.lit(None).cast("long").alias("th"), "start", "end", F.lit(None).cast("string").alias("term"), F.struct("entity", "start", "end").alias("m")))
-    order = W.partitionBy("key").orderBy("start", "end")
-    seen = both.withColumn("prev", F.last("m", True).over(order.rowsBetween(W.unboundedPreceding, 0))).withColumn("next", F.first("m", True).over(order.rowsBetween(0, W.unboundedFollowing))).filter("term is not null")
+    # Running frames both ways: a frame that reaches to the end would be summed anew for every row.
+    before = W.partitionBy("key").orderBy("start", "end").rowsBetween(W.unboundedPreceding, 0)
+    after = W.partitionBy("key").orderBy(F.desc("start"), F.desc("end")).rowsBetween(W.unboundedPreceding, 0)
+    seen = both.withColumn("prev", F.last("m", True).over(before)).withColumn("next", F.last("m", True).over(after)).filter("term is not null")
     inside = (F.coalesce(F.col("prev.end") > F.col("start"), F.lit(False))) | (F.coalesce(F.col("next.start") < F.col("end"), F.lit(False)))
     close = F.array_compact(F.array(F.when(F.col("start") - F.col("prev.end") <= near, F.col("prev.entity")), F.when(F.col("next.start") - F.col("end") <= near, F.col("next.entity"))))
     near_rows = cut_lineage(seen.filter(~inside).select("key", "th", "start", "end", "term", F.explode(F.array_distinct(close)).alias("entity")))
