@@ -149,7 +149,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield {"id": batch.column(0)[lo:hi], "y": batch.column(2)[lo:hi], "x": list(statistics(data, offsets))}
 
     got = T.arrow_map(rows, measure, "id long, y int, x array<double>").orderBy("id", "x").limit(sample).toArrow()
-    x = np.array(got["x"].to_pylist(), float).reshape(got.num_rows, -1)
+    if not got.num_rows:
+        return fit(np.zeros((0, 1)), np.zeros(0))
+    x = np.array(got["x"].to_pylist(), float)
     return fit(x, got["y"].to_numpy().astype(float))
 
 
