@@ -107,14 +107,33 @@ def op6(spark, sf_dir):
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
-@query("op4_jaccard")
+@query("op4_jaccard", sql=r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS sh FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+x AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM x JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * k >= 75 * (na.n + nb.n - k)),
+both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r(id, c) USING KEY (id) AS (SELECT doc_id, doc_id FROM documents
+  UNION SELECT t.a, min(r.c) FROM r JOIN both_ways t ON t.b = r.id JOIN recurring.r AS o ON o.id = t.a GROUP BY t.a, o.c HAVING min(r.c) < o.c)
+SELECT r.id AS doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, r.c AS component_id FROM r LEFT JOIN n ON n.doc_id = r.id
+""")
 def op4(spark, sf_dir):
     from trailgraph.llm import jaccard
 
-    return jaccard.join(table(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "class_id")
+    return jaccard.join(table(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
-@query("op8_passages")
+@query("op8_passages", sql=r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+r AS (SELECT win FROM p GROUP BY win HAVING count(*) > 1),
+c AS (SELECT DISTINCT doc_id, i + j AS pos FROM (SELECT doc_id, i, unnest(range(0, 35)) AS j FROM p SEMI JOIN r USING (win))),
+k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS kept FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM d) ANTI JOIN c USING (doc_id, pos) GROUP BY doc_id),
+g AS (SELECT doc_id, count(*) AS n FROM c GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(g.n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id) LEFT JOIN g USING (doc_id)
+""")
 def op8(spark, sf_dir):
     from trailgraph.llm import passages
 
