@@ -87,12 +87,12 @@ def _kept(data: np.ndarray, w: T.Words, gone: np.ndarray | None) -> tuple[int, i
 
 def _split(batch: pa.RecordBatch, full: bool):
     """Documents without a recurring anchor are done; the others are packed."""
-    nodes, anchors = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-    out = {k: [] for k in ("node", "n_words", "n_removed", "kept_sha256", "packed", "anchors", "kept")}
+    nodes, anchors, twins = (batch.column(i).to_pylist() for i in (0, 2, 3))
+    out = {k: [] for k in ("node", "n_words", "n_removed", "kept_sha256", "packed", "anchors", "kept", "twin")}
     for lo, hi, data, offsets in T.chunks(batch.column(1)):
         for i in range(hi - lo):
             d = data[offsets[i] : offsets[i + 1]]
-            row = [nodes[lo + i], None, None, None, None, None, None]
+            row = [nodes[lo + i], None, None, None, None, None, None, twins[lo + i]]
             if anchors[lo + i] is None:
                 n, gone, sha, body = _kept(d, T.Words(d, np.array([0, len(d)])), None)
                 row[1:4] = n, gone, sha
@@ -110,14 +110,14 @@ def _unpack(packed: bytes) -> np.ndarray:
 
 
 def _candidates(batch: pa.RecordBatch, window: int, gram: int):
-    """Windows with a recurring anchor: hash, node, start."""
-    for node, packed, anchors in zip(*(batch.column(i).to_pylist() for i in range(3))):
+    """Windows with a recurring anchor: hash, node, start, twin."""
+    for node, packed, anchors, twin in zip(*(batch.column(i).to_pylist() for i in range(4))):
         d = _unpack(packed)
         w = T.Words(d, np.array([0, len(d)]))
         start, _, h = windows(w, window, gram)
         start = start[np.isin(h, np.frombuffer(anchors, np.uint64))]
         if len(start):
-            yield {"h": T.span_hash(w.hashes, start, start + window).view(np.int64), "node": np.full(len(start), node), "start": start.astype(np.int32)}
+            yield {"h": T.span_hash(w.hashes, start, start + window).view(np.int64), "node": np.full(len(start), node), "start": start.astype(np.int32), "twin": np.full(len(start), twin)}
 
 
 def _locate(batch: pa.RecordBatch, window: int, full: bool):
@@ -172,20 +172,21 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
     copies = cut_lineage(sizes.join(classes, ["a", "b", "n"]).select("node", "class", "n").distinct())
     heads = rows.select("node", "t").join(copies.filter("node <> class").select("node"), "node", "left_anti")
 
-    anchors = cut_lineage(T.arrow_map(heads, lambda b: _anchors(b, window, gram), "anchor long, node long, n long"))
+    anchors = T.arrow_map(heads, lambda b: _anchors(b, window, gram), "anchor long, node long, n long")
     twice = copies.filter("node = class").select("node", F.lit(True).alias("twin"))  # all windows of these recur
     weighed = anchors.join(twice, "node", "left").select("anchor", "node", F.when(F.col("twin"), F.greatest("n", F.lit(2))).otherwise(F.col("n")).alias("n"))
     recurring = weighed.groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor")
     per_doc = anchors.select("anchor", "node").join(recurring, "anchor").groupBy("node").agg(F.collect_set("anchor").alias("anchors"))
-    state = RESULT + ", packed binary, anchors binary, kept string"
-    first = cut_lineage(T.arrow_map(heads.join(per_doc, "node", "left").select("node", "t", "anchors"), lambda b: _split(b, full), state))
+    state = RESULT + ", packed binary, anchors binary, kept string, twin boolean"
+    known = heads.join(per_doc, "node", "left").join(twice, "node", "left").select("node", "t", "anchors", F.coalesce("twin", F.lit(False)).alias("twin"))
+    first = cut_lineage(T.arrow_map(known, lambda b: _split(b, full), state))
     # Rows repeated with id and text are copies of each other and still one head.
-    packed = first.filter("packed is not null").dropDuplicates(["node"]).select("node", "packed", "anchors")
-    spots = T.arrow_map(packed, lambda b: _candidates(b, window, gram), "h long, node long, start int")
-    spots = cut_lineage(spots.join(twice, "node", "left").select("h", "node", "start", F.coalesce("twin", F.lit(False)).alias("twin")))
+    first = first.filter("not twin").unionByName(first.filter("twin").dropDuplicates(["node"]))
+    packed = first.filter("packed is not null")
+    spots = T.arrow_map(packed.select("node", "packed", "anchors", "twin"), lambda b: _candidates(b, window, gram), "h long, node long, start int, twin boolean")
     confirmed = spots.groupBy("h").agg(F.sum(F.when(F.col("twin"), 2).otherwise(1)).alias("n")).filter("n > 1").select("h")
-    where = spots.join(confirmed, "h").groupBy("node").agg(F.collect_set("start").alias("starts"))
+    where = spots.select("h", "node", "start").join(confirmed, "h").groupBy("node").agg(F.collect_set("start").alias("starts"))
     found = T.arrow_map(packed.select("node", "packed").join(where, "node", "left"), lambda b: _locate(b, window, full), RESULT + ", kept string")
-    done = first.filter("packed is null").dropDuplicates(["node"]).select("node", "n_words", "n_removed", "kept_sha256", "kept").unionByName(found)
+    done = first.filter("packed is null").select("node", "n_words", "n_removed", "kept_sha256", "kept").unionByName(found)
     out = rows.select("node", "doc_id").join(copies.select("node", "class"), "node", "left").withColumn("class", F.coalesce("class", "node")).join(done.withColumnRenamed("node", "class"), "class")
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256", *(["kept"] if full else []))
