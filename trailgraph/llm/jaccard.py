@@ -11,8 +11,8 @@ finds the other.
 
 Cost-based allocation: a set need only probe H + 1 of its segments. A segment
 no other set holds costs nothing; one whose holders are already connected costs
-nothing either. First every set is compared with one hub, of the smallest holders of its
-buckets the one it shares most with (one comparison a set); what components
+nothing either. First every set is compared with a few holders it shares most segments with
+(at most PARTNERS comparisons a set, never all pairs of a bucket); what components
 then leave open is probed cheapest bucket first, until H + 1 segments of every
 set are settled. All candidates are verified on whole sets.
 
@@ -35,6 +35,7 @@ from trailgraph.runtime import cut_lineage
 
 K = 5
 NUM, DEN = 75, 100
+PARTNERS = 4  # of the first comparison; what it misses is probed in full
 BROADCAST_IDS = 1_000_000  # 16 MB
 _SEED = np.uint64(0xA5A5A5A5A5A5A5A5)
 
@@ -152,6 +153,19 @@ def close_in_size(pairs: DataFrame, sizes: DataFrame, num: int, den: int) -> Dat
     return pairs.join(n.withColumnsRenamed({"node": "x", "n": "nx"}), "x").join(n.withColumnsRenamed({"node": "y", "n": "ny"}), "y").filter(F.least("nx", "ny") * den >= F.greatest("nx", "ny") * num).drop("nx", "ny")
 
 
+def enough_shared(met: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs that can link: x settles limit + 1 segments and shares k of them with y; a linked pair
+    differs in at most its own H, so it shares limit + 1 - H. ``met``: x, y, band, k, slack."""
+    n = sizes.select("node", "n").distinct()
+    rows = met.join(n.withColumnsRenamed({"node": "x", "n": "nx"}), "x").join(n.withColumnsRenamed({"node": "y", "n": "ny"}), "y").filter(F.least("nx", "ny") * den >= F.greatest("nx", "ny") * num)
+    bits = F.floor(F.log2(F.col("nx") + F.lit(0.5))).cast("int")  # exact for whole sizes
+    own = F.floor((F.col("nx") + F.floor(F.col("nx") * den / num)) * (den - num) / (den + num))
+    below = F.floor((F.col("nx") + F.pow(F.lit(2.0), bits) - 1) * (den - num) / (den + num))
+    limit = F.when(bits % 2 == F.col("band"), own).otherwise(below)
+    h = F.floor((F.col("nx") + F.col("ny")) * (den - num) / (den + num))
+    return rows.filter((F.col("slack") < 0) | (F.col("k") >= limit + 1 - h)).select("x", "y")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (x, y) of nodes whose sets reach the threshold. ``docs``: node, t. Texts travel packed."""
     pairs = cut_lineage(pairs.select("x", "y"))
@@ -203,9 +217,14 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: i
     w = W.partitionBy("sig").orderBy("node")
     held = sig.withColumn("hub", F.first("node").over(w)).withColumn("next", F.lead("node").over(w)).filter("hub <> node or next <> hub")
     held = cut_lineage(held.select("sig", "node", "state", "hub"))
-    # Of its hubs a set is first compared with the one it shares most segments with.
-    shared = close_in_size(held.filter("hub <> node").groupBy(F.col("node").alias("x"), F.col("hub").alias("y")).agg(F.count("*").alias("k")), sizes, num, den)
-    pairs = cut_lineage(shared.groupBy("x").agg(F.max(F.struct("k", (-F.col("y")).alias("m"))).alias("best")).select("x", (-F.col("best.m")).alias("y")))
+    # First partners: the bucket's smallest holder and the next ones in two orders; of those the
+    # PARTNERS that a set shares most segments with.
+    other = W.partitionBy("sig").orderBy(F.xxhash64("node", "sig"))
+    lined = held.withColumn("n1", F.lead("node").over(w)).withColumn("n2", F.lead("node").over(other))
+    near = lined.select("node", F.explode(F.array("hub", "n1", "n2")).alias("y")).filter("y <> node")
+    shared = close_in_size(near.groupBy(F.col("node").alias("x"), "y").agg(F.count("*").alias("k")), sizes, num, den)
+    best = W.partitionBy("x").orderBy(F.desc("k"), "y")
+    pairs = cut_lineage(shared.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= PARTNERS).select("x", "y"))
     edges = verified(pairs, heads, num, den)
     label = components(edges)
     # What is still open: segments whose holders lie in different components.
@@ -214,12 +233,13 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: i
     open_ = cut_lineage(named.join(mixed, "sig").select("sig", "node", "comp", "g", F.shiftright("state", 1).alias("slack"), F.col("state").bitwiseAND(F.lit(1)).alias("band")))
     per_set = W.partitionBy("node", "band")
     probes = open_.withColumn("left", F.count("*").over(per_set)).withColumn("rank", F.row_number().over(per_set.orderBy("g", "sig"))).filter((F.col("slack") < 0) | (F.col("rank") <= F.col("left") - F.col("slack")))
-    probes = cut_lineage(probes.select("sig", "node", "comp"))
+    probes = cut_lineage(probes.select("sig", "node", "comp", "band", "slack"))
     if not probes.isEmpty():
         other = open_.select("sig", F.col("node").alias("other"), F.col("comp").alias("its"))
-        more = probes.join(other, "sig").filter("comp <> its").select(F.least("node", "other").alias("x"), F.greatest("node", "other").alias("y")).distinct()
+        met = probes.join(other, "sig").filter("comp <> its").groupBy(F.col("node").alias("x"), F.col("other").alias("y"), "band").agg(F.count("*").alias("k"), F.min("slack").alias("slack"))
+        more = enough_shared(met, sizes, num, den).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
         tried = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-        found = verified(close_in_size(more.join(tried, ["x", "y"], "left_anti"), sizes, num, den), heads, num, den)
+        found = verified(more.join(tried, ["x", "y"], "left_anti"), heads, num, den)
         if not found.isEmpty():
             label = components(edges.union(found))
     out = rows.select("node", "doc_id").join(sizes.groupBy("node").agg(F.max("n").alias("n_shingles")), "node", "left").join(copies.distinct(), "node", "left")
