@@ -54,6 +54,17 @@ def test_pii_terms(spark):
     assert "Zorblax" not in clean[0] and "[EMAIL]" in clean[0] and clean[50] == rows[50][1]
 
 
+def test_pii_terms_of_single_texts(spark):
+    filler = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
+    common = lambda i: " ".join(filler[(i * k + j) % 10] for k in (1, 3) for j in range(7))
+    once = f"Zorblax {common(0)} {common(1)} z@x.org, +1 222 333 4444 {common(2)}"
+    rows = [(0, once), (1, once)] + [(i, f"{common(i)} word{chr(97 + i % 26)}") for i in range(2, 120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = {r.doc_id: r.spans_text for r in pii.scan(docs).collect()}
+    assert [x for x in spans[0].split(",") if x.startswith("term:")] == ["term:0:7"]  # one text, far from its mentions
+    assert spans[1] == spans[0] and all(not spans[i] for i in range(2, 120))
+
+
 def test_secrets(docs):
     want = []
     for i, t in given(docs):

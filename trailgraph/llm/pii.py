@@ -1,12 +1,13 @@
 """Personal data by information-theoretic sanitisation, in DataFrame expressions only.
 
 Base: four patterns per text. Every match is a mention of a protected entity
-(its normalised value). Method: the words near mentions are counted over the
-whole corpus; a word t discloses an entity e as far as PMI(e; t) reaches the
+(its normalised value). Method: a word t of a text that mentions entity e
+discloses it as far as PMI(e; t), counted over the whole corpus, reaches the
 information content IC(e). With PMI / IC >= ``remove_at`` the word is removed
-near that entity, with >= ``generalise_at`` it is generalised. ``support`` is
-the least number of different texts in which both must stand near each other;
-copies of one text are no evidence.
+from the texts that mention e, with >= ``generalise_at`` it is generalised.
+Counts are of different texts: copies of one text are no evidence. PMI is
+smoothed: P(e | t) starts at P(e) with the weight of ``smoothing`` texts, so
+entities and words of a single text are judged too, with less certainty.
 
 Null text counts as empty. Repeated rows give repeated results.
 """
@@ -77,44 +78,55 @@ def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return _located(rows, ["key", "kind"]).filter(_valid(F.col("kind"), F.col("match"))).select("key", "kind", "start", "end", "match")
 
 
-def _terms(docs: DataFrame) -> DataFrame:
-    """key, th, start, end, term: the words of ``docs`` (key, th, t)."""
+def _terms(texts: DataFrame) -> DataFrame:
+    """th, start, end, term: the words of the different ``texts`` (th, t)."""
     m, b = _matches(F.col("t"), TERM)
-    rows = docs.dropDuplicates(["key"]).withColumn("m", m).withColumn("b", b).select("key", "th", F.posexplode(F.arrays_zip("m", F.slice("b", 1, F.size("m")).alias("b"))).alias("i", "y")).select("key", "th", "i", F.col("y.b").alias("before"), F.col("y.m").alias("match"))
-    return _located(rows, ["key"]).select("key", "th", "start", "end", F.lower("match").alias("term"))
+    rows = texts.withColumn("m", m).withColumn("b", b).select("th", F.posexplode(F.arrays_zip("m", F.slice("b", 1, F.size("m")).alias("b"))).alias("i", "y")).select("th", "i", F.col("y.b").alias("before"), F.col("y.m").alias("match"))
+    return _located(rows, ["th"]).select("th", "start", "end", F.lower("match").alias("term"))
 
 
-def disclosing_terms(docs: DataFrame, mentions: DataFrame, id_col: str = "doc_id", text_col: str = "text", near: int = 48, support: int = 3, generalise_at: float = 0.7, remove_at: float = 0.9) -> DataFrame:
-    """key, start, end, action ('generalise' or 'remove') of words that reveal a near entity.
+def _outside(terms: DataFrame, marks: DataFrame) -> DataFrame:
+    """The rows of ``terms`` that overlap none of ``marks`` (th, start, end)."""
+    both = terms.withColumn("m_start", F.lit(None).cast("long")).withColumn("m_end", F.lit(None).cast("long")).unionByName(marks.select("th", "start", "end", F.lit(None).cast("string").alias("term"), F.col("start").alias("m_start"), F.col("end").alias("m_end")))
+    # Running frames both ways: a frame that reaches to the end would be summed anew for every row.
+    before = W.partitionBy("th").orderBy("start", "end").rowsBetween(W.unboundedPreceding, 0)
+    after = W.partitionBy("th").orderBy(F.desc("start"), F.desc("end")).rowsBetween(W.unboundedPreceding, 0)
+    seen = both.withColumn("reach", F.max("m_end").over(before)).withColumn("next", F.min("m_start").over(after)).filter("term is not null")
+    inside = F.coalesce(F.col("reach") > F.col("start"), F.lit(False)) | F.coalesce(F.col("next") < F.col("end"), F.lit(False))
+    return seen.filter(~inside).select(*terms.columns)
+
+
+def disclosing_terms(docs: DataFrame, mentions: DataFrame, id_col: str = "doc_id", text_col: str = "text", smoothing: float = 1.0, generalise_at: float = 0.7, remove_at: float = 0.9) -> DataFrame:
+    """key, start, end, action ('generalise' or 'remove') of words that reveal an entity of their text.
 
-    ``mentions``: key, kind, start, end, match. ``near``: code points between a
-    word and the mention before or after it.
+    ``mentions``: key, kind, start, end, match.
     """
     value = F.when(F.col("kind").isin("card", "phone"), _digits(F.col("match"))).otherwise(F.lower("match"))
-    named = mentions.withColumn("entity", F.xxhash64("kind", value))
-    src = docs.select(T.row_key(id_col, text_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    holders = cut_lineage(named.select("key").distinct())
-    terms = _terms(src.join(holders, "key", "left_semi").withColumn("th", F.xxhash64("t")))
-    # Words and mentions of a text in reading order: each word sees the mention before and after it.
-    both = terms.select("key", "th", "start", "end", "term", F.lit(None).cast("struct<entity:bigint,start:bigint,end:bigint>").alias("m")).unionByName(named.select("key", F.lit(None).cast("long").alias("th"), "start", "end", F.lit(None).cast("string").alias("term"), F.struct("entity", "start", "end").alias("m")))
-    # Running frames both ways: a frame that reaches to the end would be summed anew for every row.
-    before = W.partitionBy("key").orderBy("start", "end").rowsBetween(W.unboundedPreceding, 0)
-    after = W.partitionBy("key").orderBy(F.desc("start"), F.desc("end")).rowsBetween(W.unboundedPreceding, 0)
-    seen = both.withColumn("prev", F.last("m", True).over(before)).withColumn("next", F.last("m", True).over(after)).filter("term is not null")
-    inside = (F.coalesce(F.col("prev.end") > F.col("start"), F.lit(False))) | (F.coalesce(F.col("next.start") < F.col("end"), F.lit(False)))
-    close = F.array_compact(F.array(F.when(F.col("start") - F.col("prev.end") <= near, F.col("prev.entity")), F.when(F.col("next.start") - F.col("end") <= near, F.col("next.entity"))))
-    near_rows = cut_lineage(seen.filter(~inside).select("key", "th", "start", "end", "term", F.explode(F.array_distinct(close)).alias("entity")))
-    docs_of = near_rows.select("entity", "term", "key", "th").distinct()
-    pairs = docs_of.groupBy("entity", "term", "th").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n_et"), F.count("*").alias("texts")).filter(F.col("texts") >= support)
-    pairs = cut_lineage(pairs)
-    counted = cut_lineage(pairs.select("term").distinct())
-    n_t = src.select(F.explode(F.array_distinct(F.split(F.lower("t"), GAP))).alias("term")).join(counted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
-    n_e = named.select("entity", "key").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    n = float(src.count())
-    scored = pairs.join(n_t, "term").join(n_e, "entity").withColumn("ratio", F.when(F.col("n_e") < n, F.log(F.col("n_et") * n / (F.col("n_e") * F.greatest("n_t", "n_et"))) / F.log(F.lit(n) / F.col("n_e"))))
-    telling = scored.filter(F.col("ratio") >= generalise_at).select("entity", "term", "ratio")
-    hit = near_rows.join(telling, ["entity", "term"]).groupBy("key", "start", "end").agg(F.max("ratio").alias("ratio"))
-    return hit.select("key", "start", "end", F.when(F.col("ratio") >= remove_at, "remove").otherwise("generalise").alias("action"))
+    t = F.coalesce(F.col(text_col), F.lit(""))
+    src = docs.select(T.row_key(id_col, text_col).alias("key"), F.xxhash64(t).alias("th"), t.alias("t"))
+    held = cut_lineage(src.join(mentions.select("key").distinct(), "key", "left_semi"))
+    keys = held.select("key", "th").distinct()
+    named = cut_lineage(mentions.withColumn("entity", F.xxhash64("kind", value)).join(keys, "key").select("th", "entity", "start", "end").distinct())
+    words = cut_lineage(_outside(_terms(held.select("th", "t").dropDuplicates(["th"])), named.select("th", "start", "end").distinct()))
+    n = float(src.select("th").distinct().count())
+    # Entities of the same texts get the same scores: they count as one, told by the digest of those texts.
+    ents = named.select("entity", "th").distinct()
+    sets = ents.groupBy("entity").agg(F.count("*").alias("n_e"), F.bit_xor("th").alias("set"))
+    p = F.col("n_e") / F.lit(n)
+    # n_et is at most n_e, so a word in more texts than this stays below generalise_at whatever n_et is.
+    most = (F.col("n_e") + smoothing * p) / F.pow(p, F.lit(1 - generalise_at)) - smoothing + 1e-6
+    sets = cut_lineage(ents.join(sets.filter(F.col("n_e") < n).withColumn("most", most), "entity").select("th", "set", "n_e", "most").distinct())
+    n_t = src.select("th", "t").dropDuplicates(["th"]).select(F.explode(F.array_distinct(F.split(F.lower("t"), GAP))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    top = sets.agg(F.max("most")).first()[0] or 0.0
+    rare = words.select("th", "term").distinct().join(n_t.filter(F.col("n_t") <= top), "term")
+    pairs = cut_lineage(rare.join(sets, "th").filter(F.col("n_t") <= F.col("most")).select("th", "term", "set", "n_e", "n_t"))
+    given = (F.col("n_et") + smoothing * p) / (F.col("n_t") + smoothing)
+    scored = pairs.groupBy("set", "n_e", "term", "n_t").agg(F.count("*").alias("n_et")).withColumn("ratio", F.log(given / p) / -F.log(p))
+    telling = scored.filter(F.col("ratio") >= generalise_at).select("set", "n_e", "term", "ratio")
+    hit = pairs.join(telling, ["set", "n_e", "term"]).groupBy("th", "term").agg(F.max("ratio").alias("ratio"))
+    action = F.when(F.col("ratio") >= remove_at, "remove").otherwise("generalise")
+    per_text = words.join(hit, ["th", "term"]).groupBy("th").agg(F.collect_list(F.struct("start", "end", action.alias("action"))).alias("x"))
+    return keys.join(per_text, "th").select("key", F.explode("x").alias("x")).select("key", "x.*")
 
 
 def _join(spans: Column, kinds: list[str]) -> Column:
