@@ -84,6 +84,16 @@ def test_guess_cost():
     assert secrets.spans("my passphrase: dragon1987", ranks, 10.0) == []
 
 
+def test_every_corpus_word_is_ranked(spark):
+    letters = "abcdefghijklmnopqrst"
+    word = lambda i: "w" + "".join(letters[i // 20**k % 20] for k in range(4))
+    rows = [(i, " ".join(word(i * 500 + j) for j in range(500)) * 2) for i in range(60)]
+    rows += [(100, "pass: zyxomoquiv"), (101, "zyxomoquiv"), (102, "pass: zyxomoquix$9!Q")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: (r.spans, r.n_guess) for r in secrets.scan(docs).filter("doc_id >= 100").collect()}
+    assert got == {100: ("", 0), 101: ("", 0), 102: ("guess:6:20", 1)}  # 30,000 words are commoner than zyxomoquiv
+
+
 def test_licenses(docs):
     want = []
     for i, t in given(docs):

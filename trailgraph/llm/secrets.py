@@ -3,8 +3,10 @@
 The method: a value that follows a credential word is cut into pieces (words,
 dates, repeats, keyboard walks, brute-force spans) so that the guesses needed
 are least, by dynamic programming over its characters. A value that needs at
-least 10^``log_guesses`` guesses is a secret. Words and their ranks come from
-the whole corpus: the most frequent ``vocabulary`` words, a documented bound.
+least 10^``log_guesses`` guesses is a secret. A word's rank is the number of
+corpus words at least as common. All words of the corpus have one; only on
+request are those beyond rank ``vocabulary`` left out. Values are taken out
+first, and only the words inside them are looked up, by an equality join.
 
 Null text counts as empty. Repeated rows give repeated results.
 """
@@ -18,9 +20,11 @@ from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trailgraph.llm import text as T
+from trailgraph.runtime import cut_lineage
 
 # The base patterns.
 ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -86,47 +90,100 @@ def log_guesses(value: str, ranks: dict[str, int]) -> float:
     return best[-1]
 
 
-def corpus_ranks(docs: DataFrame, text_col: str, vocabulary: int) -> dict[str, int]:
-    """Rank by frequency of the corpus's commonest words of 3 to 24 letters."""
+def corpus_ranks(docs: DataFrame, text_col: str, vocabulary: int | None = None) -> DataFrame:
+    """w, rank: the corpus's words of 3 to 24 letters; words equally common share the last of their places.
+
+    Values after credential words don't count: a secret isn't known for standing there.
+    """
 
     def count(batch):
         for _, _, data, offsets in T.chunks(batch.column(0), T.CHUNK * 4):
-            c = Counter(re.findall(r"[a-z]{3,24}", data.tobytes().lower().decode("ascii", "replace")))
-            yield {"w": list(c), "n": list(c.values())}
+            c, raw = Counter(), data.tobytes()
+            for a, b in zip(offsets, offsets[1:]):
+                low = raw[a:b].lower()
+                if any(h in low for h in HINTS):
+                    low = CONTEXT.sub(lambda m: m[0][: m.start(1) - m.start()], raw[a:b].decode()).encode().lower()
+                c.update(re.findall(rb"[a-z]{3,24}", low))
+            yield {"w": [w.decode() for w in c], "n": list(c.values())}
 
-    words = T.arrow_map(docs.select(text_col), count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    return {r[0]: k for k, r in enumerate(words.orderBy(F.desc("n"), "w").limit(vocabulary).select("w").collect(), 1)}
+    words = cut_lineage(T.arrow_map(docs.select(text_col), count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")))
+    # One row per different count: their number grows with the square root of the corpus at most.
+    places = words.groupBy("n").agg(F.count("*").alias("k")).withColumn("rank", F.sum("k").over(W.orderBy(F.desc("n"))))
+    ranked = words.join(places.select("n", "rank"), "n").select("w", "rank")
+    return ranked if vocabulary is None else ranked.filter(F.col("rank") <= vocabulary)
 
 
-def spans(text: str, ranks: dict[str, int], threshold: float) -> list[tuple[int, int, str]]:
+def parts(value: str) -> set[str]:
+    """All runs of 3 to 24 letters a-z inside the value, lowered."""
+    low = value.lower()
+    return {m[0][i:j] for m in re.finditer("[a-z]{3,}", low) for i in range(len(m[0]) - 2) for j in range(i + 3, min(len(m[0]), i + 24) + 1)}
+
+
+def value_costs(values: DataFrame, ranks: DataFrame) -> DataFrame:
+    """value, cost: log10 guesses of the different ``values`` (value)."""
+
+    def cut(batch):
+        for v in batch.column(0).to_pylist():
+            inside = sorted(parts(v))
+            yield {"value": [v] * len(inside), "w": inside}
+
+    def cost(batch):
+        out = [(v, log_guesses(v, {x["w"]: x["rank"] for x in r or ()})) for v, r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+        yield {"value": [v for v, _ in out], "cost": [c for _, c in out]}
+
+    known = T.arrow_map(values, cut, "value string, w string").join(ranks, "w").groupBy("value").agg(F.collect_list(F.struct("w", "rank")).alias("r"))
+    return T.arrow_map(values.join(known, "value", "left").select("value", "r"), cost, "value string, cost double")
+
+
+def base_spans(text: str) -> list[tuple[int, int, str]]:
     out = [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
     out += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
-    out += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
-    out += [(m.start(1), m.end(1), "guess") for m in CONTEXT.finditer(text) if log_guesses(m[1], ranks) >= threshold]
-    return sorted(out, key=lambda s: (s[0], KINDS[s[2]]))
+    return out + [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
+
+
+def in_order(found: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    return sorted(found, key=lambda s: (s[0], KINDS[s[2]]))
+
+
+def spans(text: str, ranks: dict[str, int], threshold: float) -> list[tuple[int, int, str]]:
+    return in_order(base_spans(text) + [(m.start(1), m.end(1), "guess") for m in CONTEXT.finditer(text) if log_guesses(m[1], ranks) >= threshold])
 
 
 _BUSY = re.compile(rb"[0-9a-f]{24}")
+_SPAN = "struct<start:bigint,end:bigint,kind:string>"
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = 20_000, log_guesses: float = 10.0) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: int | None = None, log_guesses: float = 10.0) -> DataFrame:
     """One row per input row: doc_id, n_assign, n_access, n_hex, base_sha256, spans ('kind:start:end', comma-joined), n_guess."""
-    ranks = docs.sparkSession.sparkContext.broadcast(corpus_ranks(docs, text_col, vocabulary))
 
     def one(batch):
-        out = {k: [] for k in ("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_guess")}
-        ids = batch.column(0).to_pylist()
-        texts = batch.column(1).cast(pa.binary())
-        for i, doc_id in enumerate(ids):
+        out = {k: [] for k in ("key", "doc_id", "base", "may")}
+        texts = batch.column(2).cast(pa.binary())
+        for i, (key, doc_id) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
             raw = texts[i].as_py() or b""
             low = raw.lower()
-            busy = any(h in low for h in HINTS) or b"AKIA" in raw or _BUSY.search(raw)
-            found = spans(raw.decode(), ranks.value, log_guesses) if busy else []
-            line = lambda ss: ",".join(f"{k}:{a}:{b}" for a, b, k in ss)
-            kinds = Counter(k for _, _, k in found)
-            row = (doc_id, kinds["assign"], kinds["access"], kinds["hex"], hashlib.sha256(line(s for s in found if s[2] != "guess").encode()).hexdigest(), line(found), kinds["guess"])
+            text = raw.decode() if any(h in low for h in HINTS) or b"AKIA" in raw or _BUSY.search(raw) else ""
+            base = [{"start": a, "end": b, "kind": k} for a, b, k in in_order(base_spans(text))]
+            may = [{"start": m.start(1), "end": m.end(1), "value": m[1]} for m in CONTEXT.finditer(text)]
+            for k, v in zip(out, (key, doc_id, base, may)):
+                out[k].append(v)
+        yield out
+
+    def told(batch):
+        out = {k: [] for k in ("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_guess")}
+        line = lambda ss: ",".join(f"{k}:{a}:{b}" for a, b, k in ss)
+        for doc_id, base, guess in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            base = [(x["start"], x["end"], x["kind"]) for x in base]
+            guess = [(x["start"], x["end"], "guess") for x in guess or ()]
+            kinds = Counter(k for _, _, k in base)
+            row = (doc_id, kinds["assign"], kinds["access"], kinds["hex"], hashlib.sha256(line(base).encode()).hexdigest(), line(in_order(base + guess)), len(guess))
             for k, v in zip(out, row):
                 out[k].append(v)
         yield out
 
-    return T.arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), one, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_guess long")
+    src = docs.select(T.row_key(id_col, text_col).alias("key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = cut_lineage(T.arrow_map(src, one, f"key long, doc_id long, base array<{_SPAN}>, may array<struct<start:bigint,end:bigint,value:string>>"))
+    may = rows.filter(F.size("may") > 0).select("key", F.explode("may").alias("m")).select("key", "m.*").distinct()
+    hard = value_costs(cut_lineage(may.select("value").distinct()), corpus_ranks(docs, text_col, vocabulary)).filter(F.col("cost") >= log_guesses)
+    guess = may.join(hard, "value").groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("guess"))
+    return T.arrow_map(rows.join(guess, "key", "left").select("doc_id", "base", "guess"), told, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_guess long")
