@@ -84,6 +84,32 @@ def test_guess_cost():
     assert secrets.spans("my passphrase: dragon1987", ranks, 10.0) == []
 
 
+def test_whole_values(spark):
+    r = random.Random(5)
+    long = "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/.=") for _ in range(3_000))
+    texts = [f"bearer: {long}", "pwd:     x9$Kq!27Zp", "login     =      x9$Kq!27Zp.", "pwd: " + "x9$Kq!27Zp" * 400, "pass: " + "xz" * 20_000]
+    want = ["guess:8:3008", "guess:9:19", "guess:17:28", "guess:5:4005", ""]
+    assert [s.spans for s in secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()] == want
+
+
+def test_runs():
+    def brute_runs(s):
+        found = {}
+        for p in range(1, len(s) // 2 + 1):
+            for i in range(len(s) - 2 * p + 1):
+                j = i
+                while j + p < len(s) and s[j] == s[j + p]:
+                    j += 1
+                if j - i >= p and (i == 0 or s[i - 1] != s[i - 1 + p]):
+                    found.setdefault((i, j + p), p)
+        return {(i, j, p) for (i, j), p in found.items()}
+
+    r = random.Random(6)
+    for _ in range(300):
+        s = "".join(r.choice("abc"[: r.randint(1, 3)]) for _ in range(r.randint(0, 30)))
+        assert secrets.runs(s) == brute_runs(s), s
+
+
 def test_every_corpus_word_is_ranked(spark):
     letters = "abcdefghijklmnopqrst"
     word = lambda i: "w" + "".join(letters[i // 20**k % 20] for k in range(4))

@@ -32,13 +32,16 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = {"assign": 0, "access": 1, "hex": 2, "guess": 3}
 # Words that announce a credential.
-CONTEXT = re.compile(r"""(?<![A-Za-z])(?:password|passphrase|passwd|pass|pwd|secret|token|api_?key|access_?key|private_?key|credentials?|auth|login|bearer)["']?(?:\x20{0,4}[:=]\x20{0,4}|\x20is\x20)["']?([^\s"'<>,;]{6,128})""", re.I | re.A)
+CONTEXT = re.compile(r"""(?<![A-Za-z])(?:password|passphrase|passwd|pass|pwd|secret|token|api_?key|access_?key|private_?key|credentials?|auth|login|bearer)["']?(?:\x20*[:=]\x20*|\x20+is\x20+)["']?([^\s"'<>,;]{6,})""", re.I | re.A)
 HINTS = (b"pass", b"pwd", b"secret", b"token", b"key", b"credential", b"auth", b"login", b"bearer")
 DATE = re.compile(r"(?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d|(?:19|20)\d\d")
 # Keyboard rows.
 ROWS = ["1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqrstuvwxyz"]
 _NEXT = {a + b for row in ROWS for r in (row, row[::-1]) for a, b in zip(r, r[1:])}
 
+# Blocks of several periods are tried up to this size: two of the longest words fit in. One period may be of any size.
+BLOCK = 48
+
 DATE_COST, WALK_COST = math.log10(365 * 120), math.log10(len("".join(ROWS)) * 4)
 
 
@@ -62,17 +65,58 @@ def pieces(value: str, ranks: dict[str, int]):
             if j - i >= 3:
                 yield i, j, cost + math.log10(j - i)
             i = j
-    for size in range(2, n // 2 + 1):  # a repeated block costs its first copy and a count
-        i = 0
-        while i + 2 * size <= n:
-            j = i + size
-            while low[j : j + size] == low[i : i + size] and j + size <= n:
-                j += size
-            if j - i > size:
-                yield i, j, log_guesses(value[i : i + size], ranks) + math.log10((j - i) // size)
-                i = j
+    for i, j, p in runs(low):  # a repeated block costs its first copy and a count
+        for size in (p, *range(2 * p, min(BLOCK, (j - i) // 2) + 1, p)):
+            if size > 1:
+                yield i, i + (j - i) // size * size, log_guesses(value[i : i + size], ranks) + math.log10((j - i) // size)
+
+
+def runs(s: str) -> set[tuple[int, int, int]]:
+    """(start, end, period) of all maximal repetitions: s[start:end] has its least period at least twice.
+
+    Each one holds a longest Lyndon word of one of the two letter orders, from
+    which it is extended both ways by hashed comparisons: n log n steps.
+    """
+    n, m = len(s), (1 << 61) - 1
+    powers, sums = [1], [0]
+    for c in s:
+        powers.append(powers[-1] * 0x1F3D5B79A2C4E687 % m)
+        sums.append((sums[-1] * 0x1F3D5B79A2C4E687 + ord(c) + 1) % m)
+
+    def same(i, j, k):
+        return (sums[i + k] - sums[j + k] - (sums[i] - sums[j]) * powers[k]) % m == 0
+
+    def alike(i, j, most, back):
+        """Characters alike from i and j on, or before i and j."""
+        lo, step, up = 0, 1, True
+        while step:  # doubling, then halving
+            if lo + step <= most and (same(i - lo - step, j - lo - step, step) if back else same(i + lo, j + lo, step)):
+                lo += step
             else:
-                i += 1
+                up = False
+            step = step * 2 if up else step // 2
+        return lo
+
+    found = set()
+    for flip in (False, True):
+        following = [n] * n  # of every i, the end of the longest Lyndon word that begins there
+        for i in range(n - 1, -1, -1):
+            j = i + 1
+            while j < n:
+                k = alike(i, j, n - j, False)
+                # the end of the text is less than any letter in both orders
+                if j + k < n and (s[i + k] < s[j + k]) != flip:
+                    j = following[j]
+                else:
+                    break
+            following[i] = j
+        for i, j in enumerate(following):
+            p = j - i
+            start = i - alike(i, j, i, True)
+            end = j + alike(i, j, n - j, False)
+            if end - start >= 2 * p:
+                found.add((start, end, p))
+    return found
 
 
 def log_guesses(value: str, ranks: dict[str, int]) -> float:
