@@ -258,7 +258,7 @@ def candidates(nodes: DataFrame, edges: DataFrame, churn: DataFrame, top_n: int
         .orderBy(F.desc("score"), "ord").limit(top_n).drop("ord"))
 
 
-def filter_graph(df: DataFrame, pattern: str | None, fields: list[str], equals: dict[str, str] | None = None, limit: int = 100) -> DataFrame:
+def filter_graph(df: DataFrame, pattern: str | None, fields: list[str], equals: dict[str, str] | None = None, limit: int | None = 100) -> DataFrame:
     """Case-insensitive pattern over any of the fields plus equality filters, in
     reading order. A pattern that is not a valid expression filters nothing."""
     for k, v in (equals or {}).items():
@@ -274,7 +274,8 @@ def filter_graph(df: DataFrame, pattern: str | None, fields: list[str], equals:
             df = df.filter(cond)
         except re.error:
             pass
-    return df.orderBy("ord").limit(limit)
+    out = df.orderBy("ord")
+    return out if limit is None else out.limit(limit)
 
 
 def link_layer(layers: list[tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:

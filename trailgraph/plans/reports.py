@@ -1,16 +1,19 @@
-"""Markdown reports over ranked, limited results."""
+"""Markdown reports over ranked results."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
 
-def table(df: DataFrame, headers: dict[str, str], limit: int = 200) -> str:
-    """Markdown table of at most ``limit`` rows; headers map columns to titles."""
-    rows = df.select(*headers).limit(limit).collect()
+def table(df: DataFrame, headers: dict[str, str], limit: int | None = None) -> str:
+    """Markdown table of all rows, or of the first ``limit`` and a note of how many are left out; headers map columns to titles."""
+    rows = (df if limit is None else df.limit(limit)).select(*headers).collect()
+    more = 0 if limit is None else df.count() - len(rows)
     lines = ["| " + " | ".join(headers.values()) + " |", "|" + "---|" * len(headers)]
     lines += ["| " + " | ".join("—" if v is None else str(v).replace("|", "\\|") for v in r) + " |" for r in rows]
-    return "\n".join(lines if rows else lines + ["|" + " — |" * len(headers)])
+    if more > 0:
+        lines += ["", f"_{more} more rows_"]
+    return "\n".join(lines if rows or more > 0 else lines + ["|" + " — |" * len(headers)])
 
 
 def history_report(hotspots: DataFrame, ownership: DataFrame, coupling: DataFrame, velocity: DataFrame, window_days: int) -> str:
@@ -42,8 +45,8 @@ def experiments_report(experiments: DataFrame, summary: DataFrame) -> str:
     return f"# Experiment history\n\n{body}\n\n**Summary:** Total: {s['total']} | Keep: {s['kept']} ({s['kept_percent']}%) | Revert: {s['reverted']}\n"
 
 
-def brief_report(title: str, parts: dict[str, DataFrame]) -> str:
+def brief_report(title: str, parts: dict[str, DataFrame], limit: int | None = None) -> str:
     out = [f"# Repo Brief — {title}"]
     for name, df in parts.items():
-        out.append(f"## {name.replace('_', ' ').capitalize()}\n\n" + table(df, {c: c.replace("_", " ") for c in df.columns}, 10))
+        out.append(f"## {name.replace('_', ' ').capitalize()}\n\n" + table(df, {c: c.replace("_", " ") for c in df.columns}, limit))
     return "\n\n".join(out) + "\n"
