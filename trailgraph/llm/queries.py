@@ -140,6 +140,38 @@ def op8(spark, sf_dir):
     return passages.remove(table(spark, sf_dir))
 
 
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split({s}, ''), lambda x: [ascii(x)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+  lambda a, b: xor(xor(a, b) >> 1, (xor(a, b) & 1) * 3988292384)), 4294967295)"""
+
+
+@query("op13_repair", sql=f"""
+WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_CRC.format(s="concat(coalesce(conv_id::VARCHAR, ' '), ':', coalesce(turn::VARCHAR, ' '))")} % 20 AS k FROM conversations),
+d AS (SELECT conv_id, turn, CASE k WHEN 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE k WHEN 3 THEN 2 ELSE 1 END)) FROM c WHERE k <> 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i, rtrim(text, E' \\t\\n\\x0b\\x0c\\r') AS solid FROM d),
+f AS (SELECT conv_id, turn, role, text, i, solid = '' AS blank, solid <> '' AND i > min(i) OVER (PARTITION BY conv_id, role, text) AS seen, NOT regexp_matches(solid, '[.!?]$') AS cut,
+  left(role, 1) AS c, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS two FROM r),
+step(p, q, c, role) AS (VALUES (0, 1, 's', NULL), (0, 2, 'u', 'user'), (1, 2, 'u', 'user'), (2, 3, 'a', 'assistant'), (3, 2, 'u', 'user')),
+edit(p, q, e, c, role, cost) AS (SELECT p, q, 'K', c, NULL, 0 FROM step UNION ALL SELECT p, q, 'R', NULL, role, 3 FROM step WHERE role IS NOT NULL UNION ALL SELECT p, p, 'D', NULL, NULL, 4 FROM range(4) t(p)),
+ins(p, q, cost, audit, lines) AS (VALUES (0, 0, 0, '', ''), (1, 1, 0, '', ''), (2, 2, 0, '', ''), (3, 3, 0, '', ''), (0, 2, 3, 'I', E'\\nuser:'), (1, 2, 3, 'I', E'\\nuser:'), (3, 2, 3, 'I', E'\\nuser:'), (2, 3, 3, 'I', E'\\nassistant:'),
+  (0, 3, 6, 'II', E'\\nuser:\\nassistant:'), (1, 3, 6, 'II', E'\\nuser:\\nassistant:')),
+dp(conv_id, i, q, best, lines) AS (SELECT conv_id, 0::BIGINT, q, lpad(ins.cost::VARCHAR, 12, '0') || audit, ins.lines FROM (SELECT DISTINCT conv_id FROM f) JOIN ins ON p = 0
+  UNION ALL SELECT conv_id, i, q, min(k), arg_min(o, k) FROM (SELECT f.conv_id, f.i, ins.q,
+      lpad((left(dp.best, 12)::BIGINT + edit.cost + CASE WHEN e <> 'D' AND f.cut THEN 3 ELSE 0 END + ins.cost)::VARCHAR, 12, '0') || substr(dp.best, 13) || e || ins.audit AS k,
+      dp.lines || CASE e WHEN 'D' THEN '' ELSE chr(10) || coalesce(edit.role, f.role) || ':' || f.text END || ins.lines AS o
+    FROM dp JOIN f ON f.conv_id IS NOT DISTINCT FROM dp.conv_id AND f.i = dp.i + 1 JOIN edit ON edit.p = dp.q AND (e = 'D' OR NOT (blank OR seen) AND (edit.c IS NULL OR edit.c = f.c)) JOIN ins ON ins.p = edit.q) GROUP BY ALL),
+best AS (SELECT conv_id, min(best) AS b, arg_min(lines, best) AS lines FROM (SELECT *, max(i) OVER (PARTITION BY conv_id) AS n FROM dp) WHERE i = n AND q IN (0, 3) GROUP BY conv_id),
+stat AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(blank) AS blank, count_if(seen) AS duplicate, count_if(cut AND NOT blank AND NOT seen) AS truncated, count_if(two NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+  coalesce(left(b, 12)::BIGINT, 0) AS cost, coalesce(substr(b, 13), '') AS audit, sha256(coalesce(substr(lines, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN stat ON stat.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM o.conv_id
+""")
+def op13(spark, sf_dir):
+    from trailgraph.llm import dialogues
+
+    rows = table(spark, sf_dir, "conversations")
+    return dialogues.report(rows, dialogues.damage(rows))
+
+
 @query("pipeline")
 def pipeline(spark, sf_dir):
     import corpus_pipeline
