@@ -196,16 +196,9 @@ def _batch(names: list[str], rows: list[tuple], schema: pa.Schema) -> pa.RecordB
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], schema.field(n).type) for i, n in enumerate(names)], schema=schema)
 
 
-def _arrow(ddl: str) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    return to_arrow_schema(StructType.fromDDL(ddl))
-
-
 def _stream(df: DataFrame, fn, ddl: str, size: int = 4096) -> DataFrame:
     """mapInArrow with ``fn(iterator of row tuples) -> iterator of row tuples``."""
-    schema = _arrow(ddl)
+    schema = T.arrow_schema(ddl)
 
     def run(batches):
         rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))

@@ -140,6 +140,13 @@ def op8(spark, sf_dir):
     return passages.remove(table(spark, sf_dir))
 
 
+@query("op11_hmm")
+def op11(spark, sf_dir):
+    from trailgraph.llm import hmm
+
+    return hmm.score(table(spark, sf_dir))
+
+
 _CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split({s}, ''), lambda x: [ascii(x)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
   lambda a, b: xor(xor(a, b) >> 1, (xor(a, b) & 1) * 3988292384)), 4294967295)"""
 

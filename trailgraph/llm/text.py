@@ -19,7 +19,6 @@ CHUNK = 1 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_BYTES = np.random.Generator(np.random.PCG64(20240501)).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _powers: dict[str, np.ndarray] = {}
 
 _SPACE = np.zeros(256, bool)
@@ -70,6 +69,23 @@ def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((sums[ends] - sums[starts]) * powers(len(values) + 1, inverse=True)[starts] + (ends - starts).astype(np.uint64))
 
 
+def word_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each span: a sum over values mixed with their place in the span.
+
+    Not a polynomial, whose values agree on some long regular strings.
+    """
+    size = ends - starts
+    out = size.astype(np.uint64)
+    full = np.flatnonzero(size)
+    if len(full):
+        size = size[full]
+        first = np.cumsum(size) - size
+        inside = np.arange(int(size.sum())) - np.repeat(first, size)
+        value = values[np.repeat(starts[full], size) + inside].astype(np.uint64)
+        out[full] += np.add.reduceat(mix(value + (inside.astype(np.uint64) + np.uint64(1)) * _BASE), first)
+    return mix(out)
+
+
 def chunks(texts: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets) of bounded runs of rows; null is empty."""
     if isinstance(texts, pa.ChunkedArray):
@@ -111,7 +127,7 @@ class Words:
         self.first = np.searchsorted(self.starts, offsets)
         self.count = np.diff(self.first)
         self.doc = np.repeat(np.arange(len(offsets) - 1), self.count)
-        self.hashes = span_hash(_BYTES[data], self.starts, self.ends)
+        self.hashes = word_hashes(data, self.starts, self.ends)
 
     def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(start word, hash) of every run of k words inside one document."""
@@ -122,12 +138,16 @@ class Words:
         return at, span_hash(self.hashes, at, at + k)
 
 
-def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:
-    """mapInArrow with ``fn(batch) -> iterable of dicts of columns``."""
-    from pyspark.sql.types import StructType
+def arrow_schema(ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    return to_arrow_schema(StructType.fromDDL(ddl))
 
-    target = to_arrow_schema(StructType.fromDDL(schema))
+
+def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:
+    """mapInArrow with ``fn(batch) -> iterable of dicts of columns``."""
+    target = arrow_schema(schema)
 
     def run(batches):
         for batch in batches:
