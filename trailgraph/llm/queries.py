@@ -147,6 +147,28 @@ def op11(spark, sf_dir):
     return hmm.score(table(spark, sf_dir))
 
 
+@query("op12_collocations", sql=r"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-]')) AS piece FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM t),
+g AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM p),
+f AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, m, count(*) AS a FROM g, range(1, 5) x(m) WHERE i + m - 1 <= len(w) GROUP BY ALL),
+n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE m >= 2 AND a >= 30),
+cuts AS (SELECT c.lang, c.phrase, c.m, c.a, k, lf.a AS l, rf.a AS r, ((2000000::HUGEINT * c.a) // (lf.a::HUGEINT + rf.a))::BIGINT AS score FROM (SELECT *, unnest(range(1, m)) AS k FROM c) c
+  JOIN f lf ON lf.lang = c.lang AND lf.phrase = array_to_string(c.w[1:k], ' ') JOIN f rf ON rf.lang = c.lang AND rf.phrase = array_to_string(c.w[k + 1:], ' ')),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+held AS (SELECT DISTINCT s.lang, s.phrase FROM (SELECT lang, a, array_to_string(w[i:i + z - 1], ' ') AS phrase FROM (SELECT *, unnest(range(1, m)) AS i FROM c), range(2, 4) y(z) WHERE z < m AND i + z - 1 <= m) s
+  JOIN c ON c.lang = s.lang AND c.phrase = s.phrase WHERE 100::HUGEINT * s.a >= 80::HUGEINT * c.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM best ANTI JOIN held USING (lang, phrase) JOIN n USING (lang)
+QUALIFY rank <= 2000
+""")
+def op12(spark, sf_dir):
+    from trailgraph.llm import collocations
+
+    return collocations.collocations(table(spark, sf_dir))
+
+
 _CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split({s}, ''), lambda x: [ascii(x)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
   lambda a, b: xor(xor(a, b) >> 1, (xor(a, b) & 1) * 3988292384)), 4294967295)"""
 

@@ -106,16 +106,16 @@ def chunks(texts: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, np.n
 
 
 class Words:
-    """Words of a chunk, split at the six ASCII white spaces; A-Z lowered on request.
+    """Words of a chunk, split at the six ASCII white spaces or other bytes (``space``); A-Z lowered on request.
 
     starts/ends: byte borders; doc: row inside the chunk; first: index of each
     row's first word (one longer than the rows); hashes: of the words' bytes.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, space: np.ndarray = _SPACE):
         self.data = data = _LOWER[data] if lower else data
         n = len(data)
-        solid = ~_SPACE[data]
+        solid = ~space[data]
         border = np.zeros(n + 1, bool)
         border[offsets] = True
         begin, end = solid.copy(), solid.copy()
