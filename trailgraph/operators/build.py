@@ -111,7 +111,9 @@ def resolve_calls(pending: DataFrame, symbols: DataFrame, imports: DataFrame) ->
     A name resolves to the only candidate its module or an imported module
     defines, else to the only candidate anywhere. Uniqueness is decided on
     aggregated tables (one row per name, one row per module and name), so a
-    popular name never multiplies its callers by its definitions.
+    popular name never multiplies its callers by its definitions. A module's
+    wanted names meet its imports first, so what else a much imported module
+    defines is never paired with its importers.
     """
     names = name_table(symbols)
     everywhere = names.groupBy("name").agg(F.count("*").alias("n"), F.min("id").alias("only")).filter(F.col("n") == 1).select(
@@ -122,7 +124,7 @@ def resolve_calls(pending: DataFrame, symbols: DataFrame, imports: DataFrame) ->
     scope = imports.select(F.col("src").alias("module"), F.col("dst").alias("target")).unionByName(
         wanted.select("module", F.col("module").alias("target"))).distinct()
     visible = (
-        scope.join(called, "target").join(wanted, ["module", "name"], "left_semi")
+        wanted.join(scope, "module").join(called, ["target", "name"])
         .groupBy("module", "name").agg(F.count("*").alias("n"), F.min("id").alias("only")).filter(F.col("n") == 1)
         .select("module", F.col("name").alias("callee_name"), F.col("only").alias("scoped_hit")))
     hit = calls.join(visible, ["module", "callee_name"], "left").join(everywhere, "callee_name", "left").withColumn("dst", F.coalesce("scoped_hit", "global_hit"))

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from trailgraph.operators import build as B
 from trailgraph.operators import graph as G
 from trailgraph.operators import history as H
 from trailgraph.plans.registry import query
+from trailgraph.runtime import shared_dir
 from trailgraph.sources import tables as T
+from trailgraph.sources.graph_table import GraphTable
 
 NODES = """nodes AS (
   SELECT 'region:' || r_regionkey AS id, 'region' AS kind, r_name AS label, 'region/' || r_regionkey AS path, CAST(NULL AS BIGINT) AS churn, CAST(r_regionkey AS BIGINT) AS ord FROM region
@@ -256,25 +260,55 @@ def edge_dedup_merge(spark, root):
     return B.dedup_edges(d, ["confidence"]).drop("ord").join(ev, B.EDGE_KEY)
 
 
-@query("incremental_merge", f"""WITH {NODES}, {EDGES},
+MERGED = f"""{NODES}, {EDGES},
 changed AS (SELECT 'nation:' || n_nationkey AS id, n_nationkey FROM nation WHERE n_regionkey = 1),
-keep AS (SELECT id, label FROM nodes WHERE id NOT IN (SELECT id FROM changed)),
-n2 AS (SELECT id, label FROM keep UNION ALL SELECT id, 'updated ' || n_nationkey FROM changed WHERE n_nationkey % 2 = 0),
+keep AS (SELECT id, kind, label, path FROM nodes WHERE id NOT IN (SELECT id FROM changed)),
+n2 AS (SELECT * FROM keep UNION ALL SELECT id, 'nation', 'updated ' || n_nationkey, 'nation/' || n_nationkey FROM changed WHERE n_nationkey % 2 = 0),
 e2 AS (SELECT src, dst, relation FROM edges WHERE src NOT IN (SELECT id FROM changed) UNION SELECT id, 'region:2', 'belongs_to' FROM changed WHERE n_nationkey % 2 = 0),
-ok AS (SELECT * FROM e2 WHERE src IN (SELECT id FROM n2) AND dst IN (SELECT id FROM n2))
-SELECT id, label, (SELECT count(*) FROM ok WHERE ok.src = n2.id) AS out_edges FROM n2 WHERE id LIKE 'nation:%' OR id LIKE 'customer:%'""")
-def incremental_merge(spark, root):
+ok AS (SELECT * FROM e2 WHERE src IN (SELECT id FROM n2) AND dst IN (SELECT id FROM n2))"""
+
+
+def _change(spark, root):
+    """(new nodes, new edges, changed paths): one region's nations change, those with odd keys go."""
     nation = T.table(spark, root, "nation").filter("n_regionkey = 1")
-    changed = nation.select(F.concat_ws("/", F.lit("nation"), F.col("n_nationkey").cast("string")).alias("path"))
-    fresh = nation.filter("n_nationkey % 2 = 0")
+    path = F.concat_ws("/", F.lit("nation"), F.col("n_nationkey").cast("string")).alias("path")
+    fresh, ord_ = nation.filter("n_nationkey % 2 = 0"), F.col("n_nationkey").cast("bigint").alias("ord")
     new_nodes = fresh.select(T.node_id("nation", "n_nationkey").alias("id"), F.lit("nation").alias("kind"), F.concat(F.lit("updated "), F.col("n_nationkey").cast("string")).alias("label"),
-                             F.concat_ws("/", F.lit("nation"), F.col("n_nationkey").cast("string")).alias("path"), F.lit(None).cast("bigint").alias("churn"), F.col("n_nationkey").cast("bigint").alias("ord"))
-    new_edges = fresh.select(T.node_id("nation", "n_nationkey").alias("src"), F.lit("region:2").alias("dst"), F.lit("belongs_to").alias("relation"), F.lit("verified").alias("confidence"), F.col("n_nationkey").cast("bigint").alias("ord"))
-    nodes, edges = B.merge_update(T.fk_nodes(spark, root), T.fk_edges(spark, root), new_nodes, new_edges, changed)
+                             path, F.lit(None).cast("bigint").alias("churn"), ord_)
+    new_edges = fresh.select(T.node_id("nation", "n_nationkey").alias("src"), F.lit("region:2").alias("dst"), F.lit("belongs_to").alias("relation"), F.lit("verified").alias("confidence"), ord_)
+    return new_nodes, new_edges, nation.select(path)
+
+
+@query("incremental_merge", f"""WITH {MERGED}
+SELECT id, label, (SELECT count(*) FROM ok WHERE ok.src = n2.id) AS out_edges FROM n2 WHERE id LIKE 'nation:%' OR id LIKE 'customer:%'""")
+def incremental_merge(spark, root):
+    nodes, edges = B.merge_update(T.fk_nodes(spark, root), T.fk_edges(spark, root), *_change(spark, root))
     out = edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("out_edges"))
     return nodes.filter("kind in ('nation', 'customer')").join(out, "id", "left").select("id", "label", F.coalesce("out_edges", F.lit(0).cast("bigint")).alias("out_edges"))
 
 
+def _stored(spark, root):
+    """The foreign-key graph as a stored table, before and after the change."""
+    folder = f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}"
+    before = GraphTable.create(folder, T.fk_nodes(spark, root), T.fk_edges(spark, root), buckets=32)
+    return before, before.merge(*_change(spark, root))
+
+
+@query("stored_merge_nodes", f"WITH {MERGED} SELECT id, kind, label, path FROM n2")
+def stored_merge_nodes(spark, root):
+    return _stored(spark, root)[1].nodes.select("id", "kind", "label", "path")
+
+
+@query("stored_merge_edges", f"WITH {MERGED} SELECT src, dst, relation FROM ok")
+def stored_merge_edges(spark, root):
+    return _stored(spark, root)[1].edges.select("src", "dst", "relation")
+
+
+@query("stored_merge_reverse", f"WITH {MERGED} SELECT dst, relation, count(*) AS n FROM ok GROUP BY ALL")
+def stored_merge_reverse(spark, root):
+    return _stored(spark, root)[1].read("inbound").groupBy("dst", "relation").agg(F.count("*").alias("n"))
+
+
 @query("graph_validate", """WITH x AS (SELECT CASE WHEN l_returnflag = 'R' THEN '' ELSE 'order:' || l_orderkey END AS src, 'part:' || l_partkey AS dst, CASE WHEN l_discount = 0.05 THEN NULL ELSE 'contains' END AS relation,
   CASE WHEN l_linestatus = 'O' THEN 'verified' ELSE 'certain' END AS confidence FROM lineitem),
 v AS (SELECT 'src is empty' AS violation FROM x WHERE src = '' UNION ALL SELECT 'relation is empty' FROM x WHERE relation IS NULL UNION ALL SELECT 'confidence is not known' FROM x WHERE confidence = 'certain')
@@ -305,9 +339,9 @@ def link_graph(spark, root):
 
 @query("unique_name_resolution", f"""WITH pend AS (SELECT DISTINCT l_orderkey AS caller, p_name AS name FROM lineitem JOIN part ON l_partkey = p_partkey),
 imp AS (SELECT DISTINCT l_orderkey AS caller, l_suppkey AS target FROM lineitem),
-sym AS (SELECT DISTINCT l_suppkey AS target, p_name AS name, l_suppkey || '#' || p_name AS id FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber = 1 AND l_discount = 0.1),
+sym AS (SELECT DISTINCT l_suppkey AS target, p_name AS name, l_suppkey || '#' || p_name AS id FROM lineitem JOIN part ON l_partkey = p_partkey),
 g AS (SELECT name, count(DISTINCT id) AS n, min(id) AS only FROM sym GROUP BY name),
-s AS (SELECT caller, name, count(*) AS n, min(id) AS only FROM imp JOIN sym USING (target) GROUP BY ALL)
+s AS (SELECT caller, name, count(*) AS n, min(id) AS only FROM pend JOIN imp USING (caller) JOIN sym USING (target, name) GROUP BY ALL)
 SELECT pend.caller AS caller, CASE WHEN s.n = 1 THEN s.only ELSE g.only END AS resolved FROM pend LEFT JOIN s ON s.caller = pend.caller AND s.name = pend.name LEFT JOIN g ON g.name = pend.name
 WHERE s.n = 1 OR g.n = 1""")
 def unique_name_resolution(spark, root):
@@ -315,7 +349,7 @@ def unique_name_resolution(spark, root):
     caller = F.concat(F.lit("symbol:o"), F.col("l_orderkey").cast("string"), F.lit("#main"))
     pending = li.select(caller.alias("caller"), F.col("p_name").alias("callee_name"), F.lit(0).cast("bigint").alias("ord"), F.lit("x").alias("evidence")).distinct()
     imports = li.select(F.concat(F.lit("module:o"), F.col("l_orderkey").cast("string")).alias("src"), F.concat(F.lit("module:s"), F.col("l_suppkey").cast("string")).alias("dst")).distinct()
-    symbols = li.filter("l_linenumber = 1 and l_discount = 0.1").select(
+    symbols = li.select(
         F.concat(F.lit("symbol:s"), F.col("l_suppkey").cast("string"), F.lit("#"), F.col("p_name")).alias("id"), F.col("p_name").alias("label")).distinct()
     hit = B.resolve_calls(pending, symbols, imports)
     return hit.select(F.regexp_extract("src", r"symbol:o(\d+)#", 1).cast("bigint").alias("caller"), F.regexp_replace("dst", "^symbol:s", "").alias("resolved"))

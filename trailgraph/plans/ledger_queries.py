@@ -169,14 +169,14 @@ def actual_changes(spark, root):
     return L.actual_changes(c, c.filter("c_mktsegment = 'BUILDING'"), o)
 
 
-@query("record_division", """WITH cur AS (SELECT DISTINCT l_suppkey AS change, l_partkey AS path FROM lineitem WHERE l_quantity >= 49 AND l_discount >= 0.09), need AS (SELECT change, count(*) AS need FROM cur GROUP BY change),
+@query("record_division", """WITH cur AS (SELECT DISTINCT l_orderkey AS change, l_partkey AS path FROM lineitem), need AS (SELECT change, count(*) AS need FROM cur GROUP BY change),
 rec AS (SELECT o_orderkey AS record_id, CASE o_orderpriority WHEN '1-URGENT' THEN 'human' ELSE 'agent' END AS provenance, -o_orderkey AS ord FROM orders WHERE o_orderstatus <> 'P'), rf AS (SELECT DISTINCT l_orderkey AS record_id, l_partkey AS path FROM lineitem),
 g AS (SELECT change, record_id, count(*) AS got FROM cur JOIN rf USING (path) JOIN rec USING (record_id) GROUP BY ALL), full_ AS (SELECT g.change, g.record_id, provenance, ord FROM g JOIN need USING (change) JOIN rec USING (record_id) WHERE got = need)
 SELECT change, arg_min(record_id, ord) AS record_id, count(*) AS records, arg_min(provenance, ord) = 'agent' AND NOT bool_or(provenance = 'human') AS agent_only FROM full_ GROUP BY change""")
 def record_division(spark, root):
     li = T.table(spark, root, "lineitem")
     h = F.sha1(F.col("l_partkey").cast("string")).alias("hash")
-    cur = li.filter("l_quantity >= 49 and l_discount >= 0.09").select(F.col("l_suppkey").alias("change"), F.col("l_partkey").alias("path"), h)
+    cur = li.select(F.col("l_orderkey").alias("change"), F.col("l_partkey").alias("path"), h)
     rec = T.table(spark, root, "orders").select(F.col("o_orderkey").alias("record_id"), F.when(F.col("o_orderstatus") == "P", "fail").otherwise("pass").alias("verdict"),
                                                 F.when(F.col("o_orderpriority") == "1-URGENT", "human").otherwise("agent").alias("provenance"), (-F.col("o_orderkey")).alias("ord"))
     return L.covering_records(cur, rec, li.select(F.col("l_orderkey").alias("record_id"), F.col("l_partkey").alias("path"), h), ["change"])
@@ -197,14 +197,14 @@ def memory_bullets(spark, root):
     return L.query_memory(L.parse_bullets(notes).filter("item <> ''"), L.memory_terms(topic="ring #12 of"))
 
 
-@query("graph_clarity", """WITH fan AS (SELECT l_partkey AS k, count(*) AS n FROM lineitem GROUP BY ALL), ch AS (SELECT DISTINCT l_suppkey AS change, l_partkey AS k FROM lineitem WHERE l_quantity >= 49 AND l_discount >= 0.09),
+@query("graph_clarity", """WITH fan AS (SELECT l_partkey AS k, count(*) AS n FROM lineitem GROUP BY ALL), ch AS (SELECT DISTINCT l_suppkey AS change, l_partkey AS k FROM lineitem),
 f AS (SELECT change, p_brand || '/' || p_partkey AS path, n FROM ch JOIN part ON p_partkey = k LEFT JOIN fan USING (k))
 SELECT change, 'downstream-consumers' AS rule, 'File ' || path || ' has ' || n || ' downstream consumers, exceeding max of 30' AS detail FROM f WHERE n > 30
 UNION ALL SELECT change, 'boundary-crossing', 'Changes span ' || count(DISTINCT split_part(path, '/', 1)) || ' top-level directories' FROM f GROUP BY change HAVING count(DISTINCT split_part(path, '/', 1)) > 1
 UNION ALL SELECT change, 'negative-constraint', 'File ' || path || ' matches negative constraint: do not touch ' || path || '!' FROM f JOIN part ON path = p_brand || '/' || p_partkey WHERE p_size > 40""")
 def graph_clarity(spark, root):
     files = T.part_files(spark, root)
-    ch = T.table(spark, root, "lineitem").filter("l_quantity >= 49 and l_discount >= 0.09").select(F.col("l_suppkey").alias("change"), F.col("l_partkey").alias("partkey")).join(files, "partkey").select("change", F.col("file").alias("path"))
+    ch = T.table(spark, root, "lineitem").select(F.col("l_suppkey").alias("change"), F.col("l_partkey").alias("partkey")).join(files, "partkey").select("change", F.col("file").alias("path"))
     nodes = files.select(T.node_id("part", "partkey").alias("id"), F.col("file").alias("path"))
     edges = T.table(spark, root, "lineitem").select(T.node_id("part", "l_partkey").alias("dst"))
     constraints = T.table(spark, root, "part").filter("p_size > 40").select(F.concat(F.lit("do not touch "), "p_brand", F.lit("/"), F.col("p_partkey").cast("string"), F.lit("!")).alias("item"))

@@ -217,9 +217,9 @@ def term_overlap(spark, root):
     return d.select("doc_id", S.contained("text", ["ation", "the", "que", "ung"]).alias("relevance"), F.size(S.words("text")).cast("bigint").alias("words"))
 
 
-@query("excerpt_lines", "SELECT doc_id, array_to_string(list_filter(string_split(text, chr(10)), lambda l: trim(l) <> '')[1:5], chr(10)) AS excerpt FROM documents")
+@query("excerpt_lines", "SELECT doc_id, array_to_string(list_filter(string_split(text, chr(10)), lambda l: trim(l) <> '')[1:28], chr(10)) AS excerpt FROM documents")
 def excerpt_lines(spark, root):
-    return T.table(spark, root, "documents").select("doc_id", S.excerpt("text", 5).alias("excerpt"))
+    return T.table(spark, root, "documents").select("doc_id", S.excerpt("text", 28).alias("excerpt"))
 
 
 def _items(spark, root):
@@ -248,29 +248,61 @@ def pack_rows(spark, root):
 
 # -- prompts -------------------------------------------------------------------
 
-_TOPICS = ["(?i)\\b(auth|authentications?|login|signups?)\\b", "(?i)\\b(payments?|checkout|billings?|subscriptions?)\\b", "(?i)\\b(caches?|caching|memoizes?|memoization)\\b",
-           "(?i)\\b(db|databases?|schemas?|migrations?|models?)\\b", "(?i)\\b(apis?|endpoints?|routes?|rest|graphql)\\b"]
-_OPEN = " + ".join(f"CAST(regexp_matches(t, '{p}') AND NOT ({' OR '.join(f'''contains(lower(t), '{a}')''' for a in answers)}) AS INT)" for p, (_, _, answers) in zip(_TOPICS, CL.OPEN_TOPICS))
-# Every prompt as it is, and once more with words of the order lines of its conversation.
-PROMPTS = """prompts AS (SELECT conv_id, turn, text AS t FROM conversations WHERE role = 'user'
-  UNION ALL SELECT conv_id, turn + 1000, CASE turn % 4 WHEN 0 THEN 'fix login bug in api ' WHEN 1 THEN 'Add a cache with in-memory LRU / Map cache to user.ts ' WHEN 2 THEN 'rename label typo ' ELSE 'redesign the payments schema migration ' END || substr(text, 1, 20 + 5 * turn) FROM conversations WHERE role = 'user')"""
+def _settled(topic: dict) -> str:
+    return " OR ".join(f"contains(lower(t), '{text[:15].lower()}')" for text, _ in topic["answers"])
+
+
+_IS_OPEN = [f"(regexp_matches(t, '{x['pattern']}') AND NOT ({_settled(x)}))" for x in CL.OPEN_TOPICS]
+_OPEN = " + ".join(f"CAST({x} AS INT)" for x in _IS_OPEN)
+# Every prompt as it is, once more behind a task line, and that line alone with the conversation's number.
+LEADS = ["fix login bug in api ", "Add a cache with in-memory LRU / Map cache to user.ts ", "rename label typo ", "redesign the payments schema migration "]
+_LEAD = f"CASE turn % 4 WHEN 0 THEN '{LEADS[0]}' WHEN 1 THEN '{LEADS[1]}' WHEN 2 THEN '{LEADS[2]}' ELSE '{LEADS[3]}' END"
+PROMPTS = f"""prompts AS (SELECT conv_id, turn, text AS t FROM conversations WHERE role = 'user'
+  UNION ALL SELECT conv_id, turn + 1000, {_LEAD} || text FROM conversations WHERE role = 'user' UNION ALL SELECT conv_id, turn + 2000, {_LEAD} || conv_id FROM conversations WHERE role = 'user')"""
 
 
 def all_prompts(spark, root):
     p = T.prompts(spark, root)
-    lead = F.element_at(F.array(*map(F.lit, ["fix login bug in api ", "Add a cache with in-memory LRU / Map cache to user.ts ", "rename label typo ", "redesign the payments schema migration "])), (F.col("turn") % 4 + 1).cast("int"))
-    return p.unionByName(p.select("conv_id", (F.col("turn") + 1000).alias("turn"), F.concat(lead, F.substring("prompt", F.lit(1), (20 + 5 * F.col("turn")).cast("int"))).alias("prompt")))
+    lead = F.element_at(F.array(*map(F.lit, LEADS)), (F.col("turn") % 4 + 1).cast("int"))
+    long = p.select("conv_id", (F.col("turn") + 1000).alias("turn"), F.concat(lead, "prompt").alias("prompt"))
+    short = p.select("conv_id", (F.col("turn") + 2000).alias("turn"), F.concat(lead, F.col("conv_id").cast("string")).alias("prompt"))
+    return p.unionByName(long).unionByName(short)
 
 
-@query("prompt_clarity", f"""WITH {PROMPTS}, a AS (SELECT conv_id, turn, trim(t) AS t FROM prompts), b AS (SELECT *, {_OPEN} AS o, length(t) AS n FROM a),
+_SCORED = f"""{PROMPTS}, a AS (SELECT conv_id, turn, trim(t) AS t FROM prompts), b AS (SELECT *, {_OPEN} AS o, length(t) AS n FROM a),
 c AS (SELECT *, 100 - CASE WHEN n < 25 THEN 40 WHEN n < 50 THEN 20 ELSE 0 END - 25 * o AS s FROM b),
-d AS (SELECT *, NOT regexp_matches(t, '(?i)\\.(ts|js|py|go|rs|json|md)\\b|[A-Z][a-zA-Z0-9]+Service|[a-zA-Z0-9]+Handler') AND s < 80 AS v FROM c),
+d AS (SELECT *, NOT regexp_matches(t, '(?i)\\.(ts|js|py|go|rs|json|md)\\b|[A-Z][a-zA-Z0-9]+Service|[a-zA-Z0-9]+Handler') AND s < 80 AS v FROM c)"""
+
+
+@query("prompt_clarity", f"""WITH {_SCORED},
 e AS (SELECT *, CAST(greatest(0, least(100, s - CASE WHEN v THEN 10 ELSE 0 END)) AS BIGINT) AS score, CAST(CAST(n < 25 AS INT) + o + CAST(v AS INT) AS BIGINT) AS ambiguities FROM d)
 SELECT conv_id, turn, score, score >= 75 AND ambiguities = 0 AS is_clear, ambiguities FROM e""")
 def prompt_clarity(spark, root):
     return all_prompts(spark, root).select("conv_id", "turn", CL.prompt_clarity("prompt").alias("c")).select("conv_id", "turn", "c.*")
 
 
+_LACKS = [("n < 25", "'scope'", "'Prompt is very brief (' || n || ' characters) without declared boundaries.'", CL.BRIEF["why"])]
+_LACKS += [(cond, f"'{x['category']}'", "'" + x["open"] + "'", x["why"]) for cond, x in zip(_IS_OPEN, CL.OPEN_TOPICS)]
+_LACKS += [("v", "'scope'", "'" + CL.NO_TARGET["open"] + "'", CL.NO_TARGET["why"])]
+_LACKING = " UNION ALL ".join(f"SELECT conv_id, turn, {i} AS place, {kind} AS category, {text} AS description, '{why}' AS why FROM d WHERE {cond}" for i, (cond, kind, text, why) in enumerate(_LACKS))
+
+
+@query("prompt_ambiguities", f"WITH {_SCORED}, x AS ({_LACKING}) SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn ORDER BY place) AS pos, category, description, why FROM x")
+def prompt_ambiguities(spark, root):
+    return CL.prompt_ambiguities(all_prompts(spark, root), ["conv_id", "turn"])
+
+
+_ASKS = [*zip(_IS_OPEN, CL.OPEN_TOPICS), (f"n < 25 AND NOT ({' OR '.join(_IS_OPEN)})", CL.FALLBACK)]
+_ASKED = " UNION ALL ".join(f"SELECT conv_id, turn, {i} AS place, '{x['question']}' AS question, '{x['why']}' AS context FROM d WHERE {cond}" for i, (cond, x) in enumerate(_ASKS))
+_ANSWERS = ", ".join(f"('{x['question']}', '{'ABC'[i]}', '{text}', '{cost}')" for _, x in _ASKS for i, (text, cost) in enumerate(x["answers"]))
+
+
+@query("prompt_questions", f"""WITH {_SCORED}, x AS ({_ASKED}), ans(question, answer_id, answer, tradeoff) AS (VALUES {_ANSWERS})
+SELECT conv_id, turn, 'Q' || row_number() OVER (PARTITION BY conv_id, turn, answer_id ORDER BY place) AS question_id, question, context, answer_id, answer, tradeoff FROM x JOIN ans USING (question)""")
+def prompt_questions(spark, root):
+    return CL.prompt_questions(all_prompts(spark, root), ["conv_id", "turn"])
+
+
 def _has(k):
     return f"regexp_matches(lower(t), '{CL.TASK_PATTERNS[k]}')"
 
@@ -280,6 +312,8 @@ b AS (SELECT *, CASE WHEN security THEN 'security-change' WHEN database THEN 'da
   CASE WHEN security THEN 'critical' WHEN database OR api OR architecture THEN 'high' WHEN simple THEN 'low' ELSE 'medium' END AS risk FROM a)
 SELECT conv_id, turn, kind, risk, CAST(CASE WHEN risk = 'critical' OR kind = 'architecture-change' THEN 15000 WHEN risk = 'high' THEN 10000 WHEN risk = 'low' THEN 2000 ELSE 6000 END AS BIGINT) AS budget,
   coalesce(nullif(concat_ws(',', CASE WHEN security THEN 'security' END, CASE WHEN database THEN 'database' END, CASE WHEN api THEN 'api' END, CASE WHEN architecture THEN 'architecture' END), ''), 'application') AS domains,
-  concat_ws(',', 'standard', CASE WHEN security THEN 'adversarial' END, CASE WHEN architecture THEN 'design-first' END) AS modes FROM b""")
+  concat_ws(',', 'standard', CASE WHEN security THEN 'adversarial' END, CASE WHEN architecture THEN 'design-first' END) AS modes,
+  concat_ws(',', 'ei-knowledge', 'ei-graph', 'cce', 'native-retrieval', CASE WHEN security THEN 'security-gates' END, CASE WHEN api THEN 'api-gates' END, CASE WHEN database THEN 'migration-gates' END, CASE WHEN architecture THEN 'design-first' END) AS route,
+  concat_ws(',', CASE kind WHEN 'security-change' THEN 'security review' WHEN 'api-change' THEN 'api-diff' WHEN 'database-change' THEN 'migration-lint' END, 'type-check', 'targeted tests') AS gates FROM b""")
 def task_classify(spark, root):
     return all_prompts(spark, root).select("conv_id", "turn", CL.classify("prompt").alias("c")).select("conv_id", "turn", "c.*")
