@@ -29,3 +29,20 @@ def test_report_tables_are_whole(spark):
     assert len(reports.table(df, {"id": "Id"}).splitlines()) == 232
     few = reports.table(df, {"id": "Id"}, 10).splitlines()
     assert few[-1] == "_220 more rows_" and few[2:12] == [f"| {i} |" for i in range(10)]
+
+
+def test_evidence_in_reading_order(spark, tmp_path):
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src/db.ts").write_text("export function connect() {\n  return 1;\n}\n")
+    for name, lines in (("z", 0), ("b", 3), ("a", 1)):
+        (tmp_path / f"src/{name}.ts").write_text("\n" * lines + f"import {{ connect }} from './db';\nexport function use_{name}() {{\n  return connect();\n}}\n")
+    (tmp_path / "src/top.ts").write_text("import { use_b } from './b';\nimport { use_a } from './a';\nexport function top() {\n  return use_a() + use_b();\n}\n")
+    graph = build_graph(logs.read_text_files(spark, str(tmp_path)))
+    assert [r["id"] for r in A.who_calls(graph, "connect").collect()] == ["symbol:src/a#use_a", "symbol:src/b#use_b", "symbol:src/z#use_z"]
+    got = {r["id"]: r for r in A.change_impact(graph, ["src/db.ts"])["details"].collect()}
+    assert got["module:src/b"]["evidence"] == "src/b.ts:4" and got["module:src/b"]["through"] == "module:src/db"
+    # The importer of both surfaces through the one that came first.
+    assert got["module:src/top"]["hop"] == "indirect" and got["module:src/top"]["through"] == "module:src/a"
+    assert got["module:src/top"]["evidence"] == "src/top.ts:2"
+    paths = [r["path"] for r in A.execution_paths(graph, "src/top.ts", "src/db.ts").orderBy("hops", "ords").collect()]
+    assert paths == [["module:src/top", "module:src/b", "module:src/db"], ["module:src/top", "module:src/a", "module:src/db"]]

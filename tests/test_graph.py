@@ -73,6 +73,35 @@ def test_callers_rank_and_exclude_targets(spark):
     assert [r["id"] for r in G.rank_callers(G.callers(e, targets, transitive=True)).collect()] == ["y", "z", "x"]
 
 
+def naive_arrival(pairs, seeds):
+    """(node, depth, through, edge) in breadth-first order over edges in their given order, against their direction."""
+    into = defaultdict(list)
+    for i, (a, b) in enumerate(pairs):
+        into[b].append((a, i))
+    seen, queue, out = set(seeds), [(s, 0) for s in seeds], []
+    while queue:
+        node, depth = queue.pop(0)
+        for a, i in into[node]:
+            if a not in seen:
+                seen.add(a)
+                out.append((a, depth + 1, node, i))
+                queue.append((a, depth + 1))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_surfacing_edges_match_a_plain_search(spark, seed):
+    rng = random.Random(seed)
+    pairs = [(f"n{rng.randrange(40)}", f"n{rng.randrange(40)}") for _ in range(70)]
+    seeds = ["n3", "n1", "n7"]
+    e = spark.createDataFrame([(a, b, f"src/f{i // 10:03}.ts:{i % 10 + 1}") for i, (a, b) in enumerate(pairs)], "src string, dst string, evidence string").repartition(5)
+    found = G.surfacing(e.withColumn("ord", G.read_place("evidence")), spark.createDataFrame([(n, i) for i, n in enumerate(seeds)], "node string, ord long"))
+    got = [(r["node"], r["depth"], r["parent"], r["evidence"]) for r in found.filter("depth > 0").orderBy("depth", "place").collect()]
+    assert got == [(n, d, p, f"src/f{i // 10:03}.ts:{i % 10 + 1}") for n, d, p, i in naive_arrival(pairs, seeds)]
+    near = G.surfacing(e.withColumn("ord", G.read_place("evidence")), spark.createDataFrame([("n3", 0)], "node string, ord long"), max_depth=1)
+    assert near.filter("depth > 1").isEmpty()
+
+
 def naive_paths(pairs, s, t, depth, cap):
     if s == t:
         return [[s]]

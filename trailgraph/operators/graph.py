@@ -53,6 +53,47 @@ def reach(edges: DataFrame, seeds: DataFrame, *, forward: bool = False, max_dept
     return store.all()
 
 
+def read_place(evidence: Column | str) -> Column:
+    """struct(file, line) of a `path:line` text: where it stands in reading order."""
+    e = S.col(evidence)
+    line = F.regexp_extract(e, r":(\d+)$", 1)
+    return F.struct(F.regexp_replace(e, r":\d+$", "").alias("file"), F.when(line != "", line.cast("bigint")).alias("line"))
+
+
+def surfacing(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """What reaches the seeds against the edges, each node with the edge that first surfaced it.
+
+    edges: src, dst, ord (any orderable type, such as ``read_place``) and
+    optionally confidence, evidence. seeds: node, ord. Columns: node, depth,
+    place (order of arrival within a depth), parent, ord, confidence, evidence.
+
+    Every level is numbered in order of (its parent's number, edge), so a node
+    carries one pointer instead of its whole path, however deep the search goes.
+    A level's numbers come from one range sort of that level; they rise with
+    the order but have gaps.
+    """
+    extra = [c if c in edges.columns else F.lit(None).cast("string").alias(c) for c in ("confidence", "evidence")]
+    steps = edges.select(F.col("dst").alias("parent"), F.col("src").alias("node"), "ord", *extra)
+    if max_depth != 1:
+        steps = cut_lineage(steps)
+    kind = edges.schema["ord"].dataType
+    seed = seeds.groupBy("node").agg(F.min("ord").alias("_o")).orderBy("_o", "node").select("node", F.lit(0).cast("bigint").alias("depth"), F.monotonically_increasing_id().alias("place"))
+    node_type = steps.schema["node"].dataType
+    blank = [F.lit(None).cast(node_type).alias("parent"), F.lit(None).cast(kind).alias("ord"), *[F.lit(None).cast("string").alias(c) for c in ("confidence", "evidence")]]
+    seed = seed.select(F.col("node").cast(node_type).alias("node"), "depth", "place", *blank)
+    store = RoundStore(edges.sparkSession, seed.schema)
+    level, depth = store.append(seed), 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
+        hop = level.select(F.col("node").alias("parent"), F.col("place").alias("_p")).join(steps, "parent")
+        first = hop.groupBy("node").agg(F.min(F.struct("_p", "ord", "parent", "confidence", "evidence")).alias("m"))
+        fresh = first.join(store.all().select("node"), "node", "left_anti").orderBy("m._p", "m.ord", "node")
+        level = store.append(fresh.select("node", F.lit(depth).cast("bigint").alias("depth"), F.monotonically_increasing_id().alias("place"), "m.parent", "m.ord", "m.confidence", "m.evidence"))
+        if level.isEmpty():
+            break
+    return store.all()
+
+
 def change_seeds(nodes: DataFrame, changed: DataFrame) -> DataFrame:
     """Seeds of a change: the module of every changed path and its symbols.
 
@@ -72,9 +113,10 @@ def impact(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, evidence: bool
     (hop, churn desc nulls last, id).
 
     Columns: id, kind, label, path, hop, depth, churn, is_test, high_churn and,
-    with ``evidence``, link_ord: ordinal of the edge that surfaced the node.
+    with ``evidence``, of the edge that first surfaced the node: link_ord,
+    evidence, through (its target); and place, the order within the depth.
     """
-    found = reach(edges, seeds, arrival=evidence).filter(F.col("depth") > 0)
+    found = (surfacing(edges, seeds) if evidence else reach(edges, seeds)).filter(F.col("depth") > 0)
     cols = ["id", "kind", "label", "path", "churn"] + (["is_test"] if "is_test" in nodes.columns else [])
     info = nodes.select(*cols).withColumnRenamed("id", "node")
     out = found.join(info, "node", "left")
@@ -83,7 +125,7 @@ def impact(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, evidence: bool
         F.col("node").alias("id"), F.coalesce("kind", F.lit("unknown")).alias("kind"), F.coalesce("label", F.col("node").cast("string")).alias("label"), "path",
         F.when(F.col("depth") == 1, "direct").otherwise("indirect").alias("hop"), "depth", "churn", is_test.alias("is_test"),
         F.coalesce(F.col("churn") >= CHURN_RISK, F.lit(False)).alias("high_churn"),
-        *([F.element_at("arrival", -1).alias("link_ord")] if evidence else []))
+        *([F.col("ord").alias("link_ord"), "evidence", F.col("parent").alias("through"), "place"] if evidence else []))
 
 
 def rank_impact(details: DataFrame, limit: int | None = None) -> DataFrame:
@@ -121,12 +163,11 @@ def confidence_rank() -> Column:
 
 
 def callers(edges: DataFrame, targets: DataFrame, transitive: bool = False) -> DataFrame:
-    """Callers of the targets: id, depth, confidence and ordinal of the surfacing
-    edge, arrival. Targets bring node, ord; edges bring src, dst, confidence, ord."""
-    hit = reach(edges, targets, max_depth=None if transitive else 1, arrival=True).filter(F.col("depth") > 0)
-    hit = hit.withColumn("ord", F.element_at("arrival", -1)).withColumnRenamed("node", "src")
-    return hit.join(edges.select("src", "ord", "confidence"), ["src", "ord"]).select(
-        F.col("src").alias("id"), "depth", "confidence", "ord", "arrival")
+    """Callers of the targets: id, depth, confidence, ordinal and evidence of the
+    surfacing edge, through (its target), arrival (order within the depth).
+    Targets bring node, ord; edges bring src, dst, confidence, ord."""
+    hit = surfacing(edges, targets, None if transitive else 1).filter(F.col("depth") > 0)
+    return hit.select(F.col("node").alias("id"), "depth", "confidence", "ord", "evidence", F.col("parent").alias("through"), F.col("place").alias("arrival"))
 
 
 def rank_callers(found: DataFrame, limit: int = 50) -> DataFrame:

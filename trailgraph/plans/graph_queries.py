@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from trailgraph.functions.ranking import number_rows
 from trailgraph.operators import build as B
 from trailgraph.operators import graph as G
 from trailgraph.operators import history as H
@@ -108,6 +110,42 @@ def callers_transitive(spark, root):
     return G.callers(succ(spark, root), targets, transitive=True).select("id", "depth")
 
 
+# Breadth-first search in reading order: each level is numbered by (number of the parent, place of the edge).
+SURFACED = """e AS (SELECT src, dst, count(*) AS n, min(o * 1000000 + line) AS ord FROM (SELECT l_orderkey AS o, l_linenumber AS line, l_partkey AS src,
+    lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS dst FROM lineitem) WHERE dst IS NOT NULL GROUP BY ALL),
+  r(id, depth, place, ord, through, n) USING KEY (id) AS (
+  SELECT p_partkey, 0::BIGINT, row_number() OVER (ORDER BY p_partkey), NULL::BIGINT, NULL::BIGINT, NULL::BIGINT FROM part WHERE {seeds}
+  UNION SELECT id, depth, row_number() OVER (ORDER BY m, id), m[2], m[3], m[4] FROM (
+    SELECT e.src AS id, max(r.depth) + 1 AS depth, min([r.place, e.ord, e.dst, e.n]) AS m FROM r JOIN e ON e.dst = r.id LEFT JOIN recurring.r AS seen ON seen.id = e.src WHERE seen.id IS NULL {stop} GROUP BY e.src)),
+  found AS (SELECT id, depth, through, CASE WHEN n >= 3 THEN 'verified' ELSE 'inferred' END AS confidence, printf('orders/%012d:%d', ord // 1000000, ord % 1000000) AS evidence,
+    row_number() OVER (ORDER BY depth, place) AS arrival FROM r WHERE depth > 0)"""
+
+
+def _in_order(found):
+    """Dense order of arrival over all depths, for the comparison."""
+    dense = number_rows(found.withColumn("_all", F.lit(1)), ["_all", "depth"], "arrival", "_n", width=1 << 33)
+    sizes = found.groupBy("depth").agg(F.count("*").alias("_size"))
+    before = sizes.select("depth", (F.sum("_size").over(W.orderBy("depth")) - F.col("_size")).alias("_before"))  # one row per depth
+    return dense.join(before, "depth").withColumn("arrival", F.col("_n") + F.col("_before"))
+
+
+@query("impact_details", f"""WITH RECURSIVE {SURFACED.format(seeds="p_size >= 50", stop="")}
+SELECT id, replace(p_name, ' ', '.') AS label, CASE WHEN depth = 1 THEN 'direct' ELSE 'indirect' END AS hop, depth, p_size::BIGINT AS churn, through, evidence FROM found JOIN part ON p_partkey = id""")
+def impact_details(spark, root):
+    seeds = T.table(spark, root, "part").filter("p_size >= 50").select(F.col("p_partkey").alias("node"), F.col("p_partkey").alias("ord"))
+    edges = T.located_successors(spark, root).withColumn("ord", G.read_place("evidence"))
+    return G.impact(part_nodes(spark, root), edges, seeds).select("id", "label", "hop", "depth", "churn", "through", "evidence")
+
+
+@query("callers_in_order", f"""WITH RECURSIVE {SURFACED.format(seeds="p_name LIKE '% ring'", stop="")}
+SELECT * FROM found""")
+def callers_in_order(spark, root):
+    names = spark.createDataFrame([("ring",)], "name string")
+    targets = G.find_symbols(part_nodes(spark, root), names).select(F.col("id").alias("node"), F.col("id").alias("ord"))
+    found = G.callers(T.located_successors(spark, root).withColumn("ord", G.read_place("evidence")), targets, transitive=True)
+    return _in_order(found).select("id", "depth", "through", "confidence", "evidence", "arrival")
+
+
 @query("symbol_lookup_tiered", """WITH names AS (SELECT DISTINCT CASE WHEN p_size > 25 THEN upper(split_part(p_name, ' ', 2)) ELSE split_part(p_name, ' ', 2) END AS name FROM part
   UNION SELECT DISTINCT replace(p_name, ' ', '.') FROM part),
 s AS (SELECT p_partkey AS id, replace(p_name, ' ', '.') AS label, split_part(p_name, ' ', 2) AS bare FROM part),

@@ -115,8 +115,8 @@ def item_edges(spark: SparkSession, root: str) -> DataFrame:
     return out
 
 
-def successor_edges(spark: SparkSession, root: str) -> DataFrame:
-    """part -> next part in the same order (cyclic, sparse): src, dst, n
+def _successors(spark: SparkSession, root: str) -> DataFrame:
+    """part -> next part in the same order, one row per place: src, dst, l_orderkey, l_linenumber
 
     Lines of one order are ordered inside slices of 1024 line numbers; only one
     boundary row per slice is ordered over the whole order, so an order with a
@@ -126,12 +126,24 @@ def successor_edges(spark: SparkSession, root: str) -> DataFrame:
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.floor(F.col("l_linenumber") / 1024).alias("slice"))
     w = W.partitionBy("l_orderkey", "slice").orderBy("l_linenumber", "l_partkey", "l_suppkey")
     rows = li.select(
-        "l_orderkey", "slice", F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst"),
+        "l_orderkey", "l_linenumber", "slice", F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst"),
         F.first("l_partkey").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)).alias("head"))
     ends = rows.filter(F.col("dst").isNull())
-    bridge = ends.select("src", F.lead("head").over(W.partitionBy("l_orderkey").orderBy("slice")).alias("dst"))
-    pairs = rows.select("src", "dst").unionByName(bridge).filter(F.col("dst").isNotNull())
-    return pairs.groupBy("src", "dst").agg(F.count("*").alias("n"))
+    bridge = ends.select("l_orderkey", "l_linenumber", "src", F.lead("head").over(W.partitionBy("l_orderkey").orderBy("slice")).alias("dst"))
+    return rows.select("src", "dst", "l_orderkey", "l_linenumber").unionByName(bridge).filter(F.col("dst").isNotNull())
+
+
+def successor_edges(spark: SparkSession, root: str) -> DataFrame:
+    """part -> next part in the same order (cyclic, sparse): src, dst, n"""
+    return _successors(spark, root).groupBy("src", "dst").agg(F.count("*").alias("n"))
+
+
+def located_successors(spark: SparkSession, root: str) -> DataFrame:
+    """Successor edges with the first place of each, as `orders/<key>:<line>`: src, dst, n, confidence, evidence"""
+    at = F.min(F.struct("l_orderkey", "l_linenumber"))
+    found = _successors(spark, root).groupBy("src", "dst").agg(F.count("*").alias("n"), at.alias("at"))
+    file = F.format_string("orders/%012d", "at.l_orderkey")
+    return found.select("src", "dst", "n", F.when(F.col("n") >= 3, "verified").otherwise("inferred").alias("confidence"), F.concat_ws(":", file, F.col("at.l_linenumber").cast("string")).alias("evidence"))
 
 
 # -- documents -------------------------------------------------------------
