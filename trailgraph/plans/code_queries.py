@@ -21,7 +21,8 @@ imp AS (SELECT 'module:' || dir || '/p' || k AS src, 'pkg:' || pkg AS dst, 'impo
 
 @query("js_imports", f"WITH {IMPORTS} SELECT src, dst, relation, CAST(line AS BIGINT) AS line FROM imp")
 def js_imports(spark, root):
-    return code.imports(code.scan(T.source_tree(spark, root))).select(S.module_id("file").alias("src"), F.col("target").alias("dst"), "relation", "line")
+    tree = T.source_tree(spark, root)
+    return code.imports(code.scan(tree, definitions=False), tree).select(S.module_id("file").alias("src"), F.col("target").alias("dst"), "relation", "line")
 
 
 @query("import_unknowns", f"WITH {IMPORTS} SELECT 'unresolved import \"./gone' || src || '\" at ' || f || '.ts:4' AS note FROM l")
