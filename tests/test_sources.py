@@ -214,3 +214,55 @@ def test_prompts(spark):
     ask = ["Fix it", "Implement JWT auth please in the user.ts file now", "Rename the helper in src/format.ts so that dates always print in UTC and cover it by a unit test"]
     got = spark.createDataFrame([(a,) for a in ask], "p string").select(CL.prompt_clarity("p").alias("c")).select("c.*").collect()
     assert not got[0]["is_clear"] and got[0]["score"] == 50 and not got[1]["is_clear"] and tuple(got[2]) == (100, True, 0)
+
+
+def test_imports_of_excluded_files_end_at_external_nodes(tree):
+    from trailgraph.plans.build_graph import build_graph
+    from trailgraph.sources.policy import FilePolicy, ignore_rules
+
+    files = {
+        "src/a.ts": "import { g } from './gen/g';\nimport { k } from './gen/keep';\nimport { v } from '../vendor/v';\nexport function a() {\n  return g(k, v);\n}\n",
+        "src/b.ts": "import { g } from './gen/g';\nimport { no } from './lost';\n",
+        "src/gen/g.ts": "import { a } from '../a';\nexport function g() {\n  return 1;\n}\n", "src/gen/keep.ts": "export const k = 1;\n", "vendor/v.ts": "export const v = 1;\n",
+    }
+    g = build_graph(tree(files), policy=FilePolicy(git_ignore=ignore_rules("src/gen/*.ts\n!src/gen/keep.ts\n")))
+    ext = {r["id"]: (r["label"], r["path"], r["policy_source"], r["policy_pattern"]) for r in g.nodes.filter("kind = 'external'").collect()}
+    assert ext == {"external:src/gen/g.ts": ("g.ts", None, "gitignore", "src/gen/*.ts"), "external:vendor/v.ts": ("v.ts", None, "safety", "vendor/")}
+    edges = {(r["src"], r["dst"]) for r in g.edges.filter("relation = 'imports'").collect()}
+    assert edges == {("module:src/a", "external:src/gen/g.ts"), ("module:src/a", "module:src/gen/keep"), ("module:src/a", "external:vendor/v.ts"),
+                     ("module:src/b", "external:src/gen/g.ts"), ("module:src/b", "module:src/lost")}
+    # The excluded file itself is not scanned.
+    assert g.nodes.filter("id like '%gen/g#%' or id = 'module:src/gen/g'").isEmpty()
+    assert g.unknowns.count() == 1
+
+
+def test_definitions_by_line_starts_and_brackets():
+    src = """export default async function* walk({ a, b } = { a: 1, b: 2 }) {
+  run(a);
+}
+const pick = async (x = f({ y: 1 })) => {
+  return x;
+};
+export const one = n => {
+  two(n);
+};
+export abstract class Shop<T> extends Base {
+  private static async load(id: string): Promise<{ ok: boolean }> {
+    return fetchIt(id);
+  }
+  get size() {
+    return 1;
+  }
+}
+if (x) {
+  while (y) { z(); }
+}
+const value = call(() => { hidden(); });
+function
+"""
+    bare = code.masks(src)[1]
+    got = [(k, n) for k, n, _, _ in code.heads(bare, code.closing(bare))]
+    assert got == [("function", "walk"), ("arrow", "pick"), ("arrow", "one"), ("class", "Shop"), ("method", "load"), ("method", "size")]
+    out = code._js_symbols(bare)
+    assert [(d["name"], d["kind"], d["line"]) for d in out["defs"]] == [("walk", "function", 1), ("pick", "function", 4), ("one", "function", 7), ("Shop", "class", 10), ("Shop.load", "method", 11), ("Shop.size", "method", 14)]
+    assert {("walk", "run"), ("Shop.load", "fetchIt")} <= {(c["caller"], c["callee"]) for c in out["calls"]}

@@ -100,6 +100,24 @@ def _violations(df: DataFrame, key: str, rules: list) -> DataFrame:
     return df.select(key, F.explode(found).alias("violation"))
 
 
+def external_targets(imports: DataFrame, policy) -> tuple[DataFrame, DataFrame]:
+    """Imports of files that the file policy leaves out, re-pointed to `external:` nodes.
+
+    Returns (imports, externals). externals: id, label, excluded_path,
+    policy_source, policy_pattern, policy_reason, one row per file. Every
+    distinct target is judged once, by the last rule that matches it; the
+    imports then meet one row per target.
+    """
+    targets = imports.filter((F.col("kind") == "module") & F.col("target_path").isNotNull()).select(F.col("target_path").alias("path")).distinct()
+    decided = targets.select("path", policy.decide(S.slashes("path")).alias("_d")).filter(~F.col("_d.included"))
+    out = cut_lineage(decided.select(F.concat(F.lit("external:"), "path").alias("id"), S.basename("path").alias("label"), F.col("path").alias("excluded_path"),
+                                     F.col("_d.source").alias("policy_source"), F.col("_d.pattern").alias("policy_pattern"), F.col("_d.reason").alias("policy_reason")))
+    j = imports.join(out.select(F.col("excluded_path").alias("target_path"), F.col("id").alias("_id")), "target_path", "left")
+    away = F.col("_id").isNotNull()
+    cols = {"target": F.coalesce("_id", "target"), "kind": F.when(away, "external").otherwise(F.col("kind")), "target_path": F.when(~away, F.col("target_path"))}
+    return j.select(*[cols[c].alias(c) if c in cols else c for c in imports.columns]), out
+
+
 def name_table(symbols: DataFrame) -> DataFrame:
     """(name, id): full label and, for methods, the bare name."""
     return symbols.select("id", F.explode(F.array_distinct(F.array("label", F.element_at(F.split("label", r"\."), -1)))).alias("name")).distinct()

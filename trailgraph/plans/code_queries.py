@@ -56,6 +56,20 @@ def graph_build(spark, root):
     return BG.build_graph(T.source_tree(spark, root)).edges.groupBy("relation").agg(F.count("*").alias("n"))
 
 
+# A tree of which one list excludes two folders' modules and an ignore file takes one more, but for a part it gives back.
+_RULE = """CASE WHEN regexp_matches(path, '^src/Brand2[^/]/p[^/]*$') THEN 'explicit-exclude' WHEN regexp_matches(path, '^src/Brand3[^/]/p[^/]*$') AND NOT regexp_matches(path, '^src/Brand33/p[^/]*$') THEN 'gitignore' END"""
+
+
+@query("external_targets", f"""WITH {IMPORTS}, t AS (SELECT DISTINCT f, path FROM (SELECT f, s || '.ts' AS path FROM l UNION ALL SELECT f, d || '.ts' FROM l)), x AS (SELECT *, {_RULE} AS rule FROM t)
+SELECT 'external:' || path AS id, split_part(path, '/', -1) AS label, path AS excluded_path, rule AS policy_source, CASE rule WHEN 'gitignore' THEN '/src/Brand3?/p*' ELSE 'src/Brand2?/p*.ts' END AS policy_pattern,
+  CASE rule WHEN 'gitignore' THEN 'excluded by gitignore' ELSE 'matched exclude' END AS policy_reason, count(*) AS importers FROM x WHERE rule IS NOT NULL GROUP BY ALL""")
+def external_targets(spark, root):
+    rules = policy.FilePolicy(exclude=["src/Brand2?/p*.ts"], git_ignore=policy.ignore_rules("# modules\n/src/Brand3?/p*\n!/src/Brand33/p*\n"))
+    g = BG.build_graph(T.source_tree(spark, root), policy=rules)
+    importers = g.edges.filter("relation = 'imports'").groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("importers"))
+    return g.nodes.filter("kind = 'external'").join(importers, "id").select("id", "label", "excluded_path", "policy_source", "policy_pattern", "policy_reason", "importers")
+
+
 @query("graph_scale", f"""WITH {SYMS}, m AS (SELECT 'module:' || dir || '/p' || k AS id FROM p UNION SELECT 'module:' || f FROM l UNION SELECT 'module:' || g FROM l)
 SELECT (SELECT count(*) FROM m) AS modules, (SELECT count(*) FROM sym) AS symbols, (SELECT count(DISTINCT pkg) FROM p) AS packages, (SELECT count(*) FROM imp) + (SELECT count(*) FROM sym) + (SELECT count(*) FROM calls) AS edges""")
 def graph_scale(spark, root):

@@ -49,8 +49,9 @@ def _trust(spark, root):
     ppath = F.concat_ws("/", F.lit("part"), F.col("p_partkey").cast("string"))
     hashes = o.select(opath.alias("path"), F.sha2(opath, 256).alias("current"), F.when(F.col("o_orderstatus") == "P", "old").otherwise(F.sha2(opath, 256)).alias("expected")).unionByName(
         p.select(ppath.alias("path"), F.sha2(ppath, 256).alias("current"), F.when(~F.col("p_size").between(20, 25), F.sha2(ppath, 256)).alias("expected")))
-    native = o.select(oid.alias("id"), F.lit("module").alias("kind"), F.col("o_orderpriority").alias("label"), opath.alias("path"), F.col("o_orderkey").alias("ord")).unionByName(
-        p.filter("p_size between 11 and 40").select(pid.alias("id"), F.lit("symbol").alias("kind"), F.col("p_name").alias("label"), ppath.alias("path"), F.col("p_partkey").alias("ord")))
+    verified = F.lit("verified").alias("confidence")
+    native = o.select(oid.alias("id"), F.lit("module").alias("kind"), F.col("o_orderpriority").alias("label"), opath.alias("path"), verified, F.col("o_orderkey").alias("ord")).unionByName(
+        p.filter("p_size between 11 and 40").select(pid.alias("id"), F.lit("symbol").alias("kind"), F.col("p_name").alias("label"), ppath.alias("path"), verified, F.col("p_partkey").alias("ord")))
     false = F.lit(False).alias("excluded")
     raw = (
         o.select(oid.alias("raw_id"), F.col("o_orderpriority").alias("label"), opath.alias("source_file"), false, F.col("o_orderkey").alias("ord"))
@@ -67,7 +68,8 @@ def _trust(spark, root):
                   F.lit("GUESSED").alias("confidence"), none.alias("source_file"), false, (ord_ + 1).alias("ord")))
     kind = p.select(F.col("p_partkey").alias("l_partkey"), F.when(F.col("p_size").between(11, 40), pid).otherwise(F.concat(F.lit("second:"), pid)).alias("dst"))
     native_edges = li.filter("l_linestatus = 'O'").join(kind, "l_partkey").select(T.node_id("order", "l_orderkey").alias("src"), "dst", F.lit("defines").alias("relation"))
-    return nodes, TR.reconcile_edges(native_edges, nodes, raw_edges, hashes)
+    native_edges = native_edges.select("*", verified, F.lit(0).alias("ord")).distinct()
+    return nodes, TR.reconcile_edges(native_edges, nodes, raw_edges, hashes), native, native_edges
 
 
 @query("trust_nodes", f"WITH {TRUST_NODES} SELECT raw_id, id, trust_state, status FROM ns")
@@ -84,7 +86,27 @@ def trust_reconcile(spark, root):
   count(*) FILTER (status = 'accepted') AS accepted_edges, count(*) FILTER (status = 'corroborated') AS corroborated_edges, count(*) FILTER (trust_state = 'contested') AS contested_edges,
   count(*) FILTER (status = 'stale') + (SELECT count(*) FROM ns WHERE trust_state = 'stale') AS stale_evidence, count(*) FILTER (status = 'rejected') AS rejected_evidence FROM es""")
 def trust_counters(spark, root):
-    return TR.counters(*_trust(spark, root))
+    return TR.counters(*_trust(spark, root)[:2])
+
+
+@query("provider_graph_nodes", f"""WITH {TRUST_NODES}, own AS (
+  SELECT 'order:' || o_orderkey AS id, 'module' AS kind, o_orderpriority AS label, 'orders/' || o_orderkey AS path FROM orders UNION ALL SELECT 'part:' || p_partkey, 'symbol', p_name, 'part/' || p_partkey FROM part WHERE p_size BETWEEN 11 AND 40)
+SELECT own.id, kind, label, path, 'verified' AS confidence, CASE WHEN trust_state = 'fresh' THEN 'native,second' ELSE 'native' END AS providers, CASE WHEN trust_state = 'fresh' THEN 'fresh' END AS trust_state, CASE WHEN trust_state = 'fresh' THEN true END AS corroborated FROM own LEFT JOIN ns ON ns.native = own.id
+UNION ALL SELECT id, 'provider-symbol', p_name, file, 'unknown', 'second', 'fresh', NULL FROM ns JOIN part ON raw_id = 'part:' || p_partkey WHERE status = 'accepted'""")
+def provider_graph_nodes(spark, root):
+    rows, _, native, _ = _trust(spark, root)
+    found = TR.project_nodes(native, rows, "second")
+    return found.select("id", "kind", "label", "path", "confidence", F.array_join("providers", ",").alias("providers"), "trust_state", "corroborated")
+
+
+@query("provider_graph_edges", f"""WITH {TRUST_EDGES}, x AS (SELECT src, dst, relation, count(*) AS n, bool_or(status = 'corroborated') AS native, min(trust_state) FILTER (status = 'accepted') AS trust FROM es WHERE status IN ('corroborated', 'accepted', 'merged') GROUP BY ALL),
+c AS (SELECT k.src, k.dst, k.relation, arg_min(CASE WHEN k.relation = 'shipped_by' THEN 'unknown' ELSE 'inferred' END, ord) AS confidence FROM k WHERE status = 'accepted' GROUP BY ALL)
+SELECT src, dst, relation, confidence, 'second' AS providers, trust AS trust_state, false AS corroborated, n - 1 AS repeats FROM x JOIN c USING (src, dst, relation) WHERE NOT native
+UNION ALL SELECT nat.src, nat.dst, 'defines', 'verified', CASE WHEN n IS NULL THEN 'native' ELSE 'native,second' END, CASE WHEN n IS NOT NULL THEN 'fresh' END, CASE WHEN n IS NOT NULL THEN true END, coalesce(n, 1) - 1 FROM nat LEFT JOIN x ON x.src = nat.src AND x.dst = nat.dst AND relation = 'defines'""")
+def provider_graph_edges(spark, root):
+    _, rows, _, native_edges = _trust(spark, root)
+    found = TR.project_edges(native_edges, rows, "second")
+    return found.select("src", "dst", "relation", "confidence", F.array_join("providers", ",").alias("providers"), "trust_state", "corroborated", "repeats")
 
 
 FACTS = f"""{SUCC}, facts AS (

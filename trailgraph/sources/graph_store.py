@@ -58,12 +58,25 @@ def read_provider_graph(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     their ends source/target or from/to."""
     doc = _document(spark, path, _schema(f"nodes array<struct<{RAW_NODE}>>, edges array<struct<{RAW_EDGE}>>, links array<struct<{RAW_EDGE}>>"))
     n = doc.select(F.posexplode("nodes").alias("ord", "x")).select(F.col("x.id").alias("raw_id"), F.coalesce("x.label", "x.id").alias("label"), F.coalesce("x.kind", "x.type", F.lit("provider-symbol")).alias("kind"),
-                                                                     "x.source_file", "x.source_location", "x.confidence", F.col("ord").cast("bigint").alias("ord"))
+                                                                     "x.source_file", "x.source_location", "x.confidence", "x.confidence_score", F.col("ord").cast("bigint").alias("ord"))
     e = doc.select(F.posexplode(F.coalesce("edges", "links")).alias("ord", "x")).select(
         F.coalesce("x.source", "x.from").alias("source"), F.coalesce("x.target", "x.to").alias("target"), F.coalesce("x.relation", "x.type").alias("relation"), "x.confidence", "x.source_file", "x.source_location", F.col("ord").cast("bigint").alias("ord"))
     return {"nodes": n, "edges": e}
 
 
+def read_run_manifest(spark: SparkSession, path: str, provider: str) -> tuple[DataFrame, DataFrame]:
+    """(hashes: path, expected; problems: note) of a second source's run manifest.
+
+    A manifest of another version or provider gives no hashes and one note, so
+    nothing the run reports counts as current. No readable file gives neither.
+    """
+    doc = _document(spark, path, "schemaVersion int, provider string, providerVersion string, sourceCommit string, sourceHashes map<string,string>")
+    valid = F.coalesce((F.col("schemaVersion") == 1) & (F.col("provider") == provider), F.lit(False))
+    name = provider[:1].upper() + provider[1:]
+    bad = doc.filter(~valid).select(F.lit(f"{name} evidence manifest is invalid and was ignored.").alias("note")).distinct()
+    return doc.filter(valid).select(F.explode("sourceHashes").alias("path", "expected")), bad
+
+
 def read_claims(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(claims: id, kind, fact_key), (evidence: claim_id, path, start, end, hash)."""
     doc = _document(spark, path, "claims array<struct<" + CLAIM_FIELDS + ">>")
