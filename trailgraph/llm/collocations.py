@@ -1,9 +1,10 @@
 """Phrase collocations: exact phrase counts through burst tries, scored by their weakest cut.
 
-Counting goes level by level, words first. A phrase can only be frequent if both
-phrases one word shorter inside it are, so a bit table of the frequent shorter
-phrases (a Bloom filter of a fixed size) leaves out most others; what passes by
-chance is counted and then dropped, so counts are exact at any size.
+Words are counted first, then pairs, then all longer phrases in one pass. A
+phrase can only be frequent if all words, and all pairs of neighbours, inside it
+are, so a bit table of the frequent ones (a Bloom filter of a fixed size) leaves
+out most others; what passes by chance is counted and then dropped, so counts
+are exact at any size.
 
 A task counts in a HAT-trie: a shallow trie over word ids whose leaves are hash
 containers. A container that outgrows BURST entries bursts into containers by
@@ -200,36 +201,49 @@ def _columns(width: int) -> list[str]:
     return [f"w{j}" for j in range(width)]
 
 
-def phrase_counts(texts: DataFrame, width: int, shorter: Bits, least: int) -> DataFrame:
-    """w0.., n of the phrases of ``width`` words that stand at least ``least`` times; texts has lang, text."""
-    names = _columns(width)
-    schema = T.arrow_schema("p int, " + ", ".join(f"{x} long" for x in names) + ", n long")
-    share = texts.sparkSession.sparkContext.broadcast(shorter.words)
+def phrase_counts(texts: DataFrame, widths: list[int], part: int, frequent: Bits, least: int) -> DataFrame:
+    """m, w0.. (null beyond the m-th), n of the phrases of each width that stand at least ``least`` times.
+
+    ``frequent``: the phrases of ``part`` words that do; texts: lang, text.
+    """
+    names = _columns(max(widths))
+    ddl = "p int, m int, " + ", ".join(f"{x} long" for x in names) + ", n long"
+    schema = T.arrow_schema(ddl)
+    share = texts.sparkSession.sparkContext.broadcast(frequent.words)
 
     def runs(trie: HatTrie, down_to: int):
         for keys, n in trie.spill(down_to):
             p = ((keys[:, 0] >> np.uint64(46)) & np.uint64(0xFFF)) << np.uint64(6) | keys[:, 1] >> np.uint64(58)
-            cols = [pa.array(p.astype(np.int32)), *(pa.array(np.ascontiguousarray(keys[:, j]).view(np.int64)) for j in range(width)), pa.array(n)]
+            words = [pa.array(np.ascontiguousarray(keys[:, j]).view(np.int64)) if j < trie.width else pa.nulls(len(n), pa.int64()) for j in range(len(names))]
+            cols = [pa.array(p.astype(np.int32)), pa.array(np.full(len(n), trie.width, np.int32)), *words, pa.array(n)]
             for a in range(0, len(n), 1 << 15):
                 yield pa.RecordBatch.from_arrays([c[a : a + (1 << 15)] for c in cols], schema=schema)
 
     def count(batches):
-        trie, frequent = HatTrie(width), Bits(share.value)
+        tries, table = [HatTrie(w) for w in widths], Bits(share.value)
+        room = ROOM // len(tries)
         for batch in batches:
             for _, ids, piece in pieces(batch):
-                m = len(ids) - width + 1
-                if m <= 0:
+                if len(ids) < part:
                     continue
-                part = frequent.has(fold([ids[j : j + m + 1] for j in range(width - 1)]))
-                at = np.flatnonzero(part[:-1] & part[1:] & (piece[:m] == piece[width - 1 :]))
-                h, first, n = np.unique(fold([ids[at + j] for j in range(width)]), return_index=True, return_counts=True)
-                trie.add(h, np.stack([ids[at[first] + j] for j in range(width)], 1), n)
-                if trie.size() > ROOM:
-                    yield from runs(trie, ROOM // 2)
-        yield from runs(trie, 0)
-
-    rows = texts.select("lang", "text").mapInArrow(count, "p int, " + ", ".join(f"{x} long" for x in names) + ", n long")
-    return rows.repartition("p").groupBy("p", *names).agg(F.sum("n").alias("n")).filter(F.col("n") >= least).drop("p")
+                common = table.has(fold([ids[j : len(ids) - part + 1 + j] for j in range(part)]))
+                for trie in tries:
+                    m = len(ids) - trie.width + 1
+                    if m <= 0:
+                        continue
+                    keep = piece[:m] == piece[trie.width - 1 :]
+                    for j in range(trie.width - part + 1):
+                        keep &= common[j : j + m]
+                    at = np.flatnonzero(keep)
+                    h, first, n = np.unique(fold([ids[at + j] for j in range(trie.width)]), return_index=True, return_counts=True)
+                    trie.add(h, np.stack([ids[at[first] + j] for j in range(trie.width)], 1), n)
+                    if trie.size() > room:
+                        yield from runs(trie, room // 2)
+        for trie in tries:
+            yield from runs(trie, 0)
+
+    rows = texts.select("lang", "text").mapInArrow(count, ddl)
+    return rows.repartition("p").groupBy("p", "m", *names).agg(F.sum("n").alias("n")).filter(F.col("n") >= least).drop("p")
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -250,8 +264,8 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 
 def bits_of(frequent: DataFrame) -> Bits:
-    """The bit table of a level (columns w0..); at most BITS / 64 rows come to the driver."""
-    names = [x for x in frequent.columns if x != "n"]
+    """The bit table of phrases of one length (columns w0..); at most BITS / 64 rows come to the driver."""
+    names = [x for x in frequent.columns if x not in ("m", "n")]
 
     def places(batch: pa.RecordBatch):
         h = fold([c.to_numpy().view(np.uint64) for c in batch.columns])
@@ -274,9 +288,10 @@ def frequent_phrases(texts: DataFrame, words: DataFrame, least: int, longest: in
     """key (array of word ids), m (its length), n of all phrases of 1 to ``longest`` words with n >= ``least``."""
     level = words.filter(F.col("n") >= least).select(F.col("id").alias("w0"), "n")
     out = level.select(F.array("w0").alias("key"), F.lit(1).alias("m"), "n")
-    for width in range(2, longest + 1):
-        level = cut_lineage(phrase_counts(texts, width, bits_of(level), least))
-        out = out.unionByName(level.select(F.array(*_columns(width)).alias("key"), F.lit(width).alias("m"), "n"))
+    for part, widths in ((1, [2]), (2, list(range(3, longest + 1)))):
+        if widths and widths[0] <= longest:
+            level = cut_lineage(phrase_counts(texts, widths, part, bits_of(level), least))
+            out = out.unionByName(level.select(F.array_compact(F.array(*_columns(max(widths)))).alias("key"), "m", "n"))
     return out
 
 
