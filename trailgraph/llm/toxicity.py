@@ -4,7 +4,8 @@ Strings are the words of a sentence, reduced to letters (accents folded, marks
 inside a word left out, lone letters in a row joined), so spaced or punctuated
 insults are words too. The kernel of two words compares all subsequences of three
 letters that span at most five, weighted by DECAY per skipped letter and
-normalised; values under FLOOR count as none. A sentence's similarity to a landmark is
+normalised; values under FLOOR count as none, which makes the matrix of
+landmarks slightly indefinite, so its eigenvalues are taken as 0.05 at least. A sentence's similarity to a landmark is
 that of its closest word. Landmarks are chosen on a sample of labelled
 documents (a documented bound); sentences of clean documents are negative
 examples, the most suspicious sentence of a toxic document is a positive one.
@@ -120,6 +121,35 @@ def dense(codes: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out / np.maximum(np.sqrt((out**2).sum(1, keepdims=True)), 1e-6)
 
 
+class Features:
+    """Normalised feature vectors of many words, only their used entries: word, code, phi; first entry of each word."""
+
+    def __init__(self, codes: np.ndarray, at: np.ndarray):
+        key, weight = [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]
+        for w, code, x in triples(codes, at):
+            key.append(w.astype(np.int64) << 15 | code)
+            weight.append(np.full(len(w), x, np.float32))
+        uniq, back = np.unique(np.concatenate(key), return_inverse=True)
+        phi = np.bincount(back, np.concatenate(weight), len(uniq))
+        self.n, self.word, self.code = len(at) - 1, uniq >> 15, uniq & 0x7FFF
+        norm = np.sqrt(np.bincount(self.word, phi**2, self.n))
+        self.phi = (phi / norm[self.word]).astype(np.float32)
+        self.first = np.searchsorted(self.word, np.arange(self.n + 1))
+        self.some = np.flatnonzero(np.diff(self.first))
+
+    def kernel(self, rows: np.ndarray) -> np.ndarray:
+        """Kernel values of a few words against all: rows x n."""
+        block = np.zeros((len(rows), 1 << 15), np.float32)
+        for i, r in enumerate(rows):
+            at = slice(self.first[r], self.first[r + 1])
+            block[i, self.code[at]] = self.phi[at]
+        out = np.zeros((len(rows), self.n), np.float32)
+        if len(self.some):
+            out[:, self.some] = np.add.reduceat(block[:, self.code] * self.phi, self.first[self.some], axis=1)
+        out[out < FLOOR] = 0
+        return out
+
+
 def as_codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     table = letter_codes()
     at = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
@@ -195,26 +225,32 @@ class Model:
 
 def choose(words: list[str], toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> tuple[np.ndarray, int]:
     """Landmarks among the words: those whose neighbourhoods hold most toxic documents against clean ones, then clean words that resemble them; also how many are of the first kind."""
-    x = dense(*as_codes(words))
-    used = np.flatnonzero(x.any(0))
-    x = x[:, used]
-    k = x @ x.T
-    k[k < FLOOR] = 0
-    near = np.where(k >= 0.5, k, 0)
-    a, b = near @ toxic / max(n_toxic, 1), near @ clean / max(n_clean, 1)
+    f = Features(*as_codes(words))
+    i, j, value = [], [], []
+    for lo in range(0, f.n, 32):
+        k = f.kernel(np.arange(lo, min(lo + 32, f.n)))
+        close = np.nonzero(k >= 0.5)
+        i.append(close[0] + lo)
+        j.append(close[1])
+        value.append(k[close])
+    i, j, value = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (i, j, value))
+    row = np.searchsorted(i, np.arange(f.n + 1))
+    near = lambda x: np.bincount(i, value * x[j], f.n)
+    a, b = near(toxic) / max(n_toxic, 1), near(clean) / max(n_clean, 1)
     left, picked = toxic.astype(float).copy(), []
     scale = 1 / max(n_toxic, 1)
     while len(picked) < LANDMARKS * 3 // 4:
-        gain = near @ left * scale - 4 * (near @ clean) / max(n_clean, 1)
-        gain[(a < 8 * b) | np.isin(np.arange(len(words)), picked)] = -1
-        best = int(gain.argmax())
-        if gain[best] * max(n_toxic, 1) < 3:
+        gain = near(left) * scale - 4 * b
+        gain[(a < 8 * b) | np.isin(np.arange(f.n), picked)] = -1
+        best = int(gain.argmax()) if f.n else 0
+        if not f.n or gain[best] * max(n_toxic, 1) < 3:
             break
         picked.append(best)
-        left *= 1 - np.minimum(near[best], 1)
+        its = slice(row[best], row[best + 1])
+        left[j[its]] *= 1 - np.minimum(value[its], 1)
     if not picked:
         return np.zeros(0, int), 0
-    rival = np.where((clean > 0) & (b * 4 > a), k[:, picked].max(1), 0)
+    rival = np.where((clean > 0) & (b * 4 > a), f.kernel(np.array(picked)).max(0), 0)
     rivals = [i for i in np.argsort(-rival, kind="stable")[: LANDMARKS // 4] if rival[i] > 0]
     return np.array(picked + rivals), len(picked)
 
@@ -315,7 +351,7 @@ def worst_sentences(texts: DataFrame, model: Model, limit: int) -> tuple[np.ndar
 
     got = T.arrow_map(texts, examples, "y int, k array<double>").orderBy("y", "k").limit(limit).toArrow()
     y = np.where(got["y"].to_numpy() == 1, 1.0, -1.0)
-    return np.array(got["k"].to_pylist(), float).reshape(len(y), len(model.marks)), y
+    return got["k"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(y), len(model.marks)), y
 
 
 #: Counted words are written as code + 96; codes 27 to 31 become letters outside a-z.
