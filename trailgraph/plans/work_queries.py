@@ -158,11 +158,12 @@ def retrieval_topk(spark, root):
     return R.search_lines(T.files(spark, root), ["src1", "tion", "the", "eau"], k=50)
 
 
-@query("retrieval_chunks", f"""WITH f AS (SELECT source || '/' || doc_id AS path, string_split(text, chr(10)) AS ls FROM documents), c AS (SELECT path, greatest(1, least(2, len(ls))) AS b, ls FROM f), x AS (SELECT path, b, greatest(b, least(9, len(ls), b + 199)) AS e, ls FROM c)
+@query("retrieval_chunks", f"""WITH f AS (SELECT source || '/' || doc_id AS path, string_split(text, chr(10)) AS ls FROM documents), c AS (SELECT path, unnest(range(1, len(ls) + 1, 8)) AS b, ls FROM f), x AS (SELECT path, b, least(b + 7, len(ls)) AS e, ls FROM c)
 SELECT path, CAST(b AS BIGINT) AS start_line, CAST(e AS BIGINT) AS end_line, sha256(array_to_string(ls[b:e], chr(10))) AS content_hash FROM x""")
 def retrieval_chunks(spark, root):
     f = T.files(spark, root)
-    hits = f.select("path", F.lit(2).alias("start_line"), F.lit(9).alias("end_line"), F.lit(1).alias("score"))
+    starts = F.sequence(F.lit(1), F.size(F.split("content", "\n")), F.lit(8))
+    hits = f.select("path", F.explode(starts).alias("start_line")).select("path", "start_line", (F.col("start_line") + 7).alias("end_line"), F.lit(1).alias("score"))
     return R.drop_duplicate_chunks(R.materialise(hits, f)).select("path", "start_line", "end_line", "content_hash")
 
 
@@ -184,20 +185,35 @@ def search_output_parse(spark, root):
     return R.parse_search_output(e.select("event_id", out.alias("output"))).drop("rank")
 
 
-@query("recall_at_k", """WITH q AS (SELECT DISTINCT item_id AS query, unnest(regexp_extract_all(lower(text), '([a-z]{7,})', 1)) AS token FROM benchmark), d AS (SELECT DISTINCT doc_id AS path, unnest(regexp_extract_all(lower(text), '([a-z]{7,})', 1)) AS token FROM documents),
-h AS (SELECT query, path, count(*) AS score FROM q JOIN d USING (token) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, path) AS rank FROM h),
-n AS (SELECT query, count(*) AS n FROM q GROUP BY query), x AS (SELECT query, path FROM h JOIN n USING (query) WHERE score >= 0.8 * n)
-SELECT count(*) AS expected, count(r.path) AS recalled, count(r.path) / count(*) AS recall FROM x LEFT JOIN r ON r.query = x.query AND r.path = x.path AND r.rank <= 10""")
+_QD = """q AS (SELECT DISTINCT item_id AS query, unnest(list_filter(regexp_extract_all(lower(text), '[a-z0-9_]+'), lambda w: length(w) > 2)) AS token FROM benchmark),
+d AS (SELECT DISTINCT doc_id AS path, unnest(list_filter(regexp_extract_all(lower(text), '[a-z0-9_]+'), lambda w: length(w) > 2)) AS token FROM documents),
+h AS (SELECT query, path, count(*) AS score FROM q JOIN d USING (token) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, path) AS rank FROM h QUALIFY rank <= 10),
+n AS (SELECT query, count(*) AS n FROM q GROUP BY query), x AS (SELECT query, path FROM h JOIN n USING (query) WHERE score >= 0.8 * n)"""
+
+
+def _tokens(spark, root):
+    """Words of the benchmark as queries, words of the documents."""
+    one = lambda name, key, to: T.table(spark, root, name).select(F.col(key).alias(to), F.explode(S.words("text")).alias("token"))
+    return one("benchmark", "item_id", "query"), one("documents", "doc_id", "path")
+
+
+@query("recall_at_k", f"""WITH {_QD}
+SELECT count(*) AS expected, count(r.path) AS recalled, count(r.path) / count(*) AS recall FROM x LEFT JOIN r ON r.query = x.query AND r.path = x.path""")
 def recall_at_k(spark, root):
-    def tokens(df, key, name):
-        return df.select(F.col(key).alias(name), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([a-z]{7,})"), F.lit(1)))).alias("token"))
-
-    q = tokens(T.table(spark, root, "benchmark"), "item_id", "query")
-    d = tokens(T.table(spark, root, "documents"), "doc_id", "path")
-    n = q.groupBy("query").agg(F.count("*").alias("n"))
-    shared = q.join(d, "token").groupBy("query", "path").agg(F.count("*").alias("score"))
-    expected = shared.join(n, "query").filter(F.col("score") >= 0.8 * F.col("n"))
-    return R.recall_at_k(R.overlap_rank(q, d, 10), expected, 10)
+    q, d = _tokens(spark, root)
+    return R.recall_at_k(R.overlap_rank(q, d, 10), R.overlap_at_least(q, d, 0.8), 10)
+
+
+@query("overlap_rank", f"WITH {_QD} SELECT query, path, score, rank FROM r")
+def overlap_rank(spark, root):
+    return R.overlap_rank(*_tokens(spark, root), 10)
+
+
+@query("words_in_labels", """WITH w AS (SELECT DISTINCT unnest(list_filter(regexp_extract_all(lower(text), '[a-z0-9_]+'), lambda w: length(w) > 2)) AS word FROM conversations)
+SELECT word, p_partkey AS id FROM w JOIN part ON contains(lower(p_name || ' ' || p_type || ' ' || p_brand), word)""")
+def words_in_labels(spark, root):
+    words = T.table(spark, root, "conversations").select(F.explode(S.words("text")).alias("word"))
+    return R.holding(words, T.table(spark, root, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("text")))
 
 
 @query("knowledge_rank", """SELECT source || '/' || doc_id AS path, s AS score FROM (SELECT *, CAST(contains(lower(source || '/' || doc_id || chr(10) || text), 'ation') AS BIGINT) + CAST(contains(lower(source || '/' || doc_id || chr(10) || text), 'heed') AS BIGINT)
