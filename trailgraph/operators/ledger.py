@@ -182,6 +182,45 @@ def covering_records(current: DataFrame, records: DataFrame, record_files: DataF
     return out.select(*by, F.col("f.record_id").alias("record_id"), "records", ((F.col("f.provenance") == "agent") & ~F.col("h")).alias("agent_only"))
 
 
+def coverage_for(current: DataFrame, records: DataFrame, record_files: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Is each change vouched for by a passing record? (verdicts, uncovered files).
+
+    current: by, path, hash (null: unreadable), mtime. records: record_id,
+    verdict, provenance, ord (newest first), created_at, versioned (false: made
+    without version control, so it vouches by time, for files that have not
+    changed since). record_files: record_id, path, hash.
+
+    verdicts: by, covered, record_id, agent_only; a change without readable
+    files needs no record. uncovered: by, path, what the newest passing record
+    lacks. Records made without version control come newest first, so the newest
+    of them decides for every change at once; the others are found through the
+    change's rarest file (``covering_records``).
+    """
+    readable = current.filter(F.col("hash").isNotNull())
+    every = current.select(*by).distinct()
+    hashed = covering_records(readable, records.filter("versioned"), record_files, by)
+    timed = records.filter("verdict = 'pass' and not versioned")
+    newest = timed.agg(F.min(F.struct("ord", "created_at", "record_id", "provenance")).alias("t"), F.max(F.when(F.col("provenance") == "human", F.col("created_at"))).alias("human"))
+    one = lambda c: newest.select(F.col(c).alias("x")).scalar()
+    seen = current.groupBy(*by).agg(F.max("mtime").alias("changed"), F.max(F.col("mtime").isNull()).alias("unknown"), F.count("hash").alias("readable"))
+    held = F.coalesce(~F.col("unknown") & (F.col("changed") <= one("t.created_at")), F.lit(False))
+    by_time = seen.withColumn("held", held).select(
+        *by, "readable", F.when(F.col("held"), one("t.ord")).alias("t_ord"), F.when(F.col("held"), one("t.record_id")).alias("t_record"),
+        (one("t.provenance") == "agent").alias("t_agent"), (F.col("changed") <= one("human")).alias("t_human"))
+    order = records.select(F.col("record_id").alias("h_record"), F.col("ord").alias("h_ord"))
+    by_hash = hashed.select(*by, F.col("record_id").alias("h_record"), F.col("agent_only").alias("h_agent")).join(order, "h_record")
+    j = every.join(by_time, by).join(by_hash, by, "left")
+    first = F.col("t_ord").isNotNull() & F.coalesce(F.col("t_ord") < F.col("h_ord"), F.lit(True))
+    record = F.when(first, F.col("t_record")).otherwise(F.col("h_record"))
+    needed = F.col("readable") > 0
+    agent = F.when(first, F.col("t_agent") & ~F.coalesce("t_human", F.lit(False))).otherwise(F.col("h_agent"))
+    verdicts = j.select(*by, (~needed | record.isNotNull()).alias("covered"), F.when(needed, record).alias("record_id"), F.when(needed & record.isNotNull(), agent).alias("agent_only"))
+    latest = records.filter("verdict = 'pass'").agg(F.min(F.struct("ord", "record_id")).alias("m")).select("m.record_id")
+    has = record_files.join(latest, "record_id", "left_semi").select("path", "hash").distinct()
+    open_ = readable.join(verdicts.filter(~F.col("covered")).select(*by), by, "left_semi")
+    return verdicts, open_.join(has, ["path", "hash"], "left_anti").select(*by, "path").distinct()
+
+
 def newest_records(records: DataFrame, by: list[str], order: list[Column], cap: int = 20) -> DataFrame:
     """Ring buffer: the newest ``cap`` rows of each group."""
     return top_k(records, by, order, cap, rank="position")

@@ -182,6 +182,40 @@ def record_division(spark, root):
     return L.covering_records(cur, rec, li.select(F.col("l_orderkey").alias("record_id"), F.col("l_partkey").alias("path"), h), ["change"])
 
 
+# Changes are orders; every seventh record was made without version control, and a part's file changed the later the larger it is.
+_COVER = """li AS (SELECT DISTINCT l_orderkey AS change, l_partkey AS path FROM lineitem), rec AS (SELECT o_orderkey AS record_id, o_orderstatus <> 'P' AS pass, CASE o_orderpriority WHEN '1-URGENT' THEN 'human' ELSE 'agent' END AS provenance, -epoch_us(o_orderdate) * 1000 - o_orderkey % 1000 AS ord, epoch_us(o_orderdate) AS made, o_orderkey % 7 <> 0 AS versioned FROM orders),
+cur AS (SELECT change, path, CASE WHEN path % 50 <> 0 THEN path END AS hash, p_size::BIGINT * 5000000000000 + (SELECT min(made) FROM rec) AS mtime FROM li JOIN part ON p_partkey = path),
+need AS (SELECT change, count(hash) AS need, max(mtime) AS changed FROM cur GROUP BY change),
+h AS (SELECT cur.change, rec.record_id, any_value(rec.ord) AS ord, any_value(provenance) AS provenance, count(*) AS got FROM cur JOIN li ON li.path = cur.hash JOIN rec ON rec.record_id = li.change WHERE pass AND versioned GROUP BY ALL),
+hs AS (SELECT h.change, min([ord, record_id])[1] AS ord, min([ord, record_id])[2] AS record_id, arg_min(provenance, [ord, record_id]) = 'agent' AND NOT bool_or(provenance = 'human') AS agent FROM h JOIN need USING (change) WHERE got = need GROUP BY ALL),
+t AS (SELECT * FROM rec WHERE pass AND NOT versioned ORDER BY ord, made, record_id LIMIT 1), th AS (SELECT max(made) AS made FROM rec WHERE pass AND NOT versioned AND provenance = 'human'),
+v AS (SELECT need.change, need, t.ord AS t_ord, hs.ord AS h_ord, t.record_id AS t_rec, hs.record_id AS h_rec, t.provenance = 'agent' AND NOT coalesce(need.changed <= (SELECT made FROM th), false) AS t_agent, hs.agent AS h_agent FROM need LEFT JOIN t ON need.changed <= t.made LEFT JOIN hs ON hs.change = need.change),
+w AS (SELECT *, t_rec IS NOT NULL AND coalesce(t_ord < h_ord, true) AS timed FROM v),
+verdicts AS (SELECT change, need = 0 OR t_rec IS NOT NULL OR h_rec IS NOT NULL AS covered, CASE WHEN need > 0 THEN CASE WHEN timed THEN t_rec ELSE h_rec END END AS record_id,
+  CASE WHEN need > 0 AND (t_rec IS NOT NULL OR h_rec IS NOT NULL) THEN CASE WHEN timed THEN t_agent ELSE h_agent END END AS agent_only FROM w)"""
+
+
+def _coverage(spark, root):
+    li, o = T.table(spark, root, "lineitem"), T.table(spark, root, "orders")
+    at = F.unix_micros(F.col("o_orderdate").cast("timestamp"))
+    records = o.select(F.col("o_orderkey").alias("record_id"), F.when(F.col("o_orderstatus") == "P", "fail").otherwise("pass").alias("verdict"), F.when(F.col("o_orderpriority") == "1-URGENT", "human").otherwise("agent").alias("provenance"),
+                       (-at * 1000 - F.col("o_orderkey") % 1000).alias("ord"), at.alias("created_at"), (F.col("o_orderkey") % 7 != 0).alias("versioned"))
+    size = T.table(spark, root, "part").select(F.col("p_partkey").alias("l_partkey"), (F.col("p_size").cast("bigint") * 5_000_000_000_000 + o.agg(F.min(at)).scalar()).alias("mtime"))
+    current = li.select("l_orderkey", "l_partkey").distinct().join(size, "l_partkey").select(F.col("l_orderkey").alias("change"), F.col("l_partkey").alias("path"), F.when(F.col("l_partkey") % 50 != 0, F.col("l_partkey")).alias("hash"), "mtime")
+    return L.coverage_for(current, records, li.select(F.col("l_orderkey").alias("record_id"), F.col("l_partkey").alias("path"), F.col("l_partkey").alias("hash")), ["change"])
+
+
+@query("coverage_for", f"WITH {_COVER} SELECT change, covered, record_id, agent_only FROM verdicts")
+def coverage_for(spark, root):
+    return _coverage(spark, root)[0]
+
+
+@query("uncovered_files", f"""WITH {_COVER}, has AS (SELECT path FROM li WHERE change = (SELECT record_id FROM rec WHERE pass ORDER BY ord, record_id LIMIT 1))
+SELECT DISTINCT change, path FROM cur JOIN verdicts USING (change) WHERE NOT covered AND hash IS NOT NULL AND path NOT IN (SELECT path FROM has)""")
+def uncovered_files(spark, root):
+    return _coverage(spark, root)[1]
+
+
 @query("ring_buffer_latest", "SELECT user_id, event_id, position FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS position FROM events) WHERE position <= 20")
 def ring_buffer_latest(spark, root):
     return L.newest_records(T.table(spark, root, "events").select("user_id", "event_id", "ts"), ["user_id"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_id", "position")
