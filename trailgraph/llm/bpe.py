@@ -109,7 +109,7 @@ def split_words(data: np.ndarray, offsets: np.ndarray, marks: tuple[str, ...]):
         start[at + 1 : end] = False
         start[at] = True
     starts = np.flatnonzero(start)
-    hashes = T.span_hash(T.mix(cp.astype(np.uint64) + np.uint64(1)), starts, np.append(starts[1:], n))
+    hashes = T.word_hashes(cp, starts, np.append(starts[1:], n))
     return whole, np.append(starts, n), np.searchsorted(starts, rows), hashes
 
 
@@ -124,7 +124,7 @@ def word_hash(words: pd.Series) -> np.ndarray:
     raw = [w.encode("utf-32-le") for w in words]
     ends = np.cumsum([len(x) // 4 for x in raw], dtype=np.int64)
     cp = np.frombuffer(b"".join(raw), np.uint32)
-    return T.span_hash(T.mix(cp.astype(np.uint64) + np.uint64(1)), np.concatenate([[0], ends[:-1]]).astype(np.int64), ends) if len(raw) else np.zeros(0, np.uint64)
+    return T.word_hashes(cp, np.concatenate([[0], ends[:-1]]).astype(np.int64), ends) if len(raw) else np.zeros(0, np.uint64)
 
 
 def piece_table(spark, path: str) -> DataFrame:

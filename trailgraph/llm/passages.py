@@ -57,8 +57,8 @@ def windows(w: T.Words, window: int, gram: int) -> tuple[np.ndarray, np.ndarray,
 def _members(batch: pa.RecordBatch):
     for lo, hi, data, offsets in T.chunks(batch.column(1)):
         w = T.Words(data, offsets)
-        a = T.span_hash(w.hashes, w.first[:-1], w.first[1:])
-        b = T.span_hash(T.mix(w.hashes ^ _SEED), w.first[:-1], w.first[1:])
+        a = T.word_hashes(w.hashes, w.first[:-1], w.first[1:])
+        b = T.word_hashes(T.mix(w.hashes ^ _SEED), w.first[:-1], w.first[1:])
         yield {"node": batch.column(0)[lo:hi], "n": w.count, "a": a.view(np.int64), "b": b.view(np.int64)}
 
 

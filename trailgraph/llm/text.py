@@ -63,7 +63,11 @@ def powers(n: int, inverse: bool = False) -> np.ndarray:
 
 
 def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of values[start:end] for every span, from one prefix sum."""
+    """Hash of values[start:end] for every span, from one prefix sum.
+
+    For a few values of high entropy, such as the hashes of a phrase's words;
+    long spans of letters or words take ``word_hashes``.
+    """
     sums = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(values * powers(len(values)), out=sums[1:])
     return mix((sums[ends] - sums[starts]) * powers(len(values) + 1, inverse=True)[starts] + (ends - starts).astype(np.uint64))
