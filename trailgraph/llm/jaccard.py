@@ -23,6 +23,8 @@ from the text). Rows that repeat give repeated results.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -59,7 +61,7 @@ def _digest(u: np.ndarray) -> tuple[int, int]:
 
 
 def members(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """node, n, a, b: set size and two hashes of the set, per row."""
+    """node, n, a, b, o: set size, two hashes of the set and its outline, per row."""
     src = docs.select(T.ident(id_col, text_col).alias("node"), F.col(text_col).alias("t"))
 
     def run(batch):
@@ -67,9 +69,9 @@ def members(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         for lo, hi, data, offsets in T.chunks(batch.column(1)):
             sets = shingle_sets(data, offsets)
             d = [_digest(u) for u in sets]
-            yield {"node": nodes[lo:hi], "n": [len(u) for u in sets], "a": [x[0] for x in d], "b": [x[1] for x in d]}
+            yield {"node": nodes[lo:hi], "n": [len(u) for u in sets], "a": [x[0] for x in d], "b": [x[1] for x in d], "o": [outline(u) for u in sets]}
 
-    return T.arrow_map(src, run, "node long, n long, a long, b long")
+    return T.arrow_map(src, run, "node long, n long, a long, b long, o binary")
 
 
 def segments(n_docs: int, doc: np.ndarray, tokens: np.ndarray, size: np.ndarray, low: np.ndarray, limit: np.ndarray):
@@ -127,6 +129,28 @@ def _signatures(batch: pa.RecordBatch, num: int, den: int):
                 yield {"sig": sig.view(np.int64), "node": nodes[lo + d], "state": (np.minimum(slack, 1 << 28).astype(np.int32) * 2 + band_of.astype(np.int32))}
 
 
+def outline(u: np.ndarray) -> bytes:
+    """Counts (255 at most) of the tokens in as many cells as the largest power of two in the set's size.
+
+    The differences of two outlines never add up to more than the sets differ in.
+    """
+    cells = 1 << (max(len(u), 1).bit_length() - 1)
+    counts = np.bincount((T.mix(u ^ _SEED) & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def _may_link(batch: pa.RecordBatch, num: int, den: int):
+    keep = []
+    for nx, ny, a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), batch.column(5)):
+        u, v = (np.frombuffer(o.as_buffer(), np.uint8).astype(np.int64) for o in (a, b))
+        cells = min(len(u), len(v))
+        # Saturated cells tell nothing.
+        apart = np.abs(u.reshape(-1, cells).sum(0) - v.reshape(-1, cells).sum(0)).sum() if max(u.max(), v.max()) < 255 else 0
+        keep.append((den + num) * int(apart) <= (den - num) * (nx + ny))
+    keep = pa.array(keep, pa.bool_())
+    yield {"x": batch.column(0).filter(keep), "y": batch.column(1).filter(keep)}
+
+
 def _verify(batch: pa.RecordBatch, num: int, den: int):
     x, y = batch.column(0), batch.column(1)
     seen: dict[bytes, np.ndarray] = {}
@@ -153,22 +177,47 @@ def close_in_size(pairs: DataFrame, sizes: DataFrame, num: int, den: int) -> Dat
     return pairs.join(n.withColumnsRenamed({"node": "x", "n": "nx"}), "x").join(n.withColumnsRenamed({"node": "y", "n": "ny"}), "y").filter(F.least("nx", "ny") * den >= F.greatest("nx", "ny") * num).drop("nx", "ny")
 
 
-def enough_shared(met: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs that can link: x settles limit + 1 segments and shares k of them with y; a linked pair
-    differs in at most its own H, so it shares limit + 1 - H. ``met``: x, y, band, k, slack."""
-    n = sizes.select("node", "n").distinct()
-    rows = met.join(n.withColumnsRenamed({"node": "x", "n": "nx"}), "x").join(n.withColumnsRenamed({"node": "y", "n": "ny"}), "y").filter(F.least("nx", "ny") * den >= F.greatest("nx", "ny") * num)
-    bits = F.floor(F.log2(F.col("nx") + F.lit(0.5))).cast("int")  # exact for whole sizes
-    own = F.floor((F.col("nx") + F.floor(F.col("nx") * den / num)) * (den - num) / (den + num))
-    below = F.floor((F.col("nx") + F.pow(F.lit(2.0), bits) - 1) * (den - num) / (den + num))
-    limit = F.when(bits % 2 == F.col("band"), own).otherwise(below)
-    h = F.floor((F.col("nx") + F.col("ny")) * (den - num) / (den + num))
-    return rows.filter((F.col("slack") < 0) | (F.col("k") >= limit + 1 - h)).select("x", "y")
-
-
-def verified(pairs: DataFrame, docs: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (x, y) of nodes whose sets reach the threshold. ``docs``: node, t. Texts travel packed."""
-    pairs = cut_lineage(pairs.select("x", "y"))
+def limits(num: int, den: int):
+    """Columns over n and band: the H that a set must exceed to find partners of any size in the band, and
+    the smaller one that suffices where no partner is larger than itself."""
+    gap, sum_ = den - num, den + num
+    bits = "int(floor(log2(n + 0.5D)))"  # exact for whole sizes
+    own = F.expr(f"{bits} % 2 = band")
+    below = F.expr(f"(n + shiftleft(1L, {bits}) - 1) * {gap} div {sum_}")
+    up = F.expr(f"(n + n * {den} div {num}) * {gap} div {sum_}")
+    level = F.expr(f"2 * n * {gap} div {sum_}")
+    return F.when(own, up).otherwise(below), F.when(own, level).otherwise(below)
+
+
+def met(probes: DataFrame, index: DataFrame, num: int, den: int) -> DataFrame:
+    """x, y that can link by the segments they share.
+
+    probes: sig, x, comp, band, n, and whether the set has too few segments (all), and whether the signature
+    is among those settled where no partner is larger (first). Of a pair the larger set finds the other: it
+    shares at least limit + 1 - H of its first segments. Sets with too few segments are found from both sides.
+    Buckets are split by slices of size; a set meets its own slice and its neighbours.
+    """
+    slice_ = lambda c: F.floor(F.log(F.col(c).cast("double")) / math.log(den / num))
+    left = probes.withColumn("slice", F.explode(F.array(slice_("n") - 1, slice_("n"), slice_("n") + 1)))
+    right = index.select("sig", F.col("node").alias("y"), F.col("comp").alias("its"), F.col("n").alias("ny"), (F.col("slack") < 0).alias("poor"), slice_("n").alias("slice"))
+    near = (F.least("n", "ny") * den >= F.greatest("n", "ny") * num) & (F.col("comp") != F.col("its"))
+    # A set with few segments probes all; others find sets up to their own size, and larger ones only if those are poor.
+    may = F.col("all") | F.col("poor") | (F.col("first") & (F.col("ny") <= F.col("n")))
+    rows = left.join(right, ["sig", "slice"]).filter(near & may)
+    found = rows.groupBy("x", "y", "band", "n", "ny").agg(F.sum(F.col("first").cast("long")).alias("k"), F.max("all").alias("all"), F.max("poor").alias("poor"))
+    h = F.expr(f"(n + ny) * {den - num} div {den + num}")
+    level = limits(num, den)[1]
+    return found.filter(F.col("all") | F.col("poor") | (F.col("k") >= level + 1 - h)).select("x", "y")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, shapes: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (x, y) of nodes whose sets reach the threshold. ``docs``: node, t; ``shapes``: node, n, o.
+
+    Outlines rule most pairs out; the texts of the rest travel packed and are compared in full.
+    """
+    side = lambda c: shapes.select(F.col("node").alias(c), F.col("n").alias("n" + c), F.col("o").alias("o" + c))
+    drawn = pairs.select("x", "y").join(side("x"), "x").join(side("y"), "y").select("x", "y", "nx", "ny", "ox", "oy")
+    pairs = cut_lineage(T.arrow_map(drawn, lambda b: _may_link(b, num, den), "x long, y long"))
     used = cut_lineage(pairs.select(F.col("x").alias("node")).union(pairs.select("y")).distinct())
     # Ids are broadcast only if counted to be few; beyond that documents are shuffled.
     chosen = docs.join(F.broadcast(used) if used.count() <= BROADCAST_IDS else used, "node", "left_semi")
@@ -212,6 +261,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: i
     copies = cut_lineage(sizes.filter("n > 0").join(classes.filter("copies > 1"), ["a", "b"]).select("node", "class"))
     extra = copies.filter("node <> class").select("node").distinct()
     heads = rows.select("node", "t").join(extra, "node", "left_anti")
+    shapes = sizes.filter("n > 0").select("node", "n", "o").dropDuplicates(["node"])
     sig = T.arrow_map(heads, lambda b: _signatures(b, num, den), "sig long, node long, state int")
     # Buckets in order of their holders: the smallest is the hub; buckets of one holder drop here.
     w = W.partitionBy("sig").orderBy("node")
@@ -221,25 +271,28 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: i
     # PARTNERS that a set shares most segments with.
     other = W.partitionBy("sig").orderBy(F.xxhash64("node", "sig"))
     lined = held.withColumn("n1", F.lead("node").over(w)).withColumn("n2", F.lead("node").over(other))
-    near = lined.select("node", F.explode(F.array("hub", "n1", "n2")).alias("y")).filter("y <> node")
-    shared = close_in_size(near.groupBy(F.col("node").alias("x"), "y").agg(F.count("*").alias("k")), sizes, num, den)
+    near = lined.select("node", "state", F.explode(F.array("hub", "n1", "n2")).alias("y")).filter("y <> node")
+    shared = close_in_size(near.groupBy(F.col("node").alias("x"), "y").agg(F.count("*").alias("k"), F.max("state").alias("state")), sizes, num, den)
+    # Linked sets share at least slack + 1 segments; pairs met in less than half of those wait for the probes.
+    shared = shared.filter(2 * F.col("k") > F.shiftright("state", 1))
     best = W.partitionBy("x").orderBy(F.desc("k"), "y")
     pairs = cut_lineage(shared.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= PARTNERS).select("x", "y"))
-    edges = verified(pairs, heads, num, den)
+    edges = verified(pairs, heads, shapes, num, den)
     label = components(edges)
     # What is still open: segments whose holders lie in different components.
     named = held.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     mixed = named.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("g")).filter("lo <> hi").select("sig", "g")
-    open_ = cut_lineage(named.join(mixed, "sig").select("sig", "node", "comp", "g", F.shiftright("state", 1).alias("slack"), F.col("state").bitwiseAND(F.lit(1)).alias("band")))
+    wide, level = limits(num, den)
+    n_of = shapes.select("node", "n")
+    open_ = cut_lineage(named.join(mixed, "sig").join(n_of, "node").select("sig", "node", "n", "comp", "g", F.shiftright("state", 1).alias("slack"), F.col("state").bitwiseAND(F.lit(1)).alias("band")))
     per_set = W.partitionBy("node", "band")
-    probes = open_.withColumn("left", F.count("*").over(per_set)).withColumn("rank", F.row_number().over(per_set.orderBy("g", "sig"))).filter((F.col("slack") < 0) | (F.col("rank") <= F.col("left") - F.col("slack")))
-    probes = cut_lineage(probes.select("sig", "node", "comp", "band", "slack"))
+    ranked = open_.withColumn("left", F.count("*").over(per_set) - F.col("slack")).withColumn("rank", F.row_number().over(per_set.orderBy("g", "sig")))
+    ranked = ranked.select("sig", F.col("node").alias("x"), "comp", "band", "n", (F.col("slack") < 0).alias("all"), (F.col("rank") <= F.col("left")).alias("any"), (F.col("rank") <= F.col("left") - (wide - level)).alias("first"))
+    probes = cut_lineage(ranked.filter("all or any"))
     if not probes.isEmpty():
-        other = open_.select("sig", F.col("node").alias("other"), F.col("comp").alias("its"))
-        met = probes.join(other, "sig").filter("comp <> its").groupBy(F.col("node").alias("x"), F.col("other").alias("y"), "band").agg(F.count("*").alias("k"), F.min("slack").alias("slack"))
-        more = enough_shared(met, sizes, num, den).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+        more = met(probes, open_, num, den).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
         tried = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-        found = verified(more.join(tried, ["x", "y"], "left_anti"), heads, num, den)
+        found = verified(more.join(tried, ["x", "y"], "left_anti"), heads, shapes, num, den)
         if not found.isEmpty():
             label = components(edges.union(found))
     out = rows.select("node", "doc_id").join(sizes.groupBy("node").agg(F.max("n").alias("n_shingles")), "node", "left").join(copies.distinct(), "node", "left")
