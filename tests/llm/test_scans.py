@@ -92,6 +92,19 @@ def test_whole_values(spark):
     assert [s.spans for s in secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()] == want
 
 
+def test_long_letters(spark):
+    r = random.Random(8)
+    value = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(20_000))
+    words = [value[i : i + 12] for i in range(0, 1_200, 12)]  # known parts make it cheaper, at the same places
+    docs = spark.createDataFrame([(0, f"bearer: {value}"), (1, " ".join(words)), (2, "bearer: " + words[0])], "doc_id long, text string")
+    assert [s.spans for s in secrets.scan(docs).orderBy("doc_id").collect()] == ["guess:8:20008", "", ""]
+    values = spark.createDataFrame([(value,), (words[0],)], "value string")
+    ranks = spark.createDataFrame([(w, i + 1) for i, w in enumerate(words)], "w string, rank long")
+    known = {w: i + 1 for i, w in enumerate(words)}
+    costs = dict(tuple(x) for x in secrets.value_costs(values, ranks).collect())
+    assert costs == {v: secrets.log_guesses(v, known) for v in (value, words[0])}
+
+
 def test_runs():
     def brute_runs(s):
         found = {}

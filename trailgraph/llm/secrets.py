@@ -42,6 +42,9 @@ _NEXT = {a + b for row in ROWS for r in (row, row[::-1]) for a, b in zip(r, r[1:
 # Blocks of several periods are tried up to this size: two of the longest words fit in. One period may be of any size.
 BLOCK = 48
 
+# Parts in one Arrow batch.
+BATCH = 1 << 14
+
 DATE_COST, WALK_COST = math.log10(365 * 120), math.log10(len("".join(ROWS)) * 4)
 
 
@@ -164,19 +167,24 @@ def parts(value: str) -> set[str]:
 
 
 def value_costs(values: DataFrame, ranks: DataFrame) -> DataFrame:
-    """value, cost: log10 guesses of the different ``values`` (value)."""
+    """value, cost: log10 guesses of the different ``values`` (value).
+
+    The parts of a value carry its digest, not the value, and leave a task in bounded batches.
+    """
+    keyed = values.select("value", F.sha2("value", 256).alias("key"))
 
     def cut(batch):
-        for v in batch.column(0).to_pylist():
+        for v, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             inside = sorted(parts(v))
-            yield {"value": [v] * len(inside), "w": inside}
+            for i in range(0, len(inside), BATCH):
+                yield {"key": [key] * len(inside[i : i + BATCH]), "w": inside[i : i + BATCH]}
 
     def cost(batch):
         out = [(v, log_guesses(v, {x["w"]: x["rank"] for x in r or ()})) for v, r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
         yield {"value": [v for v, _ in out], "cost": [c for _, c in out]}
 
-    known = T.arrow_map(values, cut, "value string, w string").join(ranks, "w").groupBy("value").agg(F.collect_list(F.struct("w", "rank")).alias("r"))
-    return T.arrow_map(values.join(known, "value", "left").select("value", "r"), cost, "value string, cost double")
+    known = T.arrow_map(keyed, cut, "key string, w string").join(ranks, "w").groupBy("key").agg(F.collect_list(F.struct("w", "rank")).alias("r"))
+    return T.arrow_map(keyed.join(known, "key", "left").select("value", "r"), cost, "value string, cost double")
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
