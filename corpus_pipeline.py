@@ -36,7 +36,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", good_quality), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("decontamination", decontamination), ("bpe", tokens)]
 
-ORACLE_SQL = None  # trained trees and BPE are beyond SQL; tests/llm/test_pipeline.py compares with plain Python
+ORACLE_SQL = None  # trained trees and BPE are beyond SQL; tests/llm/test_models.py compares with plain Python
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
