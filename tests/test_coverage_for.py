@@ -31,3 +31,28 @@ def test_coverage(spark):
     # No readable file needs no record; no record leaves all.
     assert verdict(spark, records, by_hash, [("a.ts", None, 5)]) == ((True, None, None), [])
     assert verdict(spark, [], [], [a]) == ((False, None, None), ["a.ts"])
+
+
+def test_masks_never_hide_a_record(spark):
+    """Random records against brute force: the largest has more files than a record has bits, files repeat, one hash is null."""
+    import random
+
+
+    rng = random.Random(5)
+    held = {f"r{i}": {(f"f{rng.randrange(12)}", f"h{rng.randrange(2)}") for _ in range(rng.randrange(1, 9))} for i in range(60)}
+    held["big"] = {(f"f{i}", "h0") for i in range(600)}
+    changes = {f"c{i}": set(rng.sample(sorted(held[f"r{i}"]), rng.randrange(1, len(held[f"r{i}"]) + 1))) for i in range(60)} | {"all": set(held["big"]), "none": {("f1", "h0"), ("f1", "new")}}
+    now = spark.createDataFrame([(c, *f) for c, fs in changes.items() for f in [*fs, *fs]] + [("lost", "f1", None)], "change string, path string, hash string")
+    records = [(r, "pass" if i % 5 else "fail", "human" if i % 3 else "agent", -i) for i, r in enumerate(held)]
+    files = spark.createDataFrame([(r, *f) for r, fs in held.items() for f in [*fs, *fs]] + [("r1", "f1", None)], FILE)
+    rec = spark.createDataFrame(records, "record_id string, verdict string, provenance string, ord long")
+    got = {r["change"]: (r["record_id"], r["records"], r["agent_only"]) for r in L.covering_records(now, rec, files, ["change"]).collect()}
+    want = {}
+    for c, fs in changes.items():
+        full = sorted((o, r, p) for r, v, p, o in records if v == "pass" and fs <= held[r])
+        if full:
+            want[c] = (full[0][1], len(full), full[0][2] == "agent" and not any(p == "human" for _, _, p in full))
+    assert got == want
+    # Only records that hold all files are compared one by one: the masks stand in the join itself.
+    plan = L.covering_records(now, rec, files, ["change"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "_r0" in plan and "_c3" in plan
