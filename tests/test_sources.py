@@ -266,3 +266,18 @@ function
     out = code._js_symbols(bare)
     assert [(d["name"], d["kind"], d["line"]) for d in out["defs"]] == [("walk", "function", 1), ("pick", "function", 4), ("one", "function", 7), ("Shop", "class", 10), ("Shop.load", "method", 11), ("Shop.size", "method", 14)]
     assert {("walk", "run"), ("Shop.load", "fetchIt")} <= {(c["caller"], c["callee"]) for c in out["calls"]}
+
+
+def test_scanner_skips_to_possible_starts():
+    """Searches of the scanner know the letters they can start at; what they find stays."""
+    import re
+
+    from trailgraph.sources import code
+
+    for pattern, first in ((code.TOKEN, "\"'`/"), (code.STATEMENT, "ier\"'`")):
+        parsed = re._parser.parse(pattern.pattern, pattern.flags)
+        assert {chr(c) for _, c in re._compiler._get_charset_prefix(parsed, pattern.flags & ~re.UNICODE) or []} == set(first)
+    text = "import a from 'x'; export * from \"./y\"; import './z'\nconst r = require( 'q' ), l = import('w'); ximport b from 'no'; import type T from 't'; import fs from 'node:fs'\nimport {f, fromage, ie} from'./v'; export const e = 'from'; import 5 + export { k } from './k';"
+    assert [(x["spec"], x["kind"], x["type_only"], x["line"]) for x in code._js_imports(code.mask(text))] == [
+        ("x", "static", False, 1), ("./y", "reexport", False, 1), ("./z", "static", False, 1), ("q", "require", False, 2), ("w", "dynamic", False, 2), ("t", "static", True, 2), ("./v", "static", False, 3), ("./k", "reexport", False, 3)]
+    assert code.blank("a b\n\nc") == "   \n\n "
