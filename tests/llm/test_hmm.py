@@ -133,3 +133,11 @@ def test_long_regular_words_differ():
     data = np.frombuffer((a + " " + b).encode(), np.uint8)
     h = T.Words(data, np.array([0, len(data)])).hashes
     assert h[0] != h[1]
+
+
+def test_every_round_reads_all_training_rows(spark, monkeypatch):
+    docs = spark.range(1300).select(F.col("id").alias("doc_id"), F.concat(F.lit("word w"), F.col("id") % 7).alias("text"))
+    seen, whole = [], H._round
+    monkeypatch.setattr(H, "_round", lambda rows, *a: seen.append(rows.count()) or whole(rows, *a))
+    H.score(docs).collect()
+    assert set(seen) == {sum(not held_out(i) for i in range(1300))} and len(seen) == H.ROUNDS

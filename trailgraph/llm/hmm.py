@@ -12,10 +12,10 @@ the class's unknown word. So emission tables have a fixed size at every scale,
 while each word keeps a probability of its own, and the model is a distribution
 over all texts. The rule is the same at every size of the corpus.
 
-Training. Starting values come from Baum-Welch rounds on at most SAMPLE documents (by
-their hashed ids), then ROUNDS rounds run over all training documents. In a
-round each task runs the scaled forward-backward recursion over its texts and
-emits expected counts; Spark sums them by class and state.
+Training. Starting values are fixed random shifts of the corpus's distribution;
+ROUNDS Baum-Welch rounds follow, each over all training documents. In a round
+each task runs the scaled forward-backward recursion over its texts and emits
+expected counts; Spark sums them by class and state.
 
 Scores. One scaled forward recursion per text gives the exact likelihood of its
 class sequence; the shares of its words complete it. Words among the HEAD
@@ -45,7 +45,7 @@ TIED = 1 << 15
 CLASSES = OWN + TIED
 HEAD = 1 << 20
 STATES = 8
-SAMPLE, SAMPLE_ROUNDS, ROUNDS = 1024, 15, 2
+ROUNDS = 8
 SEGMENT = 1 << 19
 #: Weight of the even distribution in transitions and starts.
 BLEND = 0.01
@@ -344,17 +344,17 @@ def first_model(prior: np.ndarray, states: int, seed: int = 11) -> Model:
     return Model(np.full(states, 1 / states), step / step.sum(1, keepdims=True), emit / emit.sum(0))
 
 
-def train(encoded: DataFrame, v: Vocabulary, states: int = STATES, sample: int = SAMPLE, sample_rounds: int = SAMPLE_ROUNDS, rounds: int = ROUNDS) -> Model:
+def train(encoded: DataFrame, v: Vocabulary, states: int = STATES, rounds: int = ROUNDS, sample_rounds: int = 0) -> Model:
+    """Baum-Welch rounds, each over all training rows.
+
+    ``sample_rounds``: further rounds; the name is kept for callers, no round reads a sample.
+    """
     model, prior = first_model(v.prior(), states), v.prior()
     if not v.texts:
         return model
     rows = encoded.filter("not held_out")
-    # Only about twice as many rows as are wanted reach the sort.
-    place = F.xxhash64("doc_id", F.lit("start"))
-    near = rows.filter(F.pmod(place, F.lit(1 << 30)) < int(min(1.0, 2 * sample / v.texts) * (1 << 30)))
-    few = cut_lineage(near.orderBy(place, "doc_id", "n_tokens", "classes").limit(sample).select("classes").repartition(2))
-    for k in range(sample_rounds + rounds):
-        model = _round(few if k < sample_rounds else rows, model, prior)
+    for _ in range(sample_rounds + rounds):
+        model = _round(rows, model, prior)
     return model
 
 
