@@ -70,7 +70,7 @@ def split_words(data: np.ndarray, offsets: np.ndarray, marks: tuple[str, ...]):
     whole = data.tobytes().decode("utf-8")
     cp = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
     n = len(cp)
-    lead = np.zeros(len(data) + 1, np.int64)
+    lead = np.zeros(len(data) + 1, np.int32)
     np.cumsum((data & 0xC0) != 0x80, out=lead[1:])
     rows = lead[offsets]
     border = np.zeros(n + 1, bool)
@@ -113,9 +113,9 @@ def split_words(data: np.ndarray, offsets: np.ndarray, marks: tuple[str, ...]):
     return whole, np.append(starts, n), np.searchsorted(starts, rows), hashes
 
 
-def _distinct(batch: pa.RecordBatch, path: str):
-    for _, _, data, offsets in T.chunks(batch.column(0), CHUNK * 4):
-        whole, at, _, hashes = split_words(data, offsets, specials(path))
+def _distinct(batch: pa.RecordBatch, marks: tuple[str, ...]):
+    for _, _, data, offsets in T.chunks(batch.column(0), CHUNK):
+        whole, at, _, hashes = split_words(data, offsets, marks)
         _, first, n = np.unique(hashes, return_index=True, return_counts=True)
         yield {"word": [whole[a:b] for a, b in zip(at[first].tolist(), at[first + 1].tolist())], "n": n}
 
@@ -159,7 +159,8 @@ def word_table(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
 
     ``other``: the bytes that its ids decode to, null where they are the word's own.
     """
-    counted = T.arrow_map(docs.select(text_col), lambda b: _distinct(b, path), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    marks = specials(path)
+    counted = T.arrow_map(docs.select(text_col), lambda b: _distinct(b, marks), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
     @F.pandas_udf("ids array<int>, h long")
     def encoded(words: pd.Series) -> pd.DataFrame:
@@ -243,11 +244,11 @@ def _names(full: bool) -> list[str]:
     return [x.split()[0] for x in (OUT + FULL * full).split(", ")]
 
 
-def _encode_batch(batch: pa.RecordBatch, path: str, head: Head, full: bool):
+def _encode_batch(batch: pa.RecordBatch, marks: tuple[str, ...], head: Head, full: bool):
     names = _names(full)
     keys, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
     for lo, hi, data, offsets in T.chunks(batch.column(2), CHUNK):
-        whole, at, first, hashes = split_words(data, offsets, specials(path))
+        whole, at, first, hashes = split_words(data, offsets, marks)
         uniq, back = np.unique(hashes, return_inverse=True)
         found = head.find(uniq)
         id_text = head.ids(found)
@@ -272,10 +273,10 @@ def _encode_batch(batch: pa.RecordBatch, path: str, head: Head, full: bool):
         yield keep | dict(zip(names, map(list, zip(*rows))))
 
 
-def _close_batch(batch: pa.RecordBatch, path: str, head: Head, full: bool):
+def _close_batch(batch: pa.RecordBatch, marks: tuple[str, ...], head: Head, full: bool):
     for doc_id, packed, tail in zip(*(batch.column(i).to_pylist() for i in range(3))):
         data = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
-        whole, at, _, hashes = split_words(data, np.array([0, len(data)]), specials(path))
+        whole, at, _, hashes = split_words(data, np.array([0, len(data)]), marks)
         uniq, back = np.unique(hashes, return_inverse=True)
         rows = head.find(uniq)
         id_text, n = head.ids(rows)[back], int(head.count(rows)[back].sum())
@@ -292,11 +293,11 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     """One row per input row: doc_id, n_tokens, ids_sha256, decoded_sha256, n_bytes; with ``full`` also ids (joined by commas) and the decoded text."""
     spark = docs.sparkSession
     src = docs.select(T.row_key(id_col, text_col).alias("key"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    words = word_table(src, path)
+    words, marks = word_table(src, path), specials(path)
     head = spark.sparkContext.broadcast(head_of(words, head_words))
     out = OUT + FULL * full
     state = "key long, done boolean, packed binary, tail array<struct<pos:int,word:string>>, "
-    first = cut_lineage(T.arrow_map(src, lambda b: _encode_batch(b, path, head.value, full), state + out))
+    first = cut_lineage(T.arrow_map(src, lambda b: _encode_batch(b, marks, head.value, full), state + out))
     names = _names(full)
     done = first.filter("done").select(*names)
     rest = first.filter(~F.col("done"))
@@ -306,4 +307,4 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     places = rest.select("key", F.explode("tail").alias("t")).select("key", "t.pos", "t.word").join(words.select("word", "id_text", "n_ids", "other"), "word")
     back = places.groupBy("key").agg(F.collect_set(F.struct("pos", "id_text", "n_ids", "other")).alias("tail"))
     closed = rest.select("key", "doc_id", "packed").join(back, "key").select("doc_id", "packed", "tail")
-    return done.unionByName(T.arrow_map(closed, lambda b: _close_batch(b, path, head.value, full), out))
+    return done.unionByName(T.arrow_map(closed, lambda b: _close_batch(b, marks, head.value, full), out))

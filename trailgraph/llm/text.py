@@ -157,5 +157,7 @@ def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:
         for batch in batches:
             for out in fn(batch):
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for f, x in ((f, out[f.name]) for f in target)], schema=target)
+        # The worker process is used again; what this task's batches took goes back.
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
