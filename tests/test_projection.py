@@ -5,6 +5,7 @@ import json
 
 import pytest
 
+from trailgraph.plans import catalog
 from trailgraph.plans.projection import project
 from trailgraph.sources import graph_store as GS
 from trailgraph.sources.policy import FilePolicy
@@ -71,3 +72,15 @@ def test_bad_manifest_is_ignored(run):
         node, edge, n, notes = run(two(), [{"source": "a", "target": "b", "relation": "imports"}], **bad)
         assert notes == ["Second evidence manifest is invalid and was ignored."] and n["rejected_evidence"] == 1
         assert len(edge) == 1 and edge["module:src/a", "module:src/b", "imports"]["corroborated"] is None
+
+
+def test_node_rows_read_no_line_items(spark, tmp_path):
+    spark.createDataFrame([(1, "O", "1-URGENT"), (2, "P", "5-LOW")], "o_orderkey long, o_orderstatus string, o_orderpriority string").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame([(1, "red ring", 12), (2, "blue ring", 22), (3, "tin ring", 45)], "p_partkey long, p_name string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    spark.createDataFrame([(1, "s1")], "s_suppkey long, s_name string").write.parquet(str(tmp_path / "supplier.parquet"))
+    got = {r["raw_id"]: (r["id"], r["trust_state"], r["status"]) for r in catalog.QUERIES["trust_nodes"](spark, str(tmp_path)).collect()}
+    assert got == {
+        "order:1": ("order:1", "fresh", "matched"), "order:2": ("order:2", "stale", "matched"), "part:1": ("part:1", "fresh", "matched"), "part:2": ("part:2", "stale", "matched"),
+        "part:3": ("second:part:3", "fresh", "accepted"), "supplier:1": ("second:supplier:1", "unverifiable", "unaccepted"),
+    }
+    assert catalog.QUERIES["provider_graph_nodes"](spark, str(tmp_path)).count() == 5
