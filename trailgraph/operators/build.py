@@ -47,6 +47,18 @@ def unknown_targets(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return lost.select("src", "dst", F.format_string('unresolved target "%s" referenced from "%s"', "dst", "src").alias("note"))
 
 
+def count_dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges of each relation and those whose target is no node: relation, kept, dangling.
+
+    Edges are counted by target before they meet the nodes. Without a target
+    an edge isn't dangling.
+    """
+    known = nodes.select(F.col("id").alias("dst"), F.lit(True).alias("_known")).distinct()
+    to = edges.groupBy("relation", "dst").agg(F.count("*").alias("_n")).join(known, "dst", "left")
+    lost = F.when(F.col("dst").isNotNull() & F.col("_known").isNull(), F.col("_n")).otherwise(0)
+    return to.groupBy("relation").agg(F.sum("_n").alias("kept"), F.sum(lost).alias("dangling"))
+
+
 def provider_only(provider: str = "provider") -> Column:
     """Rows a second source added and the native graph does not confirm."""
     providers = F.coalesce(F.col("providers"), F.array().cast("array<string>"))

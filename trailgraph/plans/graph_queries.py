@@ -235,9 +235,7 @@ def candidate_scores(spark, root):
 SELECT relation, count(*) AS kept, count(*) FILTER (dst NOT IN (SELECT id FROM n)) AS dangling FROM edges WHERE src IN (SELECT id FROM n) GROUP BY relation""")
 def dangling_edges(spark, root):
     nodes = _without_building(spark, root)
-    kept = B.drop_unknown_sources(T.fk_edges(spark, root), nodes)
-    lost = B.unknown_targets(kept, nodes).select("src", "dst", F.lit(1).alias("lost")).distinct()
-    return kept.join(lost, ["src", "dst"], "left").groupBy("relation").agg(F.count("*").alias("kept"), F.count("lost").alias("dangling"))
+    return B.count_dangling(B.drop_unknown_sources(T.fk_edges(spark, root), nodes), nodes)
 
 
 def _without_building(spark, root):
