@@ -281,3 +281,16 @@ def test_scanner_skips_to_possible_starts():
     assert [(x["spec"], x["kind"], x["type_only"], x["line"]) for x in code._js_imports(code.mask(text))] == [
         ("x", "static", False, 1), ("./y", "reexport", False, 1), ("./z", "static", False, 1), ("q", "require", False, 2), ("w", "dynamic", False, 2), ("t", "static", True, 2), ("./v", "static", False, 3), ("./k", "reexport", False, 3)]
     assert code.blank("a b\n\nc") == "   \n\n "
+
+
+def test_dead_exports_of_a_common_name(tree, spark):
+    files = {f"src/m{i}.ts": f"export function link() {{}}\nexport const seen = {i};\nexport const own{i} = 1;\n" for i in range(6)}
+    files["src/user.ts"] = "import { seen, own1 } from './m1';\nimport * as m5 from './m5';\n"
+    parts = GA.exports_and_uses(tree(files))
+    want = sorted([("link", f"src/m{i}.ts") for i in range(5)] + [(f"own{i}", f"src/m{i}.ts") for i in (0, 2, 3, 4)])
+    for hot in (0, 3, 100):
+        found = GA.dead_exports(*parts, hot=hot)
+        assert sorted((r["message"].split("'")[1], r["file"]) for r in found.collect()) == want
+    # No shuffle by name of the rows of a common name.
+    joins = GA.dead_exports(*parts, hot=3).filter("message like '%link%'")._jdf.queryExecution().optimizedPlan().toString()
+    assert "_used" in joins
