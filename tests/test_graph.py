@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trailgraph.operators import build as B
 from trailgraph.operators import graph as G
 from trailgraph.operators.trust import relation_name
+from trailgraph.runtime import dealt, tasks_for
 
 
 def edges(spark, pairs, relation="imports"):
@@ -176,3 +177,10 @@ def test_call_resolution_prefers_imports_and_needs_uniqueness(spark):
 def test_relation_aliases(spark):
     df = spark.createDataFrame([(" Imports From ",), ("depends-on",), ("odd rel",), (None,)], "r string").select(relation_name("r").alias("n"))
     assert [r["n"] for r in df.collect()] == ["imports", "imports", "odd_rel", "related_to"]
+
+
+def test_grouping_steps_get_tasks_by_rows(spark):
+    few = spark.range(10)
+    assert tasks_for(few) == 1 and dealt(few, 1, "id") is few
+    assert tasks_for(few, rows=1) == 10 and dealt(few, 10, "id").rdd.getNumPartitions() == 10
+    assert tasks_for(few, rows=5) == spark.sparkContext.defaultParallelism

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from trailgraph.runtime import dealt, tasks_for
+
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
@@ -106,9 +108,10 @@ def fk_edges(spark: SparkSession, root: str) -> DataFrame:
 def item_edges(spark: SparkSession, root: str) -> DataFrame:
     """order -> part and order -> supplier, one edge per distinct pair"""
     li = table(spark, root, "lineitem")
+    tasks = tasks_for(li)
     out = None
     for rank, (other, fk, relation) in enumerate([("part", "l_partkey", "contains"), ("supplier", "l_suppkey", "ships_from")], 5):
-        df = li.groupBy("l_orderkey", fk).agg(F.min("l_linenumber").alias("line")).select(
+        df = dealt(li.select("l_orderkey", fk, "l_linenumber"), tasks, "l_orderkey", fk).groupBy("l_orderkey", fk).agg(F.min("l_linenumber").alias("line")).select(
             node_id("order", "l_orderkey").alias("src"), node_id(other, fk).alias("dst"), F.lit(relation).alias("relation"),
             F.lit("verified").alias("confidence"), (F.lit(rank * 10**12) + F.col("l_orderkey") * 100 + F.col("line")).cast("bigint").alias("ord"))
         out = df if out is None else out.unionByName(df)
