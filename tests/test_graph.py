@@ -179,6 +179,14 @@ def test_relation_aliases(spark):
     assert [r["n"] for r in df.collect()] == ["imports", "imports", "odd_rel", "related_to"]
 
 
+def test_symbols_found_by_a_popular_name_are_not_deduplicated_again(spark):
+    n = spark.createDataFrame([(i % 6, "Box.open" if i % 2 else "open") for i in range(12)], "id long, label string")
+    found = G.find_symbols(n, spark.createDataFrame([("open",), ("OPEN",), ("open",)], "name string"))
+    assert rows(found) == sorted([(name, tier, i, "Box.open" if i % 2 else "open") for name, tier in (("open", 1), ("OPEN", 2)) for i in range(6)], key=repr)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not plan[: plan.index("Join")].count("Aggregate")
+
+
 def test_grouping_steps_get_tasks_by_rows(spark):
     few = spark.range(10)
     assert tasks_for(few) == 1 and dealt(few, 1, "id") is few
