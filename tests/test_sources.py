@@ -294,3 +294,12 @@ def test_dead_exports_of_a_common_name(tree, spark):
     # No shuffle by name of the rows of a common name.
     joins = GA.dead_exports(*parts, hot=3).filter("message like '%link%'")._jdf.queryExecution().optimizedPlan().toString()
     assert "_used" in joins
+
+
+def test_audit_is_the_same_on_more_tasks(spark):
+    f = lambda xs: spark.createDataFrame(xs, "flight long, path string")
+    sides = f([(1, "a"), (1, "b"), (2, "a"), (1, "a")]), f([(1, "a"), (1, "c")]), f([(2, "a"), (2, "z")])
+    want = [(1, "a", "in_bounds"), (1, "b", "out_of_bounds"), (1, "c", "untouched"), (2, "a", "in_bounds")]
+    many = L.audit_flight(*sides, ["flight"], tasks=7)
+    assert rows(L.audit_flight(*sides, ["flight"])) == rows(many) == want
+    assert many.rdd.getNumPartitions() == 7

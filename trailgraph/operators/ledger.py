@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trailgraph.functions import scalar as S
 from trailgraph.functions.ranking import exact_median, top_k
+from trailgraph.runtime import dealt
 
 
 # -- telemetry ---------------------------------------------------------------
@@ -138,14 +139,17 @@ def predicted_files(declared: DataFrame, evidence: DataFrame) -> DataFrame:
     return declared.select("path").unionByName(found).distinct()
 
 
-def audit_flight(changed: DataFrame, declared: DataFrame, predicted: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Every changed or declared file: in_bounds, out_of_bounds or untouched."""
+def audit_flight(changed: DataFrame, declared: DataFrame, predicted: DataFrame, by: list[str] | None = None, tasks: int = 1) -> DataFrame:
+    """Every changed or declared file: in_bounds, out_of_bounds or untouched.
+
+    ``tasks`` is the least number of tasks that group the marks of the files.
+    """
     key = [*(by or []), "path"]
     marks = (
         changed.select(*key, F.lit(True).alias("c"), F.lit(False).alias("d"), F.lit(False).alias("p"))
         .unionByName(declared.select(*key, F.lit(False).alias("c"), F.lit(True).alias("d"), F.lit(False).alias("p")))
         .unionByName(predicted.select(*key, F.lit(False).alias("c"), F.lit(False).alias("d"), F.lit(True).alias("p"))))
-    m = marks.groupBy(*key).agg(F.max("c").alias("c"), F.max("d").alias("d"), F.max("p").alias("p"))
+    m = dealt(marks, tasks, *key).groupBy(*key).agg(F.max("c").alias("c"), F.max("d").alias("d"), F.max("p").alias("p"))
     state = F.when(F.col("c"), F.when(F.col("d") | F.col("p"), "in_bounds").otherwise("out_of_bounds")).when(F.col("d"), "untouched")
     return m.select(*key, state.alias("state")).filter(F.col("state").isNotNull())
 
