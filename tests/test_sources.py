@@ -303,3 +303,15 @@ def test_audit_is_the_same_on_more_tasks(spark):
     many = L.audit_flight(*sides, ["flight"], tasks=7)
     assert rows(L.audit_flight(*sides, ["flight"])) == rows(many) == want
     assert many.rdd.getNumPartitions() == 7
+
+
+def test_imports_alone_are_those_of_the_graph(tree):
+    from trailgraph.plans import build_graph as BG
+    from trailgraph.sources.policy import FilePolicy, ignore_rules
+
+    files = tree({"src/a.ts": "// import { x } from './no';\nimport { g } from './gen/g';\nimport { no } from './lost';\nconst u = \"// import 'q'\";\n", "src/gen/g.ts": "/* export { b } from './b';\n */\nexport function g() {}\n", "empty.ts": None, "m.py": "import os\n"})
+    for policy in (None, FilePolicy(git_ignore=ignore_rules("src/gen/*.ts\n"))):
+        g, (imports, externals) = BG.build_graph(files, policy=policy), BG.imports_alone(files, policy)
+        assert rows(BG.unresolved(imports)) == rows(g.unknowns) and g.unknowns.count() == 1
+        assert rows(BG.import_rows(imports), "src", "dst", "relation", "evidence") == rows(g.edges.filter("relation like 'imports%'"), "src", "dst", "relation", "evidence")
+        assert (externals is None) == (policy is None)
