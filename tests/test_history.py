@@ -45,6 +45,19 @@ def test_coupling_edges_of_both_thresholds(spark):
     assert (r["co_changes"], r["strength"]) == (3, 0.3)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_coupling_of_numbered_files_counts_commits_above_either_cut_off(spark, seed):
+    rng = random.Random(seed)
+    commits = {i: {f"m{f % 3}/f{f}" for f in (rng.randrange(25) for _ in range(rng.choice([2, 2, 3, 6, 9, 15])))} for i in range(60)}
+    number = {f"m{f % 3}/f{f}": (f * 7) % 25 for f in range(25)}
+    df = spark.createDataFrame([(c, number[f]) for c, fs in commits.items() for f in fs for _ in range(2)], "sha long, file long")
+    names = spark.createDataFrame([(n, f) for f, n in number.items()], "file long, name string")
+    for min_co, strength in ((2, 0.05), (3, 0.4)):
+        got = H.coupling(df, min_co, strength, top_n=None, names=names).collect()
+        assert {(r["file_a"], r["file_b"]): r["co_changes"] for r in got} == naive_coupling(commits, min_co, strength)
+        assert all(r["cross_module"] == (r["file_a"][:2] != r["file_b"][:2]) for r in got)
+
+
 def test_ownership_ties_and_strict_share(spark):
     day = lambda d: NOW - timedelta(days=d)
     data = [(f"s{i}", "big", day(100), "x", "m", "m/a") for i in range(9)] + [("s9", "small", day(95), "x", "m", "m/a")]

@@ -45,43 +45,55 @@ def ownership(touches: DataFrame, as_of: Column, stale_days: int = 90, share: fl
         (S.days_between("last_active", as_of) > stale_days).alias("is_orphaned"), "last_active")
 
 
-def coupling(touches: DataFrame, min_co: int = 3, min_strength: float = 0.3, top_n: int | None = 30) -> DataFrame:
+def coupling(touches: DataFrame, min_co: int = 3, min_strength: float = 0.3, top_n: int | None = 30, names: DataFrame | None = None) -> DataFrame:
     """Files that change together: co-changes and strength = co / max(totals).
 
     Only pairs that can reach both thresholds are ever formed. With commits
     ordered by size, a pair sharing at least t commits must share one outside
     the t-1 largest of either file, so each file offers only its commits below
     that cut-off for pairing. A commit holding a huge share of all rows is the
-    largest everywhere and pairs nobody. Shared commits above a cut-off are
-    then added by looking up the few such commits of each candidate, so the
-    totals are exact. The cut-off comes from a (file, commit size) histogram,
-    never from sorting one file's rows.
+    largest everywhere and pairs nobody. Shared commits above a pair's lower
+    cut-off all belong to the file that has it, so looking up those few commits
+    of that file makes the counts exact; a pair without any keeps the count it
+    has. The cut-off comes from a (file, commit size) histogram, never from
+    sorting one file's rows.
+
+    ``names`` (file, name) tells the names of files that are numbers in
+    ``touches``; only the pairs found meet it.
     """
     size = touches.select("sha", "file").distinct()
-    size = size.join(size.groupBy("sha").agg(F.count("*").alias("size")), "sha")
+    size = size.join(size.groupBy("sha").agg(F.count("*").cast("int").alias("size")), "sha")
     sized = cut_lineage(size)
     hist = sized.groupBy("file", "size").agg(F.count("*").alias("n"))
     above = F.sum("n").over(W.partitionBy("file").orderBy(F.desc("size")))
     total = F.sum("n").over(W.partitionBy("file"))
+    need = lambda total: F.greatest(F.lit(min_co), F.ceil(F.lit(min_strength) * total - F.lit(1e-9)))
     cuts = (
         hist.withColumn("above", above).withColumn("total", total)
-        .withColumn("need", F.greatest(F.lit(min_co), F.ceil(F.lit(min_strength) * F.col("total") - F.lit(1e-9))))
-        .filter((F.col("above") >= F.col("need")) & (F.col("total") >= min_co))
-        .groupBy("file", "total", "need").agg(F.max("size").alias("cut"), (F.col("total") - F.sum("n")).alias("rest")))
-    marked = cut_lineage(sized.join(cuts, "file").filter("size > 1").select("sha", "file", "total", "need", "rest", (F.col("size") <= F.col("cut")).alias("offered")))
+        .filter((F.col("above") >= need(F.col("total"))) & (F.col("total") >= min_co))
+        .groupBy("file", "total").agg(F.max("size").alias("cut"), (F.col("total") - F.sum("n")).alias("rest")))
+    marked = cut_lineage(sized.join(cuts, "file").filter("size > 1").select("sha", "file", "total", "rest", "cut", (F.col("size") <= F.col("cut")).alias("offered")))
     offers, large = marked.filter("offered"), marked.filter("not offered").select("sha", "file")
-    a = offers.select("sha", *[F.col(c).alias(f"{c}_a") for c in ("file", "total", "need", "rest")])
-    b = offers.select("sha", *[F.col(c).alias(f"{c}_b") for c in ("file", "total", "need", "rest")])
-    ratio = F.least("total_a", "total_b") >= F.lit(min_strength) * F.greatest("total_a", "total_b") - F.lit(1e-9)
-    key = ["file_a", "file_b", "total_a", "total_b"]
-    pairs = a.join(b, "sha").filter((F.col("file_a") < F.col("file_b")) & ratio).groupBy(*key, "need_a", "need_b", "rest_a", "rest_b").agg(F.count("*").alias("n"))
-    pairs = cut_lineage(pairs.filter(F.col("n") + F.col("rest_a") + F.col("rest_b") >= F.greatest("need_a", "need_b")).select(*key, "n"))
-    one = F.lit(1).cast("bigint").alias("n")
-    of_a = pairs.join(large.withColumnRenamed("file", "file_a"), "file_a").join(marked.select("sha", F.col("file").alias("file_b")), ["sha", "file_b"], "left_semi").select(*key, one)
-    of_b = pairs.join(large.withColumnRenamed("file", "file_b"), "file_b").join(offers.select("sha", F.col("file").alias("file_a")), ["sha", "file_a"], "left_semi").select(*key, one)
-    counted = pairs.unionByName(of_a).unionByName(of_b).groupBy(*key).agg(F.sum("n").alias("co_changes"))
-    raw = F.col("co_changes") / F.greatest("total_a", "total_b")
-    out = counted.withColumn("raw", raw).filter((F.col("co_changes") >= min_co) & (F.col("raw") >= min_strength)).select(
+    # file_x has the lower cut-off of the two; need grows with the total.
+    x = offers.select("sha", F.col("file").alias("file_x"), F.col("total").alias("total_x"), "rest", F.col("cut").alias("cut_x"))
+    y = offers.select("sha", F.col("file").alias("file_y"), F.col("total").alias("total_y"), F.col("cut").alias("cut_y"))
+    lower = (F.col("cut_x") < F.col("cut_y")) | ((F.col("cut_x") == F.col("cut_y")) & (F.col("file_x") < F.col("file_y")))
+    ratio = F.least("total_x", "total_y") >= F.lit(min_strength) * F.greatest("total_x", "total_y") - F.lit(1e-9)
+    key = ["file_x", "file_y", "total"]
+    pairs = x.join(y, "sha").filter(lower & ratio).groupBy("file_x", "file_y", F.greatest("total_x", "total_y").alias("total"), "rest").agg(F.count("*").alias("n"))
+    pairs = cut_lineage(pairs.filter(F.col("n") + F.col("rest") >= need(F.col("total"))))
+    found = (
+        pairs.filter("rest > 0").select(*key, "n").join(large.withColumnRenamed("file", "file_x"), "file_x")
+        .join(marked.select("sha", F.col("file").alias("file_y")), ["sha", "file_y"], "left_semi"))
+    more = found.groupBy(*key, "n").agg(F.count("*").alias("more"))
+    sure = pairs.filter(F.col("n") >= need(F.col("total"))).select(*key, "n", F.lit(0).cast("bigint").alias("more"))
+    counted = more.unionByName(sure).groupBy(*key).agg((F.max("n") + F.max("more")).alias("co_changes"))
+    raw = F.col("co_changes") / F.col("total")
+    out = counted.withColumn("raw", raw).filter((F.col("co_changes") >= min_co) & (F.col("raw") >= min_strength))
+    if names is not None:
+        for c in ("file_x", "file_y"):
+            out = out.join(names.select(F.col("file").alias(c), F.col("name").alias(f"{c}_name")), c).drop(c).withColumnRenamed(f"{c}_name", c)
+    out = out.select(F.least("file_x", "file_y").alias("file_a"), F.greatest("file_x", "file_y").alias("file_b"), "co_changes", "raw").select(
         "file_a", "file_b", "co_changes", S.half_up(F.col("raw"), 2).alias("strength"),
         (S.first_segment("file_a") != S.first_segment("file_b")).alias("cross_module"))
     return out if top_n is None else out.orderBy(F.desc("strength"), "file_a", "file_b").limit(top_n)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from trailgraph.operators import history as H
 from trailgraph.plans.registry import query
+from trailgraph.runtime import cut_lineage
 from trailgraph.sources import tables as T
 
 STAMP = "yyyy-MM-dd HH:mm:ss"
@@ -59,8 +60,11 @@ def change_coupling(spark, root):
 
 @query("file_coupling", _coupling_sql("file", 2, 0.05))
 def file_coupling(spark, root):
-    keys = T.touch_keys(spark, root).join(T.part_files(spark, root), "partkey")
-    return H.coupling(keys.select("sha", "file"), min_co=2, min_strength=0.05)
+    # Files are numbers until the pairs are found; a part key that repeats with another brand is another file.
+    files = T.part_files(spark, root).select("partkey", F.col("file").alias("name")).distinct()
+    names = cut_lineage(files.withColumn("file", F.monotonically_increasing_id()))
+    keys = T.touch_keys(spark, root).join(names, "partkey")
+    return H.coupling(keys.select("sha", "file"), min_co=2, min_strength=0.05, names=names)
 
 
 @query("velocity_trend", f"""WITH {TOUCHES}, n AS (SELECT max(o_orderdate) AS t FROM orders),
