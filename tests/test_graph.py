@@ -174,6 +174,26 @@ def test_call_resolution_prefers_imports_and_needs_uniqueness(spark):
     assert rows(B.resolve_calls(pend, sym, imp), "src", "dst", "confidence") == [("symbol:a#f", "symbol:b#save", "inferred"), ("symbol:z#g", "symbol:c#Box.only", "inferred")]
 
 
+def test_call_resolution_by_given_modules_is_as_by_ids(spark):
+    rng = random.Random(3)
+    sym = [(m, rng.choice(["", "Box."]) + rng.choice("uvwxy")) for m in range(8) for _ in range(3)]
+    pend = [(m, rng.choice("uvwxyz")) for m in range(4, 12) for _ in range(3)]
+    imp = [(rng.randrange(4, 12), rng.randrange(8)) for _ in range(14)]
+    symbols = spark.createDataFrame([(f"symbol:{m}#{x}", x, m) for m, x in sym + sym[:5]], "id string, label string, module long")
+    pending = spark.createDataFrame([(f"symbol:{m}#f{i}", x, f"{m}:{i}", i, m) for i, (m, x) in enumerate(pend)] + [("symbol:4#f0", pend[0][1], "4:0", 0, 4)], "caller string, callee_name string, evidence string, ord long, module long")
+    imports = spark.createDataFrame(imp, "src long, dst long")
+    want = []
+    for i, (m, x) in enumerate(pend):
+        all_ = {f"symbol:{t}#{y}" for t, y in sym if x in (y, y.split(".")[-1])}
+        near = {d for d in all_ if int(d[7:].split("#")[0]) in {m, *(t for s, t in imp if s == m)}}
+        hit = near if len(near) == 1 else all_
+        want += [(f"symbol:{m}#f{i}", *hit)] if len(hit) == 1 else []
+    assert len(want) > 3 and any(len({t for t, y in sym if y.split(".")[-1] == x}) > 1 for _, x in pend)
+    assert rows(B.resolve_calls(pending, symbols, imports), "src", "dst") == sorted(want, key=repr)
+    module = lambda df, *cs: df.select(*[F.concat(F.lit("module:"), F.col(c).cast("string")).alias(c) for c in cs])
+    assert rows(B.resolve_calls(pending.drop("module"), symbols.drop("module"), module(imports, "src", "dst")), "src", "dst") == sorted(want, key=repr)
+
+
 def test_relation_aliases(spark):
     df = spark.createDataFrame([(" Imports From ",), ("depends-on",), ("odd rel",), (None,)], "r string").select(relation_name("r").alias("n"))
     assert [r["n"] for r in df.collect()] == ["imports", "imports", "odd_rel", "related_to"]
