@@ -4,7 +4,9 @@ import hashlib
 import json
 
 import pytest
+from conftest import rows
 
+from trailgraph.operators import trust as TR
 from trailgraph.plans import catalog
 from trailgraph.plans.projection import project
 from trailgraph.sources import graph_store as GS
@@ -74,6 +76,24 @@ def test_bad_manifest_is_ignored(run):
         assert len(edge) == 1 and edge["module:src/a", "module:src/b", "imports"]["corroborated"] is None
 
 
+def test_edges_are_judged_by_key_and_rows_of_one_key_by_ordinal(spark):
+    nodes = spark.createDataFrame([(x, x.upper(), "stale" if x == "d" else "fresh", None, "matched", 0) for x in "abcd"], "raw_id string, id string, trust_state string, source_file string, status string, ord long")
+    native = spark.createDataFrame([("A", "B", "calls")], "src string, dst string, relation string")
+    hashes = spark.createDataFrame([("f", "1", "1"), ("g", "1", "2")], "path string, current string, expected string")
+    made = [
+        ("a", "b", "call", 1, None, "fresh", "corroborated"), ("a", "b", "call", None, None, "fresh", "corroborated"), ("a", "b", "uses", 2, "f", "contested", "accepted"), ("a", "b", "uses", 3, None, None, "merged"),
+        ("b", "c", "uses", 5, None, "unverifiable", "accepted"), ("b", "c", "uses", 5, None, "unverifiable", "accepted"), ("b", "c", "uses", 6, None, None, "merged"), ("b", "c", "uses", None, None, None, "accepted"),
+        ("b", "c", "odd", 7, None, "contested", "accepted"), ("c", "a", "odd", None, None, None, "accepted"), ("c", "b", "odd", 8, "g", None, "stale"), ("c", "d", "odd", 9, None, None, "stale"), ("c", "x", "odd", 9, None, None, "rejected"),
+    ]
+    raw = spark.createDataFrame([(s, t, r, "EXTRACTED", f, False, o) for s, t, r, o, f, *_ in made], "source string, target string, relation string, confidence string, source_file string, excluded boolean, ord long")
+    found = TR.reconcile_edges(native, nodes, raw, hashes)
+    up = lambda x: None if x == "x" else x.upper()
+    want = [(up(s), up(t), "calls" if r == "call" else r, o, trust, status, "inferred") for s, t, r, o, _, trust, status in made]
+    assert rows(found, "src", "dst", "relation", "ord", "trust_state", "status", "confidence") == sorted(want, key=repr)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "Aggregate" not in plan  # only rows of repeated keys meet anything again
+
+
 def test_node_rows_read_no_line_items(spark, tmp_path):
     spark.createDataFrame([(1, "O", "1-URGENT"), (2, "P", "5-LOW")], "o_orderkey long, o_orderstatus string, o_orderpriority string").write.parquet(str(tmp_path / "orders.parquet"))
     spark.createDataFrame([(1, "red ring", 12), (2, "blue ring", 22), (3, "tin ring", 45)], "p_partkey long, p_name string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
