@@ -3,6 +3,7 @@ from datetime import datetime
 from conftest import rows
 from pyspark.sql import functions as F
 
+from trailgraph.functions import scalar as S
 from trailgraph.operators import claims as C
 from trailgraph.operators import clarity as CL
 from trailgraph.operators import freshness as FR
@@ -315,3 +316,15 @@ def test_imports_alone_are_those_of_the_graph(tree):
         assert rows(BG.unresolved(imports)) == rows(g.unknowns) and g.unknowns.count() == 1
         assert rows(BG.import_rows(imports), "src", "dst", "relation", "evidence") == rows(g.edges.filter("relation like 'imports%'"), "src", "dst", "relation", "evidence")
         assert (externals is None) == (policy is None)
+
+
+def test_relative_imports_are_placed_as_join_path_does(spark):
+    """The scanner places imports as the column expression does, and reads them for each site once."""
+    specs = ["./a", "../a", "../../a", "../../../a", "./", "../", "..", ".", "./a/../b", "./../a", ".././a", ".//a", "./a/", "./a/.", "./.../a", "../a/../..", ".a/b", "./a.js"]
+    paths = ["f.ts", "x/f.ts", "x/y/f.ts", "./x/f.ts", "x/../y/f.ts", "/x/f.ts", "x//y/f.ts", ""]
+    df = spark.createDataFrame([(p, s) for p in paths for s in specs], "path string, spec string")
+    for p, s, want in df.select("path", "spec", S.join_path(S.dirname("path"), "spec")).collect():
+        assert code._placed([{"spec": s}], p) == [{"spec": s, "full": want}], (p, s)
+    assert code._placed([{"spec": "./a"}], None)[0]["full"] is None and code._placed([{"spec": "a"}], "x/f.ts")[0]["full"] is None
+    one = code.scan(spark.createDataFrame([("x/f.ts", "import './a'")], "path string, content string"))
+    assert one.selectExpr("inline(js)").select("full").collect()[0][0] == "x/a"
