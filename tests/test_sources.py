@@ -328,3 +328,41 @@ def test_relative_imports_are_placed_as_join_path_does(spark):
     assert code._placed([{"spec": "./a"}], None)[0]["full"] is None and code._placed([{"spec": "a"}], "x/f.ts")[0]["full"] is None
     one = code.scan(spark.createDataFrame([("x/f.ts", "import './a'")], "path string, content string"))
     assert one.selectExpr("inline(js)").select("full").collect()[0][0] == "x/a"
+
+
+def test_files_of_a_policy_are_read_once(tree, spark):
+    """With a policy one pass scans what it includes and lists the rest; each distinct target is judged once."""
+    from trailgraph.operators import build as B
+    from trailgraph.plans import build_graph as BG
+
+    files = tree({"a.ts": "import './gen/x';\nimport './b';\nimport './gen/x.js';", "b.ts": "export const b = 1;", "gen/x.ts": "import '../a';", "gen/deep/y.ts": "import './z'", "package.json": "{}", "n.txt": "import './a'"})
+    policy = PO.FilePolicy(exclude=["gen/"])
+    scanned, paths = BG.read_files(files, policy)
+    assert sorted(r[0] for r in scanned.select("path").collect()) == ["a.ts", "b.ts", "package.json"]
+    assert sorted(r[0] for r in paths.collect()) == ["a.ts", "b.ts", "gen/deep/y.ts", "gen/x.ts"]
+    assert "included" not in scanned.columns and paths.inputFiles() == scanned.inputFiles()
+    imports, externals = BG.imports_alone(files, policy)
+    assert sorted((r["file"], r["target"], r["kind"]) for r in imports.collect()) == [("a.ts", "external:gen/x.ts", "external"), ("a.ts", "module:b", "module")]
+    assert [(r["id"], r["policy_pattern"]) for r in externals.collect()] == [("external:gen/x.ts", "gen/")]
+    seen = []
+    judge = policy.decide
+    policy.decide = lambda path: seen.append(1) or judge(path)
+    many = spark.createDataFrame([(f"f{i}.ts", "module:b", "module", "b.ts") for i in range(5)], "file string, target string, kind string, target_path string")
+    written = []
+    keep, B.cut_lineage = B.cut_lineage, lambda df: written.append(df.count()) or keep(df)
+    try:
+        B.external_targets(many, policy)
+    finally:
+        B.cut_lineage = keep
+    assert written == [1, 0] and len(seen) == 1
+
+
+def test_safety_rules_in_one_expression(spark):
+    paths = [f"{a}{f}{b}" for f in ("node_modules", ".git", "dist", ".github/skills", ".github/agents", "xdist", "distx", "src") for a in ("", "x/") for b in ("", "/", "/y.ts", "x")]
+    df = spark.createDataFrame([(p,) for p in paths], "path string")
+    each = [F.col("path").rlike(PO.glob_pattern(g)) for g in PO.SAFETY]
+    first = F.coalesce(*[F.when(c, g) for c, g in zip(each, PO.SAFETY)])
+    made = PO.FilePolicy().decide(F.col("path"))
+    found = df.select("path", first.alias("want"), made.getField("pattern").alias("got"), F.col("path").rlike(PO.any_pattern(PO.SAFETY)).alias("any"))
+    assert [tuple(r) for r in found.filter("not (want <=> got) or any <> (want is not null)").collect()] == []
+    assert found.filter("any").count() > 10
