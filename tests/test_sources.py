@@ -366,3 +366,15 @@ def test_safety_rules_in_one_expression(spark):
     found = df.select("path", first.alias("want"), made.getField("pattern").alias("got"), F.col("path").rlike(PO.any_pattern(PO.SAFETY)).alias("any"))
     assert [tuple(r) for r in found.filter("not (want <=> got) or any <> (want is not null)").collect()] == []
     assert found.filter("any").count() > 10
+
+
+def test_exports_are_read_in_one_pass(tree):
+    """Exports, imported names and whole modules come from one written pass over the text."""
+    text = "\n".join(["export const a = 1;", "  export async function b() {}", "export { c, d as e, type };", "export type { T };", "export { f as g } from './f';", "export * from './all/index.js';", "xexport const no = 1;",
+                      "import h, { i, j as k } from 'pkg';", "import * as m from '../m';", "const n = require('./n'); import('./o/index');", "// export const p = 1;", "export\tclass Q {}"])
+    files = {"src/x.ts": text, "src/index.ts": "export const hidden = 1;\nexport { z } from './x';", "test/t.ts": "export const t = 1;\nimport { a } from '../src/x';", "src/none.ts": ""}
+    exports, names, whole = GA.exports_and_uses(tree(files))
+    assert rows(exports, "name", "module", "file", "line") == sorted([(n, "module:src/x", "src/x.ts", line) for n, line in (("a", 1), ("b", 2), ("c", 3), ("e", 3), ("T", 4), ("Q", 12))], key=repr)
+    assert rows(names) == [("a",), ("f",), ("i",), ("j",), ("z",)]
+    assert rows(whole) == [("module:m",), ("module:src/all",), ("module:src/f",), ("module:src/n",), ("module:src/o",), ("module:src/x",)]
+    assert exports.inputFiles() == names.inputFiles() == whole.inputFiles() != []
